@@ -226,6 +226,10 @@ def answer_signatures(profiles: DataFrame) -> DataFrame:
     return profiles.withColumn("answer", F.to_json(sheet, {"ignoreNullFields": "false"}))
 
 
+def _prefixed(values: Column, name: str) -> Column:
+    return F.transform(F.array_distinct(values), lambda v: F.concat(F.lit(name + "="), v))
+
+
 def requirement_tokens(needs: Column) -> Column:
     """Join tokens of a requirement set.
 
@@ -242,7 +246,7 @@ def requirement_tokens(needs: Column) -> Column:
         if wildcards:
             sure = sure & ~F.arrays_overlap(values, str_array(wildcards))
         tokens = F.concat(
-            F.transform(F.array_distinct(values), lambda v, n=name: F.concat(F.lit(n + "="), v)), F.array(F.lit(name + "?")))
+            _prefixed(values, name), F.array(F.lit(name + "?")))
         chain = F.when(sure, tokens) if chain is None else chain.when(sure, tokens)
     return chain.otherwise(str_array([f"*{i}" for i in range(OPEN_SPREAD)]))
 
@@ -253,7 +257,7 @@ def answer_tokens(answer: Column) -> Column:
         have = F.col(key)
         parts.append(
             F.when(unanswered(have, True), F.array(F.lit(name + "?")))
-            .otherwise(F.transform(F.array_distinct(have), lambda v, n=name: F.concat(F.lit(n + "="), v))))
+            .otherwise(_prefixed(have, name)))
     return F.concat(*parts)
 
 

@@ -143,6 +143,7 @@ class _Rows(_Reader):
         if tag == "tr":
             self.row = {"cells": [], "heading": None, "links": [], "labels": []}
         elif self.row is not None and tag in ("td", "th"):
+            self._close_cell()  # an unclosed cell ends where the next begins
             self.cell, self.kind = [], tag
         elif self.row is not None and tag == "a":
             self.link = (attrs.get("href") or "", [])
@@ -158,16 +159,20 @@ class _Rows(_Reader):
             self.row["links"].append(self.link[0])
             self.row["labels"].append(" ".join("".join(self.link[1]).split()))
             self.link = None
-        elif tag == "td" and self.kind == "td":
-            self.row["cells"].append(_tidy(self.cell))
-            self.cell = self.kind = None
-        elif tag == "th" and self.kind == "th":
-            self.row["heading"] = _tidy(self.cell)
-            self.cell = self.kind = None
+        elif tag == self.kind:
+            self._close_cell()
         elif tag == "tr":
+            self._close_cell()
             self.rows.append(self.row)
             self.row = None
 
+    def _close_cell(self):
+        if self.kind == "td":
+            self.row["cells"].append(_tidy(self.cell))
+        elif self.kind == "th":
+            self.row["heading"] = _tidy(self.cell)
+        self.cell = self.kind = None
+
     def text(self, data):
         if self.cell is not None and data.strip():
             self.cell.append(data)
@@ -375,11 +380,9 @@ def label_value_lines(text_lines, labels: dict) -> Column:
         t["line"].alias("line"),
         F.when(t["label"].isNotNull(), t["label"]).when(waits(i) & t["bare"], previous(i)["label"]).alias("owner"),
         F.when(t["label"].isNotNull(), t["tail"]).when(waits(i) & t["bare"], t["line"]).alias("value")))
-    values = [
-        F.try_element_at(
-            F.filter(owned, lambda o, n=name: (o["owner"] == n) & o["value"].isNotNull()), F.lit(-1))["value"].alias(name)
-        for name in labels
-    ]
+    last_of = lambda name: F.try_element_at(
+        F.filter(owned, lambda o: (o["owner"] == name) & o["value"].isNotNull()), F.lit(-1))["value"].alias(name)
+    values = [last_of(name) for name in labels]
     body = F.array_join(F.transform(F.filter(owned, lambda o: o["owner"].isNull()), lambda o: o["line"]), "\n")
     return F.struct(*values, body.alias("body"))
 

@@ -113,17 +113,19 @@ def record_signatures(records: DataFrame) -> DataFrame:
 
 def _passes(key: str) -> Column:
     """Does a signature pass one filter of a question?  Affiliation browses: silence fails."""
-    selected, values = F.col(key), F.col(FACET_OF[key])
+    selected, values = F.col(f"ask_{key}"), F.col(FACET_OF[key])
     hit = F.arrays_overlap(values, selected)
     silent_ok = F.lit(False) if key == "affiliation" else F.size(values) == 0
     return (F.size(selected) == 0) | silent_ok | hit
 
 
-def _tokens(selected: Column, stated: Column, side: str) -> Column:
-    """Tokens that meet exactly when selection and stated values are compatible."""
-    if side == "question":
-        return F.when(F.size(selected) == 0, str_array(["*"])).otherwise(
-            F.concat(F.transform(selected, lambda v: F.concat(F.lit("="), v)), str_array(["?"])))
+def question_tokens(selected: Column) -> Column:
+    """Tokens of a selection; they meet ``record_tokens`` exactly when the two are compatible."""
+    wanted = F.transform(selected, lambda v: F.concat(F.lit("="), v))
+    return F.when(F.size(selected) == 0, str_array(["*"])).otherwise(F.concat(wanted, str_array(["?"])))
+
+
+def record_tokens(stated: Column) -> Column:
     values = F.transform(stated, lambda v: F.concat(F.lit("="), v))
     return F.concat(F.when(F.size(stated) == 0, str_array(["?"])).otherwise(values), str_array(["*"]))
 
@@ -137,26 +139,26 @@ def relax_ladder(questions: DataFrame, records: DataFrame, key: str = "question_
     the ladder at which it passes.
     """
     none = F.array().cast("array<string>")
-    asked = questions.select(key, *[F.array_sort(F.coalesce(F.col(k), none)).alias(k) for k in FILTER_KEYS])
-    asks = asked.select(*FILTER_KEYS).distinct()
-    asks = asks.withColumn("q_tokens", _tokens(F.col("areaOfStudy"), None, "question"))
-    sigs = record_signatures(records).withColumn("r_tokens", _tokens(None, F.col("areas_of_study"), "record"))
+    asks_of = [f"ask_{k}" for k in FILTER_KEYS]
+    asked = questions.select(key, *[F.array_sort(F.coalesce(F.col(k), none)).alias(f"ask_{k}") for k in FILTER_KEYS])
+    asks = asked.select(*asks_of).distinct()
+    asks = asks.withColumn("q_tokens", question_tokens(F.col("ask_areaOfStudy")))
+    sigs = record_signatures(records).withColumn("r_tokens", record_tokens(F.col("areas_of_study")))
     met = (
         asks.withColumn("token", F.explode("q_tokens"))
         .join(sigs.withColumn("token", F.explode("r_tokens")), "token")
         .where(F.col("token") == F.array_min(F.array_intersect("q_tokens", "r_tokens")))
         .where(_passes("career")))
-    # order of clearing, non-empty filters only: the rank of a filter is how many
-    # non-empty filters come up to and including it
+    # the place of a filter in the ladder is how many non-empty filters come up to
+    # and including it; a record joins in once its last failing filter is cleared
     steps, needed = F.lit(0), F.lit(0)
     for k in C.RELAX_ORDER:
-        steps = steps + F.when(F.size(k) > 0, 1).otherwise(0)
+        steps = steps + F.when(F.size(f"ask_{k}") > 0, 1).otherwise(0)
         needed = F.when(~_passes(k), steps).otherwise(needed)
-    per_step = met.withColumn("step", needed).groupBy(*FILTER_KEYS, "step").agg(F.sum("n_records").alias("n"))
-    best = per_step.groupBy(*FILTER_KEYS).agg(F.min_by("n", "step").alias("n"), F.min("step").alias("step"))
-    joined = asked.join(best, FILTER_KEYS, "left")
-    order = F.filter(
-        F.array(*[F.when(F.size(k) > 0, F.lit(k)) for k in C.RELAX_ORDER]), lambda x: x.isNotNull())
+    per_step = met.withColumn("step", needed).groupBy(*asks_of, "step").agg(F.sum("n_records").alias("n"))
+    best = per_step.groupBy(*asks_of).agg(F.min_by("n", "step").alias("n"), F.min("step").alias("step"))
+    joined = asked.join(best, asks_of, "left")
+    order = F.array_compact(F.array(*[F.when(F.size(f"ask_{k}") > 0, F.lit(k)) for k in C.RELAX_ORDER]))
     step = F.coalesce("step", F.size(order))
     return joined.select(
         key, F.slice(order, F.lit(1), step).alias("relaxed"), F.coalesce("n", F.lit(0)).alias("n_records"))

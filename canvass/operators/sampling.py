@@ -63,9 +63,9 @@ def stratified_sample(records: DataFrame, text: str, probes=None, seed: int = C.
         picked = picked.withColumn(f"c_{concept}", F.slice(F.array_except(uids, taken), 1, quota))
         picked = picked.withColumn("taken", F.concat(taken, F.col(f"c_{concept}")))
         taken = F.col("taken")
-    chosen = F.flatten(F.array(*[
-        F.transform(f"c_{c}", lambda u, c=c: F.struct(F.lit(c).alias("concept"), u.alias("award_uid")))
-        for c, _, _ in probes]))
+    named = lambda c: F.transform(
+        f"c_{c}", lambda u: F.struct(F.lit(c).alias("concept"), u.alias("award_uid")))
+    chosen = F.flatten(F.array(*[named(c) for c, _, _ in probes]))
     return picked.select(F.inline(chosen))
 
 

@@ -28,6 +28,24 @@ def query_terms(texts: list[str]) -> list[str]:
     return sorted(terms)
 
 
+def terms_of(*columns) -> Column:
+    """Distinct tokens over several text columns of a request table."""
+    return F.array_distinct(F.concat(*[tokenize(c) for c in columns]))
+
+
+def merge_lists(request, profile) -> Column:
+    """List filters: what was asked plus what the profile holds."""
+    none = F.array().cast("array<string>")
+    return F.concat(F.coalesce(as_col(request), none), F.coalesce(as_col(profile), none))
+
+
+def merge_career(request, profile) -> Column:
+    """Career: what was asked, else what the profile holds."""
+    none = F.array().cast("array<string>")
+    asked = F.coalesce(as_col(request), none)
+    return F.when(F.size(asked) > 0, asked).otherwise(F.array_compact(F.array(as_col(profile))))
+
+
 def record_tokens(full: bool = False) -> Column:
     """Distinct tokens over all searched fields of a record."""
     return F.array_distinct(F.concat(*[tokenize(f, full) for f in FIELDS]))
@@ -159,16 +177,17 @@ def fuzzy_distance(field: str, tokens: list[str]) -> Column:
     hopeless length are skipped before any distance is computed.
     """
     field_words = F.array_distinct(words(field))
-    parts = []
-    for q in tokens:
-        longest = lambda w, q=q: F.greatest(F.length(w), F.lit(len(q)))
+
+    def nearest(q: str) -> Column:
+        longest = lambda w: F.greatest(F.length(w), F.lit(len(q)))
         near = F.filter(
             field_words,
-            lambda w, q=q, longest=longest: (w != "") & (
-                F.abs(F.length(w) - len(q)) <= F.lit(C.FUZZY_THRESHOLD) * longest(w)))
-        ratios = F.transform(near, lambda w, q=q, longest=longest: F.levenshtein(w, F.lit(q)) / longest(w))
+            lambda w: (w != "") & (F.abs(F.length(w) - len(q)) <= F.lit(C.FUZZY_THRESHOLD) * longest(w)))
+        ratios = F.transform(near, lambda w: F.levenshtein(w, F.lit(q)) / longest(w))
         best = F.array_min(F.filter(ratios, lambda r: r <= C.FUZZY_THRESHOLD))
-        parts.append(F.coalesce(best, F.lit(1.0)))
+        return F.coalesce(best, F.lit(1.0))
+
+    parts = [nearest(q) for q in tokens]
     return reduce(lambda a, b: a + b, parts) / len(parts)
 
 
