@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 SPACE = r"[\p{IsWhite_Space}\x1c-\x1f]"
 LINE_SPACE = r"[\p{IsWhite_Space}\x1c-\x1f&&[^\n]]"
@@ -33,19 +34,19 @@ def split_multi(col) -> Column:
     return F.coalesce(F.filter(parts, lambda p: p != ""), F.array().cast("array<string>"))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def nfc(text: pd.Series) -> pd.Series:
     """Canonical composition; Spark has no built-in for it."""
     return text.map(lambda t: None if t is None else unicodedata.normalize("NFC", t))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def nfkd(text: pd.Series) -> pd.Series:
     """Compatibility decomposition over the whole of Unicode."""
     return text.map(lambda t: None if t is None else unicodedata.normalize("NFKD", t))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def nfkc(text: pd.Series) -> pd.Series:
     """Compatibility composition."""
     return text.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
