@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from canvass import config as C
+from canvass.functions.once import with_once
 from canvass.functions.text import as_col, literal_map, str_array
 
 ELIGIBLE, UNKNOWN, EXCLUDED = "eligible", "unknown", "excluded"
@@ -126,6 +127,25 @@ def field_result(spec, entry: Column, have: Column) -> Column:
         entry.isNotNull(), F.struct(F.lit(name).alias("field"), final.alias("verdict"), reason.alias("reason")))
 
 
+def severity(entry: Column, spec, have: Column) -> Column:
+    """2 eligible, 1 unknown, 0 excluded; a field the record lacks counts 2."""
+    name, kind, profile_key, wildcards = spec
+    rule = {"set_overlap": lambda: set_overlap(entry, have, wildcards), "set_exclude": lambda: set_exclude(entry, have),
+            "at_least": lambda: at_least(entry, have), "must_be": lambda: must_be(entry, have)}[kind]()
+    value = F.when(rule == ELIGIBLE, 2).when(rule == UNKNOWN, 1).otherwise(0)
+    return (
+        F.when(entry.isNull() | unstated(entry), 2)
+        .when(unanswered(have, profile_key in PROFILE_LISTS), 1)
+        .otherwise(value))
+
+
+def verdict_of(entries: dict, answers: dict) -> Column:
+    """The verdict alone, from one entry column per field: no reasons are built."""
+    worst = F.least(*[severity(entries[s[0]], s, answers[s[2]]) for s in C.ELIGIBILITY_FIELDS])
+    stated = F.greatest(*[e.isNotNull().cast("int") for e in entries.values()])
+    return F.when(stated == 0, UNKNOWN).when(worst == 0, EXCLUDED).when(worst == 1, UNKNOWN).otherwise(ELIGIBLE)
+
+
 def merge_defaults(eligibility, defaults) -> Column:
     """Source defaults under the record's own fields; the record wins per field."""
     empty = F.create_map().cast(
@@ -146,7 +166,7 @@ def match(df: DataFrame, eligibility: str, answers: dict, application_type: str
 
     ``answers`` maps a profile key to the column (or literal) holding the answer.
     """
-    held = df.withColumn("_fields", field_results(F.col(eligibility), answers))
+    held = with_once(df, {"_fields": field_results(F.col(eligibility), answers)})
     names = lambda v: F.transform(
         F.filter("_fields", lambda r: r["verdict"] == v), lambda r: r["field"])
     held = held.withColumn("unknown_fields", names(UNKNOWN)).withColumn("excluded_fields", names(EXCLUDED))
@@ -165,6 +185,20 @@ def match(df: DataFrame, eligibility: str, answers: dict, application_type: str
     return held.withColumn("reasons", reasons).drop("_fields")
 
 
+def with_verdict(df: DataFrame, eligibility: str, answers: dict) -> DataFrame:
+    """Only the verdict of every row: the cheap form for counting and filtering."""
+    names = [s[0] for s in C.ELIGIBILITY_FIELDS]
+    held = with_once(df, {f"_r_{f}": F.try_element_at(F.col(eligibility), F.lit(f)) for f in names})
+    verdict = verdict_of({f: F.col(f"_r_{f}") for f in names}, answers)
+    return held.withColumn("verdict", verdict).drop(*[f"_r_{f}" for f in names])
+
+
+def verdict_groups(records: DataFrame, profile: dict) -> DataFrame:
+    """Records per bucket for one profile."""
+    judged = with_verdict(records, "eligibility", literal_answers(profile))
+    return judged.groupBy("verdict").agg(F.count(F.lit(1)).alias("n"))
+
+
 def nomination_note(verdict: Column, application_type: Column) -> Column:
     """One extra reason when a match cannot simply be applied for."""
     closed_route = (verdict == ELIGIBLE) & (application_type != "") & (application_type != "open")
@@ -272,12 +306,16 @@ def profile_cross_match(profiles: DataFrame, records: DataFrame) -> DataFrame:
     keyed = answer_signatures(profiles)
     sheets = keyed.groupBy("answer").agg(*[F.any_value(c).alias(c) for c in PROFILE_LISTS + PROFILE_SCALARS])
     sheets = sheets.withColumn("a_tokens", answer_tokens(F.col("answer")))
-    needs = requirement_signatures(records).withColumn("r_tokens", requirement_tokens(F.col("needs")))
+    needs = requirement_signatures(records)
+    names = [s[0] for s in C.ELIGIBILITY_FIELDS]
+    needs = with_once(needs, {
+        "r_tokens": requirement_tokens(F.col("needs")),
+        **{f"r_{f}": F.try_element_at(F.col("needs"), F.lit(f)) for f in names}}).drop("needs", "requirement")
     left = sheets.withColumn("token", F.explode("a_tokens"))
     right = needs.withColumn("token", F.explode("r_tokens"))
     met = left.join(right, "token").where(
         F.col("token") == F.array_min(F.array_intersect("a_tokens", "r_tokens")))
-    judged = match(met, "needs", column_answers())
+    judged = met.withColumn("verdict", verdict_of({f: F.col(f"r_{f}") for f in names}, column_answers()))
     reached = judged.groupBy("answer").agg(
         *[F.sum(F.when(F.col("verdict") == v, F.col("n_records")).otherwise(0)).alias(v) for v in (ELIGIBLE, UNKNOWN)])
     total = records.agg(F.count(F.lit(1)).alias("n")).scalar()

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from canvass import config as C
 from canvass.functions import money
+from canvass.functions.once import with_once
 from canvass.functions.text import as_col, str_array, tokenize, words
 
 FIELDS = list(C.FIELD_WEIGHTS)
@@ -66,16 +67,17 @@ def idf(df, n) -> Column:
 
 def term_idf(records: DataFrame, terms: list[str]) -> Column:
     """idf of each given term over ALL records, as one scalar-subquery array."""
-    held = records.select(record_tokens().alias("t"))
+    held = with_once(records.select(*FIELDS), {"t": F.array_intersect(record_tokens(), str_array(terms))})
     counted = held.agg(
         F.count(F.lit(1)).alias("n"),
         *[F.count_if(F.array_contains("t", term)).alias(f"d{i}") for i, term in enumerate(terms)])
     return counted.select(F.array(*[idf(f"d{i}", "n") for i in range(len(terms))])).scalar()
 
 
-def with_words(records: DataFrame) -> DataFrame:
-    """Add the word set of every searched field."""
-    return records.withColumns({f"_w_{f}": F.array_distinct(words(f)) for f in FIELDS})
+def with_hits(records: DataFrame, terms: list[str], full: bool = False) -> DataFrame:
+    """Add, for every searched field, which of the terms occur in it."""
+    wanted = str_array(terms)
+    return with_once(records, {f"_w_{f}": F.array_intersect(words(f, full), wanted) for f in FIELDS})
 
 
 def _term_weight(term: str) -> Column:
@@ -150,8 +152,8 @@ def score_records(
     total = keyword_score(idfs, terms) + exclude_penalty(exclude or [])
     if profile:
         total = total + profile_bonus(profile)
-    held = with_words(candidates).withColumn("value", value)
-    scored = held.withColumn("score", total + value_bonus("value")).withColumn("matched", matched_terms(terms))
+    held = with_hits(candidates.withColumn("value", value), [*terms, *(exclude or [])])
+    scored = with_once(held, {"score": total + value_bonus("value"), "matched": matched_terms(terms)})
     return scored.drop(*[f"_w_{f}" for f in FIELDS]).where(F.col("score") >= min_score)
 
 
@@ -176,7 +178,7 @@ def fuzzy_distance(field: str, tokens: list[str]) -> Column:
     A word further than the threshold counts as missing (1).  Words of a
     hopeless length are skipped before any distance is computed.
     """
-    field_words = F.array_distinct(words(field))
+    field_words = F.col(f"_t_{field}")
 
     def nearest(q: str) -> Column:
         longest = lambda w: F.greatest(F.length(w), F.lit(len(q)))
@@ -198,12 +200,13 @@ def fuzzy_search(records: DataFrame, query: str) -> DataFrame:
     tokens = [t for t in re.split(r"[^\w]+", (query or "").strip().lower()) if t]
     if not tokens:
         return records.withColumn("rank_score", F.lit(0.0))
+    records = with_once(records, {f"_t_{f}": F.array_distinct(words(f)) for f in C.FUZZY_WEIGHTS})
     distances = {f: fuzzy_distance(f, tokens) for f in C.FUZZY_WEIGHTS}
-    held = records.withColumns({f"_d_{f}": d for f, d in distances.items()})
+    held = with_once(records, {f"_d_{f}": d for f, d in distances.items()})
     score = reduce(
         lambda a, b: a + b, [F.lit(w) * (F.lit(1.0) - F.col(f"_d_{f}")) for f, w in C.FUZZY_WEIGHTS.items()])
     near = F.least(*[F.col(f"_d_{f}") for f in C.FUZZY_WEIGHTS]) <= C.FUZZY_THRESHOLD
-    return held.where(near).withColumn("rank_score", score).drop(*[f"_d_{f}" for f in C.FUZZY_WEIGHTS])
+    return held.where(near).withColumn("rank_score", score).drop(*[f"{p}_{f}" for f in C.FUZZY_WEIGHTS for p in ("_d", "_t")])
 
 
 def filter_funnel(corpus: DataFrame, filtered: DataFrame, scored: DataFrame, k: int) -> DataFrame:

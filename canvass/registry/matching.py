@@ -95,8 +95,7 @@ def elig_unanswered(spark, sf):
 
 @query("elig_verdict", f"{JUDGED} select award_uid, {VERDICT} as verdict from judged")
 def elig_verdict(spark, sf):
-    return el.match(pairs(spark, sf), "eligibility", el.column_answers(), "application_type").select(
-        "award_uid", "verdict")
+    return el.with_verdict(pairs(spark, sf), "eligibility", el.column_answers()).select("award_uid", "verdict")
 
 
 def _listing(x, quoted=True):
@@ -276,8 +275,8 @@ PERSON_SQL = ("select *, 'citizen' as p_citizenship, 'AB' as p_residency, 'inst-
 @query("verdict_groups", f"{standin.cte('rows')}, p as ({PERSON_SQL}), judged as (select *, {FIELD_COLS} from p) "
        f"select {VERDICT} as verdict, count(*) as n from judged group by 1")
 def verdict_groups(spark, sf):
-    r = rows(spark, sf).select("application_type", record.parse_eligibility("eligibility_json").alias("eligibility"))
-    return el.match_profile(r, PERSON).groupBy("verdict").agg(F.count(F.lit(1)).alias("n"))
+    r = rows(spark, sf).select(record.parse_eligibility("eligibility_json").alias("eligibility"))
+    return el.verdict_groups(r, PERSON)
 
 
 E_COLS = ", ".join(f"e_{f}" for f in ORDER)

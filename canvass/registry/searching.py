@@ -82,19 +82,19 @@ VALUE = f"case when {FIRST_SQL} > 0 then least(1.5, {FIRST_SQL} / 5000.0) else 0
 @query("keyword_score", f"{WORDS} select doc_id, round({KEYWORD}, 6) as score from w")
 def keyword_score(spark, sf):
     d = standin.docs(spark, sf)
-    return search.with_words(d).select(
+    return search.with_hits(d, TERMS).select(
         "doc_id", F.round(search.keyword_score(search.term_idf(d, TERMS), TERMS), 6).alias("score"))
 
 
 @query("matched_terms", f"{WORDS} select doc_id, {MATCHED} as matched from w")
 def matched_terms(spark, sf):
-    return search.with_words(standin.docs(spark, sf)).select(
+    return search.with_hits(standin.docs(spark, sf), TERMS).select(
         "doc_id", F.array_join(search.matched_terms(TERMS), ",").alias("matched"))
 
 
 @query("exclude_penalty", f"{WORDS} select doc_id, round(cast({PENALTY} as double), 6) as penalty from w")
 def exclude_penalty(spark, sf):
-    return search.with_words(standin.docs(spark, sf)).select(
+    return search.with_hits(standin.docs(spark, sf), EXCLUDE).select(
         "doc_id", F.round(search.exclude_penalty(EXCLUDE), 6).alias("penalty"))
 
 

@@ -28,6 +28,17 @@ LINE_SETS = {
         "else replace(p_brand, '#', ' ') || ' Studies' end",
 }
 
+BRANDS = range(1, 26)
+LINE_VALUES = {
+    "level": [f"UG Year {y}" for y in range(1, 5)],
+    "application_selection": ["Fall", "Spring", "Winter"],
+    "award_type": ["Awards/Scholarships/Prizes", "Bursaries/Financial need", "Entrepreneurial",
+                   "International experience", "Other experiential awards", "Varsity/Athletics"],
+    "area_of_study": sorted([
+        "All Programs", "Engineering Faculty - All Programs", *[f"Brand {b} Engineering" for b in (3, 6, 9, 12)],
+        *[f"Brand {b} Studies" for b in BRANDS if b not in (1, 2, 3, 5, 6, 9, 10, 12, 15)]]),
+}
+
 # --- expressions over orders left join the line sets ---------------------------
 K = "o_orderkey"
 N = "cast(floor(o_totalprice / 100) as bigint)"
@@ -150,19 +161,29 @@ def select_exprs(df: DataFrame, exprs: dict) -> DataFrame:
 
 def table_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Keyed-table rows, one per order, with the requirement columns beside them."""
-    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_shipdate")
-    parts = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_type", "p_size")
-    sets = [
-        F.array_join(F.array_sort(F.collect_set(F.expr(text))), ", ").alias(name) for name, text in LINE_SETS.items()
-    ]
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", _bit("application_selection"))
+    of_part = [n for n in LINE_SETS if n != "application_selection"]
+    parts = table(spark, sf_dir, "part").select("p_partkey", "p_name", *[_bit(n) for n in of_part])
     per_order = (
         lines.join(parts, lines.l_partkey == parts.p_partkey)
         .groupBy("l_orderkey")
-        .agg(F.min("p_name").alias("part_name"), *sets)
+        .agg(F.min("p_name").alias("part_name"), *[F.bit_or(n).alias(n) for n in LINE_SETS])
     )
     orders = table(spark, sf_dir, "orders")
     joined = orders.join(per_order, orders.o_orderkey == per_order.l_orderkey, "left")
-    return select_exprs(joined, ROW)
+    return select_exprs(joined.withColumns({n: _names(n) for n in LINE_SETS}), ROW)
+
+
+def _bit(name: str):
+    """The value of a line as one bit; sets of a few known values then add up as integers."""
+    place = F.array_position(F.array(*[F.lit(v) for v in LINE_VALUES[name]]), F.expr(LINE_SETS[name]))
+    return F.call_function("shiftleft", F.lit(1).cast("long"), (place - 1).cast("int")).alias(name)
+
+
+def _names(name: str):
+    """The bits of an order as comma-separated text, null without lines."""
+    held = [F.when(F.col(name).bitwiseAND(F.lit(1 << i)) != 0, F.lit(v)) for i, v in enumerate(LINE_VALUES[name])]
+    return F.when(F.col(name).isNotNull(), F.concat_ws(", ", *held))
 
 
 def profiles_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -227,10 +248,6 @@ def _lists() -> str:
     )
 
 
-def _flags(name: str, column: str) -> str:
-    return f"case when {column} = '' then null else {column} end as {name}"
-
-
 CTE = {
     "per_order": "per_order as (select l_orderkey, min(p_name) as part_name, " + _lists()
                  + " from lineitem join part on l_partkey = p_partkey group by l_orderkey)",
