@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 SPACE = r"[\p{IsWhite_Space}\x1c-\x1f]"
+SPACE_CHARS = "".join(chr(c) for c in range(0x3001) if chr(c).isspace())
 LINE_SPACE = r"[\p{IsWhite_Space}\x1c-\x1f&&[^\n]]"
 
 
@@ -19,7 +20,7 @@ def as_col(value) -> Column:
 
 def strip(col) -> Column:
     """Trim every kind of white space at both ends."""
-    return F.regexp_replace(F.regexp_replace(as_col(col), f"^{SPACE}+", ""), f"{SPACE}+$", "")
+    return F.btrim(as_col(col), F.lit(SPACE_CHARS))
 
 
 def clean_scalar(col) -> Column:

@@ -14,11 +14,9 @@ COUNTABLE = [f for f in C.FACETS if f["kind"] in ("list", "scalar")]
 def facet_pairs(records: DataFrame, facets=None, keep=()) -> DataFrame:
     """(facet, value) of every occurrence, all facets in one pass."""
     facets = facets or COUNTABLE
-    tag = lambda f: F.transform(
-        facet_values(f), lambda v: F.struct(F.lit(f["key"]).alias("facet"), v.alias("value")))
-    tagged = [tag(f) for f in facets]
-    pairs = records.select(*keep, F.explode(F.concat(*tagged)).alias("p"))
-    return pairs.select(*keep, "p.facet", "p.value").where((F.col("value") != "") & F.col("value").isNotNull())
+    per_facet = F.array(*[F.struct(F.lit(f["key"]).alias("facet"), facet_values(f).alias("held")) for f in facets])
+    pairs = records.select(*keep, F.inline(per_facet)).select(*keep, "facet", F.explode("held").alias("value"))
+    return pairs.where((F.col("value") != "") & F.col("value").isNotNull())
 
 
 def facet_counts(records: DataFrame, facets=None) -> DataFrame:

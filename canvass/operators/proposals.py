@@ -77,14 +77,14 @@ def vocabulary_row(vocabulary: DataFrame) -> DataFrame:
 def proposal_validate(proposals: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """Keep known values once, capped per filter, and count what was dropped.
 
-    The bounded vocabulary enters as scalar subqueries, one array per filter, so
-    proposals are checked inside their rows without a join.
+    The bounded vocabulary enters as one scalar subquery with an array per filter,
+    so proposals are checked inside their rows without a join.
     """
-    known_row = vocabulary_row(vocabulary)
+    known_row = vocabulary_row(vocabulary).select(F.struct(*FILTER_KEYS).alias("known")).scalar()
     out, dropped = proposals, F.lit(0)
     none = F.array().cast("array<string>")
     for key in FILTER_KEYS:
-        known = F.coalesce(known_row.select(key).scalar(), none)
+        known = F.coalesce(known_row[key], none)
         raw = F.coalesce(F.col(key), none)
         valid = F.array_intersect(F.array_compact(raw), known)
         capped = F.slice(valid, 1, C.MAX_VALUES_PER_FILTER[key])
