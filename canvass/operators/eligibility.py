@@ -46,7 +46,7 @@ def number_text(col: Column) -> Column:
 
 
 def _listing(values: Column, quoted: bool) -> Column:
-    ordered = F.array_sort(F.array_distinct(values))
+    ordered = F.sort_array(F.array_distinct(values))
     items = F.transform(ordered, lambda v: F.concat(F.lit("'"), v, F.lit("'"))) if quoted else ordered
     return F.concat(F.lit("["), F.array_join(items, ", "), F.lit("]"))
 
@@ -248,15 +248,15 @@ def requirement_signatures(records: DataFrame) -> DataFrame:
     count is combined map-side, so a hot signature costs one row per task.
     """
     bare = F.transform_values("eligibility", lambda _, e: F.struct(
-        F.array_sort(e["values"]).alias("values"), e["num"].alias("num"), e["flag"].alias("flag"),
+        F.sort_array(e["values"]).alias("values"), e["num"].alias("num"), e["flag"].alias("flag"),
         e["confidence"].alias("confidence"), F.lit(None).cast("string").alias("src")))
-    keyed = records.select(F.to_json(F.array_sort(F.map_entries(bare))).alias("requirement"), bare.alias("needs"))
+    keyed = records.select(F.to_json(F.sort_array(F.map_entries(bare))).alias("requirement"), bare.alias("needs"))
     return keyed.groupBy("requirement").agg(F.count(F.lit(1)).alias("n_records"), F.any_value("needs").alias("needs"))
 
 
 def answer_signatures(profiles: DataFrame) -> DataFrame:
     """Profiles with the key of their answer sheet."""
-    sheet = F.struct(*[F.array_sort(c).alias(c) for c in PROFILE_LISTS], *[F.col(c) for c in PROFILE_SCALARS])
+    sheet = F.struct(*[F.sort_array(c).alias(c) for c in PROFILE_LISTS], *[F.col(c) for c in PROFILE_SCALARS])
     return profiles.withColumn("answer", F.to_json(sheet, {"ignoreNullFields": "false"}))
 
 
@@ -303,28 +303,26 @@ def profile_cross_match(profiles: DataFrame, records: DataFrame) -> DataFrame:
     tokens, which reaches every pair that is not excluded outright; what is not
     reached is excluded and follows by subtraction from the total.
     """
+    names = [s[0] for s in C.ELIGIBILITY_FIELDS]
     keyed = answer_signatures(profiles)
     sheets = keyed.groupBy("answer").agg(*[F.any_value(c).alias(c) for c in PROFILE_LISTS + PROFILE_SCALARS])
-    sheets = sheets.withColumn("a_tokens", answer_tokens(F.col("answer")))
-    needs = requirement_signatures(records)
-    names = [s[0] for s in C.ELIGIBILITY_FIELDS]
-    needs = with_once(needs, {
+    sheets = with_once(sheets, {"a_tokens": answer_tokens(F.col("answer"))})
+    signatures = requirement_signatures(records)
+    needs = with_once(signatures, {
         "r_tokens": requirement_tokens(F.col("needs")),
         **{f"r_{f}": F.try_element_at(F.col("needs"), F.lit(f)) for f in names}}).drop("needs", "requirement")
-    left = sheets.withColumn("token", F.explode("a_tokens"))
-    right = needs.withColumn("token", F.explode("r_tokens"))
-    met = left.join(right, "token").where(
-        F.col("token") == F.array_min(F.array_intersect("a_tokens", "r_tokens")))
+    met = (
+        sheets.withColumn("token", F.explode("a_tokens"))
+        .join(needs.withColumn("token", F.explode("r_tokens")), "token")
+        .where(F.col("token") == F.array_min(F.array_intersect("a_tokens", "r_tokens"))))
     judged = met.withColumn("verdict", verdict_of({f: F.col(f"r_{f}") for f in names}, column_answers()))
-    reached = judged.groupBy("answer").agg(
-        *[F.sum(F.when(F.col("verdict") == v, F.col("n_records")).otherwise(0)).alias(v) for v in (ELIGIBLE, UNKNOWN)])
-    total = records.agg(F.count(F.lit(1)).alias("n")).scalar()
+    count = lambda v: F.sum(F.when(F.col("verdict") == v, F.col("n_records")).otherwise(0)).alias(v)
+    reached = judged.groupBy("answer").agg(count(ELIGIBLE), count(UNKNOWN))
+    total = signatures.agg(F.sum("n_records").alias("n")).scalar()
+    n = lambda v: F.coalesce(F.col(v), F.lit(0))
     return keyed.select("profile_id", "answer").join(reached, "answer", "left").select(
-        "profile_id",
-        F.coalesce(F.col(ELIGIBLE), F.lit(0)).alias("n_eligible"),
-        F.coalesce(F.col(UNKNOWN), F.lit(0)).alias("n_unknown"),
-        (total - F.coalesce(F.col(ELIGIBLE), F.lit(0)) - F.coalesce(F.col(UNKNOWN), F.lit(0))).alias("n_excluded"),
-    )
+        "profile_id", n(ELIGIBLE).alias("n_eligible"), n(UNKNOWN).alias("n_unknown"),
+        (total - n(ELIGIBLE) - n(UNKNOWN)).alias("n_excluded"))
 
 
 # --- checks on extracted eligibility --------------------------------------------
@@ -368,7 +366,7 @@ def from_categories(tags: DataFrame, base_url: str) -> DataFrame:
     """
     pages = sorted(C.CATEGORY_PAGES)
     per_slug = (
-        tags.where(F.col("page").isin(pages)).groupBy("slug").agg(F.array_sort(F.collect_set("page")).alias("pages")))
+        tags.where(F.col("page").isin(pages)).groupBy("slug").agg(F.sort_array(F.collect_set("page")).alias("pages")))
 
     def union_of(key):
         table = {p: C.CATEGORY_PAGES[p].get(key, []) for p in pages}

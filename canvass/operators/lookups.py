@@ -9,6 +9,7 @@ from canvass import config as C
 from canvass.functions.fields import host_of
 from canvass.functions.text import as_col
 from canvass.operators.eligibility import merge_defaults
+from canvass.session import cut_lineage
 
 MAX_BROADCAST_ROWS = 100_000
 
@@ -50,13 +51,17 @@ def vocab_unknown(requests: DataFrame, counts: DataFrame) -> DataFrame:
     """Requested values the catalogue lacks, each with up to two near ones.
 
     requests: (facet, value).  The vocabulary of a facet, ordered by count, is
-    one array; its length is bounded by the vocabulary gate.  So the search for
+    one array, and its length is checked.  So the search for
     near values is an equi-join on the facet, not a join on similarity.
     """
+    counts = cut_lineage(counts)
+    largest = counts.groupBy("facet").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    if largest > MAX_BROADCAST_ROWS:
+        raise ValueError(f"a facet has {largest} values: too many to serve as a vocabulary")
     asked = requests.distinct()
     missing = asked.join(counts.select("facet", "value"), ["facet", "value"], "left_anti")
     ordered = counts.groupBy("facet").agg(
-        F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("neg"), F.col("value").alias("v")))).alias("known"))
+        F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("neg"), F.col("value").alias("v")))).alias("known"))
     near = F.filter("known", lambda k: F.lower(k["v"]).contains(F.lower(F.col("value"))))
     return missing.join(ordered, "facet", "left").select(
         "facet", "value",
@@ -111,7 +116,7 @@ def crawl_policy_gate(urls: DataFrame, rules: DataFrame) -> DataFrame:
     rules travel as one short array, so urls are joined once, on the host.
     """
     per_host = rules.groupBy("host").agg(
-        F.array_sort(F.collect_list(F.struct("rule_no", "prefix", "allow"))).alias("rules"),
+        F.sort_array(F.collect_list(F.struct("rule_no", "prefix", "allow"))).alias("rules"),
         F.min("readable").alias("readable"))
     joined = urls.withColumn("host", host_of("url")).join(small(per_host), "host", "left")
     path = F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^#]*)", 1)
@@ -162,4 +167,4 @@ def profiles_for_queries(queries: DataFrame, profiles: DataFrame) -> DataFrame:
 def residency_union(tags: DataFrame, key: str, region: str = "region") -> DataFrame:
     """Regions over several pages, unioned, never intersected."""
     known = tags.where(F.col(region).isin(C.VALUE_DOMAINS["residency"]))
-    return known.groupBy(key).agg(F.array_sort(F.collect_set(as_col(region))).alias("regions"))
+    return known.groupBy(key).agg(F.sort_array(F.collect_set(as_col(region))).alias("regions"))

@@ -302,7 +302,7 @@ def field_map(elements: DataFrame) -> DataFrame:
     """
     last = elements.groupBy("page_id", "name").agg(F.max_by("text", "pos").alias("text"))
     return last.groupBy("page_id").agg(
-        F.map_from_entries(F.array_sort(F.collect_list(F.struct("name", "text")))).alias("fields"))
+        F.map_from_entries(F.sort_array(F.collect_list(F.struct("name", "text")))).alias("fields"))
 
 
 # --- over raw markup, without parsing --------------------------------------------
@@ -349,7 +349,7 @@ def section_merge(containers: DataFrame, page: str, pos: str, text: str, is_head
     cut = kept.select(page, pos, F.posexplode(sections(lines(text), is_heading)).alias("i", "s"))
     return cut.groupBy(page, F.col("s.heading").alias("heading")).agg(
         F.array_join(
-            F.transform(F.array_sort(F.collect_list(F.struct(pos, "i", F.col("s.body").alias("b")))), lambda x: x["b"]),
+            F.transform(F.sort_array(F.collect_list(F.struct(pos, "i", F.col("s.body").alias("b")))), lambda x: x["b"]),
             "\n").alias("body"))
 
 
@@ -450,4 +450,4 @@ def discriminator_broken(classified: DataFrame) -> DataFrame:
 def category_tags(links: DataFrame, item: str = "slug", page: str = "page") -> DataFrame:
     """Themed pages every item is listed on; only the known pages count."""
     return links.where(F.col(page).isin(sorted(C.CATEGORY_PAGES))).groupBy(item).agg(
-        F.array_sort(F.collect_set(page)).alias("pages"))
+        F.sort_array(F.collect_set(page)).alias("pages"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from canvass import config as C
+from canvass.functions.once import with_once
 from canvass.functions.text import SPACE, as_col, nfkc, strip, str_array
 
 FILTER_KEYS = list(C.MAX_VALUES_PER_FILTER)
@@ -99,15 +100,31 @@ def proposal_validate(proposals: DataFrame, vocabulary: DataFrame) -> DataFrame:
 SIGNATURE = [FACET_OF[k] for k in FILTER_KEYS]
 
 
-def record_signatures(records: DataFrame) -> DataFrame:
-    """Distinct facet combinations with their record counts."""
+OTHER = "\x01"
+
+
+def asked_values(questions: DataFrame) -> DataFrame:
+    """One row: the values any question selects, per filter (a subset of the vocabulary)."""
+    none = F.array().cast("array<string>")
+    pairs = F.array(*[F.struct(F.lit(k).alias("k"), F.coalesce(F.col(k), none).alias("vs")) for k in FILTER_KEYS])
+    flat = questions.select(F.inline(pairs)).select("k", F.explode("vs").alias("v")).distinct()
+    return flat.agg(F.struct(*[
+        F.collect_set(F.when(F.col("k") == k, F.col("v"))).alias(k) for k in FILTER_KEYS]).alias("asked"))
+
+
+def record_signatures(records: DataFrame, asked: Column) -> DataFrame:
+    """Distinct facet combinations as far as the questions can tell them apart.
+
+    Values nobody asks for only matter as being there at all, so they fold into
+    one marker; that keeps the combinations few however many records there are.
+    """
     none = F.array().cast("array<string>")
     cols = []
     for key in FILTER_KEYS:
         facet = FACET_OF[key]
-        col = F.col(facet)
-        values = F.array_compact(F.array(col)) if facet == "career" else F.array_sort(F.array_distinct(F.coalesce(col, none)))
-        cols.append(values.alias(facet))
+        values = F.array_compact(F.array(F.col(facet))) if facet == "career" else F.coalesce(F.col(facet), none)
+        known = F.sort_array(F.array_intersect(values, F.coalesce(asked[key], none)))
+        cols.append(F.when((F.size(values) > 0) & (F.size(known) == 0), str_array([OTHER])).otherwise(known).alias(facet))
     return records.select(*cols).groupBy(*SIGNATURE).agg(F.count(F.lit(1)).alias("n_records"))
 
 
@@ -140,10 +157,12 @@ def relax_ladder(questions: DataFrame, records: DataFrame, key: str = "question_
     """
     none = F.array().cast("array<string>")
     asks_of = [f"ask_{k}" for k in FILTER_KEYS]
-    asked = questions.select(key, *[F.array_sort(F.coalesce(F.col(k), none)).alias(f"ask_{k}") for k in FILTER_KEYS])
-    asks = asked.select(*asks_of).distinct()
-    asks = asks.withColumn("q_tokens", question_tokens(F.col("ask_areaOfStudy")))
-    sigs = record_signatures(records).withColumn("r_tokens", record_tokens(F.col("areas_of_study")))
+    asked = questions.select(key, *[F.sort_array(F.coalesce(F.col(k), none)).alias(f"ask_{k}") for k in FILTER_KEYS])
+    asked = asked.withColumn("ask", F.to_json(F.struct(*asks_of)))
+    asks = asked.groupBy("ask").agg(*[F.any_value(c).alias(c) for c in asks_of])
+    asks = with_once(asks, {"q_tokens": question_tokens(F.col("ask_areaOfStudy"))})
+    sigs = with_once(
+        record_signatures(records, asked_values(questions).scalar()), {"r_tokens": record_tokens(F.col("areas_of_study"))})
     met = (
         asks.withColumn("token", F.explode("q_tokens"))
         .join(sigs.withColumn("token", F.explode("r_tokens")), "token")
@@ -155,9 +174,10 @@ def relax_ladder(questions: DataFrame, records: DataFrame, key: str = "question_
     for k in C.RELAX_ORDER:
         steps = steps + F.when(F.size(f"ask_{k}") > 0, 1).otherwise(0)
         needed = F.when(~_passes(k), steps).otherwise(needed)
-    per_step = met.withColumn("step", needed).groupBy(*asks_of, "step").agg(F.sum("n_records").alias("n"))
-    best = per_step.groupBy(*asks_of).agg(F.min_by("n", "step").alias("n"), F.min("step").alias("step"))
-    joined = asked.join(best, asks_of, "left")
+    per_step = met.select("ask", needed.alias("step"), "n_records").groupBy("ask", "step").agg(
+        F.sum("n_records").alias("n"))
+    best = per_step.groupBy("ask").agg(F.min_by("n", "step").alias("n"), F.min("step").alias("step"))
+    joined = asked.join(best, "ask", "left")
     order = F.array_compact(F.array(*[F.when(F.size(f"ask_{k}") > 0, F.lit(k)) for k in C.RELAX_ORDER]))
     step = F.coalesce("step", F.size(order))
     return joined.select(
@@ -175,7 +195,7 @@ def interpretation_contract(interpretations: DataFrame, expectations: DataFrame)
     joined = expectations.join(long, ["question", "filter_key"], "left").withColumn(
         "got", F.coalesce("got", F.array().cast("array<string>")))
     ok = (
-        F.when(F.col("rule") == "equals", F.array_sort("got") == F.array_sort("wanted"))
+        F.when(F.col("rule") == "equals", F.sort_array("got") == F.sort_array("wanted"))
         .when(F.col("rule") == "contains", F.size(F.array_except("wanted", "got")) == 0)
         .when(F.col("rule") == "within", F.size(F.array_except("got", "wanted")) == 0)
         .when(F.col("rule") == "empty", F.size("got") == 0))

@@ -81,8 +81,8 @@ def vocab_version(vocabulary: DataFrame) -> DataFrame:
     Values are few (the gate bounds them), so one row holds the canonical text.
     """
     per_key = vocabulary.groupBy("filter_key").agg(
-        F.concat_ws(",", F.array_sort(F.collect_set("value"))).alias("text"))
-    whole = per_key.agg(F.array_sort(F.collect_list(F.concat_ws(":", "filter_key", "text"))).alias("parts"))
+        F.concat_ws(",", F.sort_array(F.collect_set("value"))).alias("text"))
+    whole = per_key.agg(F.sort_array(F.collect_list(F.concat_ws(":", "filter_key", "text"))).alias("parts"))
     return whole.select(F.substring(F.sha2(F.concat_ws("|", "parts"), 256), 1, 12).alias("version"))
 
 
@@ -105,7 +105,7 @@ def publish_manifest(split_counts: DataFrame, meta: DataFrame, registry: DataFra
     total = meta.agg(F.sum("total").alias("n")).select(
         F.lit("total_awards").alias("section"), none.cast("string").alias("key"), none.cast("string").alias("value"), "n")
     texts = registry.where((F.col("status") == "active") & (F.coalesce("disclaimer", F.lit("")) != "")).agg(
-        F.array_sort(F.collect_list(F.struct("source_id", F.trim("disclaimer").alias("d")))).alias("t"))
+        F.sort_array(F.collect_list(F.struct("source_id", F.trim("disclaimer").alias("d")))).alias("t"))
     disclaimer = texts.select(
         F.lit("disclaimer").alias("section"), none.cast("string").alias("key"),
         F.array_join(F.transform("t", lambda x: x["d"]), " ").alias("value"), none.cast("long").alias("n"))
@@ -127,9 +127,8 @@ def write_core_and_shards(records: DataFrame, registry: DataFrame, path: str) ->
     delivery = registry.where(F.col("status") == "active").select("source_id", "delivery")
     split = records.join(lookups.small(delivery), "source_id", "left").withColumn(
         "delivery", F.when(F.col("delivery") == "core", "core").otherwise("shard"))
-    # hot sources are spread by record so that no single task writes one alone
-    spread = split.repartition("delivery", "source_id", F.pmod(F.xxhash64("award_uid"), F.lit(16)))
-    spread.write.mode("overwrite").partitionBy("delivery", "source_id").parquet(path)
+    # rebalancing lets adaptive execution cut a hot source into many tasks and join small ones
+    split.hint("rebalance", "delivery", "source_id").write.mode("overwrite").partitionBy("delivery", "source_id").parquet(path)
     return path
 
 

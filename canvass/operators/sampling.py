@@ -51,7 +51,7 @@ def stratified_sample(records: DataFrame, text: str, probes=None, seed: int = C.
         probe_hits(text, probes)).alias("concept"))
     first = Window.partitionBy("concept").orderBy("draw", "award_uid")
     pool = hits.withColumn("rn", F.row_number().over(first)).where(F.col("rn") <= bound)
-    per_concept = pool.groupBy("concept").agg(F.array_sort(F.collect_list(F.struct("draw", "award_uid"))).alias("pool"))
+    per_concept = pool.groupBy("concept").agg(F.sort_array(F.collect_list(F.struct("draw", "award_uid"))).alias("pool"))
     row = per_concept.agg(F.map_from_entries(F.collect_list(F.struct("concept", "pool"))).alias("pools"))
     none = F.array().cast("array<string>")
     picked = row
