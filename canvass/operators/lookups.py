@@ -91,8 +91,9 @@ def permalink_lookup(ids: DataFrame, records: DataFrame) -> DataFrame:
     keyed = records.select("award_uid", "award_id")
     asked = ids.select("id").distinct()
     by_uid = asked.join(keyed, asked.id == keyed.award_uid).select("id", "award_uid")
-    first = keyed.groupBy("award_id").agg(F.min("award_uid").alias("first_uid"))
     rest = asked.join(by_uid.select("id"), "id", "left_anti")
+    wanted = keyed.join(rest, keyed.award_id == rest.id, "left_semi")
+    first = wanted.groupBy("award_id").agg(F.min("award_uid").alias("first_uid"))
     bare = rest.join(first, rest.id == first.award_id, "left").select("id", F.col("first_uid").alias("award_uid"))
     return by_uid.unionByName(bare)
 

@@ -221,12 +221,12 @@ def cli_profile_merge(spark, sf):
 
 @query("profiles_scan",
        "select o_orderkey, c_mktsegment as segment, c_custkey is not null as profiled from orders left join customer "
-       "on c_custkey = o_custkey and o_custkey % 10 <> 9")
+       "on c_custkey = o_custkey and c_mktsegment <> 'MACHINERY'")
 def profiles_scan(spark, sf):
     from canvass.operators import lookups
 
     asks = standin.table(spark, sf, "orders").select("o_orderkey", F.col("o_custkey").cast("string").alias("profile_id"))
-    have = standin.table(spark, sf, "customer").where(F.col("c_custkey") % 10 != 9).select(
+    have = standin.table(spark, sf, "customer").where("c_mktsegment <> 'MACHINERY'").select(
         F.col("c_custkey").cast("string").alias("profile_id"), F.col("c_mktsegment").alias("segment"), F.lit(True).alias("hit"))
     joined = lookups.profiles_for_queries(asks, have)
     return joined.select("o_orderkey", "segment", F.coalesce("hit", F.lit(False)).alias("profiled"))

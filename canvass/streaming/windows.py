@@ -5,7 +5,7 @@ first request after the window has run out.  That looks sequential, yet every
 event knows where the next window would open if one opened at it, so the real
 openings are found by pointer doubling: log2(windows in a row) joins on
 (key, time), evenly spread whatever key is hot.  No key is ever gathered in one
-task; the widest group is one key within one window length.
+task: lookups meet in slots a thousandth of a window long.
 """
 
 from __future__ import annotations
@@ -17,23 +17,46 @@ from canvass import config as C
 from canvass.session import cut_lineage
 
 
-def _probe_slots(points: DataFrame, width: int, strict: bool) -> tuple[DataFrame, DataFrame]:
-    """Probes with the opening found in their slot, and the first event of every slot.
+def _grain(width: int) -> int:
+    """Length of a lookup slot: a small part of the width, at least a second."""
+    return max(width // 1024, 1_000_000)
 
-    Times are cut into slots of one width.  The event sought lies in the next
-    slot behind the probe's offset, or is the first of a later slot.
+
+def _jumps(points: DataFrame, width: int, strict: bool) -> DataFrame:
+    """(key, t) -> nxt: the first event after the window that would open at t.
+
+    Probes for t + width and events meet in short time slots of their key.  The
+    event sought lies in the probe's slot, or is the first of a later one.
     """
-    probes = points.select("key", (F.col("t") + width).alias("at"), F.col("t"), F.lit(0).alias("is_event"))
-    events = points.select("key", F.col("t").alias("at"), F.col("t"), F.lit(1).alias("is_event"))
-    both = probes.unionByName(events).withColumn("slot", F.floor(F.col("at") / width))
+    grain = _grain(width)
+    probes = points.select("key", (F.col("t") + width).alias("at"), "t", F.lit(0).alias("is_event"))
+    events = points.select("key", F.col("t").alias("at"), "t", F.lit(1).alias("is_event"))
+    both = probes.unionByName(events).withColumn("slot", F.floor(F.col("at") / grain))
+    event_at = F.when(F.col("is_event") == 1, F.col("at"))
     # scanning back in time, an event as late as the probe itself counts only
     # when the window's end is open
     tie = F.col("is_event").asc() if strict else F.col("is_event").desc()
-    ahead = Window.partitionBy("key", "slot").orderBy(F.col("at").desc(), tie).rowsBetween(
-        Window.unboundedPreceding, -1)
-    seen = both.withColumn("in_slot", F.last(F.when(F.col("is_event") == 1, F.col("at")), ignorenulls=True).over(ahead))
-    slots = points.groupBy("key", F.floor(F.col("t") / width).alias("slot")).agg(F.min("t").alias("first_t"))
-    return seen.where("is_event = 0").select("key", "t", "slot", "in_slot"), slots
+    back = Window.partitionBy("key", "slot").orderBy(F.col("at").desc(), tie).rowsBetween(Window.unboundedPreceding, -1)
+    in_slot = both.withColumn("in_slot", F.last(event_at, ignorenulls=True).over(back)).where("is_event = 0")
+    # first event of any later slot: a table as long as a key's time span
+    slots = both.groupBy("key", "slot").agg(F.min(event_at).alias("first_t"))
+    later = Window.partitionBy("key").orderBy(F.col("slot").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    behind = slots.select("key", "slot", F.min("first_t").over(later).alias("later_t"))
+    joined = in_slot.join(behind, ["key", "slot"])
+    return joined.select("key", "t", F.coalesce("in_slot", "later_t").alias("nxt")).where(F.col("nxt").isNotNull())
+
+
+def _sure_openings(points: DataFrame, width: int, strict: bool) -> DataFrame:
+    """The first event of a key, and any event after a pause longer than the width."""
+    grain = _grain(width)
+    slotted = points.withColumn("slot", F.floor(F.col("t") / grain))
+    in_slot = Window.partitionBy("key", "slot").orderBy("t")
+    before = Window.partitionBy("key").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
+    last_of = slotted.groupBy("key", "slot").agg(F.max("t").alias("last_t"))
+    last_before = last_of.select("key", "slot", F.max("last_t").over(before).alias("prev_last"))
+    gaps = slotted.withColumn("prev", F.lag("t").over(in_slot)).join(last_before, ["key", "slot"])
+    pause = F.col("t") - F.coalesce("prev", "prev_last")
+    return gaps.where(pause.isNull() | ((pause > width) if strict else (pause >= width))).select("key", "t")
 
 
 def window_openings(events: DataFrame, key: str, ts: str, width_seconds: float, strict: bool = True) -> DataFrame:
@@ -44,27 +67,8 @@ def window_openings(events: DataFrame, key: str, ts: str, width_seconds: float,
     """
     width = int(width_seconds * 1_000_000)
     points = events.select(F.col(key).alias("key"), F.unix_micros(ts).alias("t")).distinct()
-    probed, slots = _probe_slots(points, width, strict)
-    # first event of any later slot, per key and slot: a table as long as the time span
-    later = Window.partitionBy("key").orderBy(F.col("slot").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    later_first = slots.withColumn("later_t", F.min("first_t").over(later))
-    # the probe slot may hold no event: then look up the nearest slot behind the event's own
-    own = later_first.select("key", (F.col("slot") + 1).alias("slot"), F.col("later_t").alias("behind_own"))
-    at_slot = later_first.select("key", "slot", "later_t", F.lit(True).alias("has"))
-    joined = probed.join(own, ["key", "slot"], "left").join(at_slot, ["key", "slot"], "left")
-    fallback = F.when(F.col("has"), F.col("later_t")).otherwise(F.col("behind_own"))
-    jumps = joined.select("key", "t", F.coalesce("in_slot", fallback).alias("nxt"))
-    # sure openings: the first event of a key, and any event after a pause longer than the width
-    quiet = points.withColumn("slot", F.floor(F.col("t") / width))
-    in_slot = Window.partitionBy("key", "slot").orderBy("t")
-    before = Window.partitionBy("key").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
-    last_of = quiet.groupBy("key", "slot").agg(F.max("t").alias("last_t"))
-    last_before = last_of.withColumn("prev_last", F.max("last_t").over(before)).select("key", "slot", "prev_last")
-    gaps = quiet.withColumn("prev", F.lag("t").over(in_slot)).join(last_before, ["key", "slot"], "left")
-    pause = F.col("t") - F.coalesce("prev", "prev_last")
-    sure = gaps.where(pause.isNull() | ((pause > width) if strict else (pause >= width))).select("key", "t")
-
-    opened, jumps = cut_lineage(sure), cut_lineage(jumps.where(F.col("nxt").isNotNull()))
+    sure, jumps = _sure_openings(points, width, strict), _jumps(points, width, strict)
+    opened, jumps = cut_lineage(sure), cut_lineage(jumps)
     known = opened.count()
     while True:
         reached = opened.join(jumps, ["key", "t"]).select("key", F.col("nxt").alias("t"))

@@ -82,6 +82,18 @@ def test_delivery_split_prunes(spark, sf_dir, tmp_path):
     assert readers.read_shards(spark, path, ["s1"]).count() == records.where("source_id = 's1'").count()
 
 
+def test_filters_and_columns_reach_the_scan(spark, sf_dir, tmp_path):
+    from canvass.operators import facets
+
+    base.records(spark, sf_dir).drop("eligibility").write.parquet(str(tmp_path / "r"))
+    stored = spark.read.parquet(str(tmp_path / "r"))
+    picked = facets.structured_filters(stored, {"career": ["Undergraduate"], "amount": {"min": 500}}).select("award_uid")
+    plan = picked._jdf.queryExecution().toString()
+    assert "GreaterThanOrEqual(amount_max,500)" in plan and "IsNull(career)" in plan
+    scan = plan[plan.index("ReadSchema"):].split(">")[0]
+    assert "award_description" not in scan
+
+
 def test_sample_fills_quotas_without_repeats(spark):
     probes = [("a", 3, "apple"), ("b", 3, "apple|pear"), ("rest", 4, None)]
     rows = [(f"u{i}", "apple" if i < 5 else "pear" if i < 7 else "plum" if i < 20 else " ") for i in range(30)]
