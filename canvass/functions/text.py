@@ -102,10 +102,13 @@ def fold(col) -> Column:
     """Decomposed text: each accented Latin letter becomes its base letter plus a mark.
 
     The mark written is always U+0301; tokenisers only need to see that one is
-    there.  Stays in the JVM, two passes.  ``nfkd`` covers all of Unicode.
+    there.  Stays in the JVM, two passes; text without any letter beyond ASCII,
+    told by its length in bytes, is left alone.  ``nfkd`` covers all of Unicode.
     """
-    marked = F.regexp_replace(as_col(col), f"({ACCENT_CLASS})", "$1\u0301")
-    return F.translate(marked, ACCENTED, BASE)
+    text = as_col(col)
+    marked = F.regexp_replace(text, f"({ACCENT_CLASS})", "$1\u0301")
+    plain = F.octet_length(text) == F.char_length(text)
+    return F.when(plain, text).otherwise(F.translate(marked, ACCENTED, BASE))
 
 
 def norm_text(col, full: bool = False) -> Column:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from canvass import config as C
 from canvass.functions.once import with_once
 from canvass.functions.text import as_col, literal_map, str_array
+from canvass.session import cut_lineage
 
 ELIGIBLE, UNKNOWN, EXCLUDED = "eligible", "unknown", "excluded"
 NO_DATA = "No structured eligibility has been extracted for this award yet."
@@ -250,7 +251,8 @@ def requirement_signatures(records: DataFrame) -> DataFrame:
     bare = F.transform_values("eligibility", lambda _, e: F.struct(
         F.sort_array(e["values"]).alias("values"), e["num"].alias("num"), e["flag"].alias("flag"),
         e["confidence"].alias("confidence"), F.lit(None).cast("string").alias("src")))
-    keyed = records.select(F.to_json(F.sort_array(F.map_entries(bare))).alias("requirement"), bare.alias("needs"))
+    keyed = with_once(records.select("eligibility"), {"needs": bare}).withColumn(
+        "requirement", F.to_json(F.sort_array(F.map_entries("needs"))))
     return keyed.groupBy("requirement").agg(F.count(F.lit(1)).alias("n_records"), F.any_value("needs").alias("needs"))
 
 
@@ -307,7 +309,7 @@ def profile_cross_match(profiles: DataFrame, records: DataFrame) -> DataFrame:
     keyed = answer_signatures(profiles)
     sheets = keyed.groupBy("answer").agg(*[F.any_value(c).alias(c) for c in PROFILE_LISTS + PROFILE_SCALARS])
     sheets = with_once(sheets, {"a_tokens": answer_tokens(F.col("answer"))})
-    signatures = requirement_signatures(records)
+    signatures = cut_lineage(requirement_signatures(records))  # small, and read twice
     needs = with_once(signatures, {
         "r_tokens": requirement_tokens(F.col("needs")),
         **{f"r_{f}": F.try_element_at(F.col("needs"), F.lit(f)) for f in names}}).drop("needs", "requirement")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from canvass import config as C
+from canvass.functions.once import with_once
 from canvass.functions.text import as_col
 
 TOTAL_QUOTA = sum(q for _, q, _ in C.SAMPLE_PROBES)
@@ -24,8 +25,8 @@ def probe_hits(text, probes=None) -> Column:
 def concept_rates(records: DataFrame, text: str, probes=None) -> DataFrame:
     """Share of records mentioning each concept: one aggregate, unpivoted."""
     probes = [p for p in (probes or C.SAMPLE_PROBES) if p[-1] is not None]
-    body = F.coalesce(F.col(text), F.lit(""))
-    one = records.agg(
+    body = F.col("_body")
+    one = with_once(records, {"_body": F.coalesce(F.col(text), F.lit(""))}).agg(
         F.count(F.lit(1)).alias("n_records"),
         *[F.count_if(body.rlike("(?i)" + p[-1])).alias(p[0]) for p in probes])
     return one.unpivot(["n_records"], [p[0] for p in probes], "concept", "n_hits").withColumn(
@@ -47,8 +48,9 @@ def stratified_sample(records: DataFrame, text: str, probes=None, seed: int = C.
     """
     probes = probes or C.SAMPLE_PROBES
     bound = sum(q for _, q, _ in probes)
-    hits = records.select("award_uid", draw_order("award_uid", seed).alias("draw"), F.explode(
-        probe_hits(text, probes)).alias("concept"))
+    read = with_once(records, {"_body": as_col(text)})
+    hits = read.select("award_uid", F.explode(probe_hits("_body", probes)).alias("concept")).withColumn(
+        "draw", draw_order("award_uid", seed))
     first = Window.partitionBy("concept").orderBy("draw", "award_uid")
     pool = hits.withColumn("rn", F.row_number().over(first)).where(F.col("rn") <= bound)
     per_concept = pool.groupBy("concept").agg(F.sort_array(F.collect_list(F.struct("draw", "award_uid"))).alias("pool"))

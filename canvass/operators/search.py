@@ -49,7 +49,7 @@ def merge_career(request, profile) -> Column:
 
 def record_tokens(full: bool = False) -> Column:
     """Distinct tokens over all searched fields of a record."""
-    return F.array_distinct(F.concat(*[tokenize(f, full) for f in FIELDS]))
+    return F.array_distinct(tokenize(F.concat_ws("\n", *FIELDS), full))
 
 
 def doc_frequency(records: DataFrame) -> DataFrame:

@@ -88,7 +88,9 @@ def test_filters_and_columns_reach_the_scan(spark, sf_dir, tmp_path):
     base.records(spark, sf_dir).drop("eligibility").write.parquet(str(tmp_path / "r"))
     stored = spark.read.parquet(str(tmp_path / "r"))
     picked = facets.structured_filters(stored, {"career": ["Undergraduate"], "amount": {"min": 500}}).select("award_uid")
+    spark.conf.set("spark.sql.maxMetadataStringLength", "2000")
     plan = picked._jdf.queryExecution().toString()
+    spark.conf.unset("spark.sql.maxMetadataStringLength")
     assert "GreaterThanOrEqual(amount_max,500)" in plan and "IsNull(career)" in plan
     scan = plan[plan.index("ReadSchema"):].split(">")[0]
     assert "award_description" not in scan
