@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from canvass import config as C
+from canvass.functions.once import bind
 from canvass.functions.text import as_col, clean_scalar, clean_text, strip
 
 # Ingestion: thousands by comma or space.  A figure without separators is read
@@ -37,15 +38,18 @@ def _figures(col: Column, pattern: str, floor: int) -> Column:
 def parse_amounts(col, compose: bool = True) -> Column:
     """struct(amount_min, amount_max, amount_raw) of an amount cell or of prose."""
     text = as_col(col)
-    values = _figures(text, INGEST, C.MIN_MEANINGFUL_AMOUNT)
-    cleaned = clean_text(text, compose)
-    short = F.length(cleaned) <= C.RAW_VERBATIM_LIMIT
-    raw = F.when(short, cleaned).when(F.size(values) > 0, _spans(text, INGEST))
-    return F.struct(
-        F.array_min(values).alias("amount_min"),
-        F.array_max(values).alias("amount_max"),
-        raw.alias("amount_raw"),
-    )
+    found = {"values": _figures(text, INGEST, C.MIN_MEANINGFUL_AMOUNT), "cleaned": clean_text(text, compose)}
+
+    def build(v):
+        short = F.length(v["cleaned"]) <= C.RAW_VERBATIM_LIMIT
+        raw = F.when(short, v["cleaned"]).when(F.size(v["values"]) > 0, _spans(text, INGEST))
+        return F.struct(
+            F.array_min(v["values"]).alias("amount_min"),
+            F.array_max(v["values"]).alias("amount_max"),
+            raw.alias("amount_raw"),
+        )
+
+    return bind(found, build)
 
 
 def money_excerpt(col) -> Column:
@@ -58,18 +62,22 @@ def money_excerpt(col) -> Column:
 def derive_amounts(amount_min, amount_max, amount_raw, value_text, description) -> Column:
     """Fill missing amounts from the value text, else from the description."""
     amount_min, amount_max, amount_raw = as_col(amount_min), as_col(amount_max), as_col(amount_raw)
-    first = _figures(as_col(value_text), BACKFILL, C.MIN_BACKFILL_AMOUNT)
-    second = _figures(as_col(description), BACKFILL, C.MIN_BACKFILL_AMOUNT)
-    has_first, has_second = F.size(first) > 0, F.size(second) > 0
-    chosen = F.when(has_first, first).when(has_second, second)
-    text = F.when(has_first, as_col(value_text)).when(has_second, as_col(description))
-    missing = amount_max.isNull() & chosen.isNotNull()
+    value_text, description = as_col(value_text), as_col(description)
+    figures = lambda t: F.when(
+        amount_max.isNull() & t.contains("$"), _figures(t, BACKFILL, C.MIN_BACKFILL_AMOUNT))
     no_raw = amount_raw.isNull() | (amount_raw == "")
-    return F.struct(
-        F.when(missing, F.array_min(chosen)).otherwise(amount_min).alias("amount_min"),
-        F.when(missing, F.array_max(chosen)).otherwise(amount_max).alias("amount_max"),
-        F.when(missing & no_raw, money_excerpt(text)).otherwise(amount_raw).alias("amount_raw"),
-    )
+
+    def build(v):
+        has_first, has_second = F.size(v["first"]) > 0, F.size(v["second"]) > 0
+        chosen = F.when(has_first, v["first"]).when(has_second, v["second"])
+        excerpt = F.when(has_first, money_excerpt(value_text)).when(has_second, money_excerpt(description))
+        return F.struct(
+            F.coalesce(F.array_min(chosen), amount_min).alias("amount_min"),
+            F.coalesce(F.array_max(chosen), amount_max).alias("amount_max"),
+            F.when(chosen.isNotNull() & no_raw, excerpt).otherwise(amount_raw).alias("amount_raw"),
+        )
+
+    return bind({"first": figures(value_text), "second": figures(description)}, build)
 
 
 def first_dollar(value_text, description) -> Column:

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from canvass import config as C
 from canvass.functions import fields as fx
 from canvass.functions import money
-from canvass.functions.once import with_once
 from canvass.functions.text import as_col, clean_scalar, split_multi
 
 SCALARS = [
@@ -78,7 +77,8 @@ def build_record(rows: DataFrame) -> DataFrame:
     )
     derived = money.derive_amounts(
         "amount_min", "amount_max", "amount_raw", "award_value_description", "award_description")
-    return with_once(cleaned, {"_d": derived}).select(
+    # a plain projection: amounts nobody reads are pruned away
+    return cleaned.withColumn("_d", derived).select(
         *[c for c in cleaned.columns if c not in ("amount_min", "amount_max", "amount_raw")],
         F.col("_d.amount_min").alias("amount_min"),
         F.col("_d.amount_max").alias("amount_max"),

@@ -8,6 +8,16 @@ from pyspark.sql import functions as F
 from canvass.schema import PROFILE, REGISTRY, TABLE
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """Use all cores on an input that has fewer splits than there are cores.
+
+    A file of one row group is one task, however costly the work on its rows.
+    Inputs with enough splits, as any large table has, are left alone.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
 def read_records(spark: SparkSession, path: str, fmt: str = "json", schema=None) -> DataFrame:
     """Published or ingested records; the schema is never guessed when given."""
     reader = spark.read.format(fmt)

@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from canvass.sources.readers import spread
+
 # --- expressions over lineitem join part --------------------------------------
 LINE_SETS = {
     "level": "'UG Year ' || cast(p_size % 4 + 1 as string)",
@@ -151,8 +153,12 @@ DOC = {
 SET_FIELDS = ["citizenship", "residency", "institution", "program_excluded", "year", "level", "identity"]
 
 
+SPREAD = {"orders", "documents", "pages"}  # tables whose rows feed costly expressions
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    scan = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(scan) if name in SPREAD else scan
 
 
 def select_exprs(df: DataFrame, exprs: dict) -> DataFrame:
