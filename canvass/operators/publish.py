@@ -157,15 +157,18 @@ def staged_publish(outputs: dict, gates: list, root: str, version: str) -> str:
 
 
 def point_to(spark, root: str, version: str) -> None:
-    """Swap the pointer file by rename, so readers see the old or the new version."""
+    """Swap the pointer file by an overwriting rename: readers see the old or the new version."""
     fs, Path = _fs(spark, root)
     temp, final = Path(f"{root}/CURRENT.{version}"), Path(f"{root}/CURRENT")
     out = fs.create(temp, True)
     out.write(bytearray(version.encode()))
     out.close()
-    if fs.exists(final):
-        fs.delete(final, False)
-    fs.rename(temp, final)
+    sc = spark.sparkContext
+    context = sc._jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), sc._jsc.hadoopConfiguration())
+    rename = getattr(sc._jvm.org.apache.hadoop.fs, "Options$Rename")
+    options = sc._gateway.new_array(rename, 1)
+    options[0] = rename.OVERWRITE
+    context.rename(fs.makeQualified(temp), fs.makeQualified(final), options)
 
 
 def current_version(spark, root: str) -> str | None:

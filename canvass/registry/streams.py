@@ -130,7 +130,7 @@ def admit_per_key(spark, sf):
 
 def event_stream(spark, sf):
     schema = standin.table(spark, sf, "events").schema
-    s = spark.readStream.schema(schema).parquet(f"{sf}/events.parquet*")
+    s = spark.readStream.schema(schema).option("maxFilesPerTrigger", 64).parquet(f"{sf}/events.parquet*")
     return s.withColumn("ts", F.col("ts").cast("timestamp")).withColumn("failed", F.col("event_type") == "error")
 
 
