@@ -4,9 +4,12 @@ import oracle
 import pytest
 
 import __spark_entry__ as entry_module
+from canvass.registry import QUERIES as registered
+from canvass.registry import load_all
 
-QUERIES = entry_module.queries()
-SQL = entry_module.oracle_sql()
+load_all()
+QUERIES = {name: fn for name, fn in entry_module.queries().items() if name in registered}
+SQL = {name: sql for name, sql in entry_module.oracle_sql().items() if name in registered}
 
 
 @pytest.fixture(scope="module")
