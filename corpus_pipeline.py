@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from canvass.llm import decontaminate, packing, quality_rules, secrets
+from canvass.llm import decontaminate, near_dups, packing, quality_rules, secrets
 from canvass.llm.common import small_batches, stage
 from canvass.llm.queries import table, tokenizer_path
 
@@ -18,6 +18,12 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality_rules.keep_good(docs)
 
 
+def near_dup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near copies stays, the one with the smallest id."""
+    small_batches(spark)
+    return near_dups.one_of_each(docs)
+
+
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a window of a benchmark item go."""
     small_batches(spark)
@@ -37,6 +43,7 @@ def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 STAGES = [
     ("quality rules", quality_stage),
+    ("MinHash near-dedup", near_dup_stage),
     ("benchmark decontamination", decontamination_stage),
     ("secret scans", secrets_stage),
     ("packing", packing_stage),
