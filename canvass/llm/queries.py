@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from canvass.llm import decontaminate, near_dups, packing, quality_rules, secrets, sharding
+from canvass.llm import decontaminate, lm_trie, near_dups, packing, quality_rules, secrets, sharding
 from canvass.llm.common import small_batches
 
 QUERIES: dict = {}
@@ -58,6 +58,12 @@ def op4(spark, sf_dir):
         F.array_join("failed_rules", ",").alias("failed_rules"))
 
 
+@query("op7_lm_scores")
+def op7(spark, sf_dir):
+    return lm_trie.score(table(spark, sf_dir, "documents")).select(
+        "doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 @query("op8_near_dups")
 def op8(spark, sf_dir):
     return near_dups.classes(table(spark, sf_dir, "documents")).select(
