@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from canvass.llm import decontaminate, lm_trie, near_dups, packing, quality_rules, secrets, sharding
+from canvass.llm import (
+    classifier, decontaminate, licenses, lm_trie, near_dups, packing, quality_rules, secrets, sharding, token_counts)
 from canvass.llm.common import small_batches
 
 QUERIES: dict = {}
@@ -36,6 +37,23 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
+def laid_out(docs):
+    """Documents as files: source, language and thousand of ids are directories.
+
+    A text that opens with a notice is the licence file of its directory.
+    """
+    opens = F.regexp_like(F.coalesce(F.substring_index("text", "\n", 1), F.lit("")), F.lit(licenses.CUES))
+    name = F.when(opens, F.concat(F.lit("LICENSE-"), F.col("doc_id").cast("string"))).otherwise(
+        F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
+    path = F.concat_ws("/", "source", "lang", F.floor(F.col("doc_id") / 1000).cast("string"), name)
+    return docs.select("doc_id", path.alias("path"), "text")
+
+
+@query("op1_licenses")
+def op1(spark, sf_dir):
+    return licenses.scan(laid_out(table(spark, sf_dir, "documents")))
+
+
 @query("op2_packing")
 def op2(spark, sf_dir):
     packed = packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path(), keep_ids=False)
@@ -58,6 +76,30 @@ def op4(spark, sf_dir):
         F.array_join("failed_rules", ",").alias("failed_rules"))
 
 
+@query("op5_quality_classifier")
+def op5(spark, sf_dir):
+    path = F.concat_ws("/", "source", "lang")
+    return classifier.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), F.col("source"), path)
+
+
+MAIL = r"[A-Za-z0-9._-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){1,8}"
+
+
+def mail_edits(text):
+    """Every mail address gives way to a mark."""
+    spans = secrets.matches(F.coalesce(text, F.lit("")), f"({MAIL})", 1, 1)
+    return F.transform(spans, lambda s: F.struct(s["start"], s["end"], F.lit("[mail]").alias("text")))
+
+
+@query("op6_token_counts")
+def op6(spark, sf_dir):
+    import public_tokenizers
+
+    return token_counts.counts_after_edits(
+        table(spark, sf_dir, "documents"), mail_edits(F.col("text")), tokenizer_path("byte_bpe_50k.tiktoken"),
+        public_tokenizers.PATTERN)
+
+
 @query("op7_lm_scores")
 def op7(spark, sf_dir):
     return lm_trie.score(table(spark, sf_dir, "documents")).select(
