@@ -186,7 +186,7 @@ ROW_CAP = 300
 
 # --- pages ------------------------------------------------------------------
 OPAQUE_TAGS = ["script", "style", "noscript", "template"]
-VOID_TAGS = ["area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"]
+VOID_TAGS = ["area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"]
 BLOCK_TAGS = ["p", "div", "li", "tr", "br", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "pre", "section",
               "article", "td", "th", "dt", "dd"]
 LINE_TAGS = ["p", "li", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "pre", "tr"]

@@ -107,7 +107,7 @@ def name_counts(rows: DataFrame, name: str = "award_name") -> DataFrame:
 def split_depth(rows: DataFrame, dims: list, cap: int = C.ROW_CAP) -> DataFrame:
     """Coarsest groups that stay under the row cap.
 
-    A group is kept when its size is below the cap and its parent's is not; at
+    A group is kept when its size is within the cap and its parent's is not; at
     the deepest level also groups still over it are kept, flagged incomplete.
     ``dims`` is a list of column lists, coarse to fine.  Sizes are rolled up from
     the finest counts, so the rows are shuffled once, combined map-side.
@@ -123,15 +123,15 @@ def split_depth(rows: DataFrame, dims: list, cap: int = C.ROW_CAP) -> DataFrame:
     for depth, level in enumerate(levels):
         keys = [c for lv in dims[: depth + 1] for c in lv]
         last = depth == len(levels) - 1
-        kept = level if last else level.where(F.col("n") < cap)
+        kept = level if last else level.where(F.col("n") <= cap)
         if depth > 0:
             parents = [c for lv in dims[:depth] for c in lv]
-            over = levels[depth - 1].where(F.col("n") >= cap).select(*parents)
+            over = levels[depth - 1].where(F.col("n") > cap).select(*parents)
             match = [kept[p].eqNullSafe(over[p]) for p in parents]
             kept = kept.join(over, match, "left_semi")
         kept = kept.select(
             F.lit(depth + 1).alias("depth"),
             *[F.col(c) if c in keys else F.lit(None).cast("string").alias(c) for c in flat],
-            F.col("n"), (F.col("n") >= cap).alias("incomplete"))
+            F.col("n"), (F.col("n") > cap).alias("incomplete"))
         out = kept if out is None else out.unionByName(kept)
     return out

@@ -140,11 +140,13 @@ def severity(entry: Column, spec, have: Column) -> Column:
         .otherwise(value))
 
 
-def verdict_of(entries: dict, answers: dict) -> Column:
-    """The verdict alone, from one entry column per field: no reasons are built."""
+def verdict_of(entries: dict, answers: dict, empty: Column) -> Column:
+    """The verdict alone, from one entry column per field: no reasons are built.
+
+    ``empty``: nothing was extracted; a map of undeclared fields only is not empty.
+    """
     worst = F.least(*[severity(entries[s[0]], s, answers[s[2]]) for s in C.ELIGIBILITY_FIELDS])
-    stated = F.greatest(*[e.isNotNull().cast("int") for e in entries.values()])
-    return F.when(stated == 0, UNKNOWN).when(worst == 0, EXCLUDED).when(worst == 1, UNKNOWN).otherwise(ELIGIBLE)
+    return F.when(empty, UNKNOWN).when(worst == 0, EXCLUDED).when(worst == 1, UNKNOWN).otherwise(ELIGIBLE)
 
 
 def merge_defaults(eligibility, defaults) -> Column:
@@ -162,6 +164,10 @@ def field_results(eligibility: Column, answers: dict) -> Column:
     return F.array_compact(F.array(*parts))
 
 
+def nothing_extracted(eligibility) -> Column:
+    return F.coalesce(F.size(eligibility), F.lit(0)) <= 0
+
+
 def match(df: DataFrame, eligibility: str, answers: dict, application_type: str | None = None) -> DataFrame:
     """Add verdict, reasons, unknown_fields, excluded_fields to every row.
 
@@ -171,7 +177,7 @@ def match(df: DataFrame, eligibility: str, answers: dict, application_type: str
     names = lambda v: F.transform(
         F.filter("_fields", lambda r: r["verdict"] == v), lambda r: r["field"])
     held = held.withColumn("unknown_fields", names(UNKNOWN)).withColumn("excluded_fields", names(EXCLUDED))
-    empty = F.coalesce(F.size(eligibility), F.lit(0)) <= 0
+    empty = nothing_extracted(eligibility)
     verdict = (
         F.when(empty, F.lit(UNKNOWN))
         .when(F.size("excluded_fields") > 0, F.lit(EXCLUDED))
@@ -190,7 +196,7 @@ def with_verdict(df: DataFrame, eligibility: str, answers: dict) -> DataFrame:
     """Only the verdict of every row: the cheap form for counting and filtering."""
     names = [s[0] for s in C.ELIGIBILITY_FIELDS]
     held = with_once(df, {f"_r_{f}": F.try_element_at(F.col(eligibility), F.lit(f)) for f in names})
-    verdict = verdict_of({f: F.col(f"_r_{f}") for f in names}, answers)
+    verdict = verdict_of({f: F.col(f"_r_{f}") for f in names}, answers, nothing_extracted(eligibility))
     return held.withColumn("verdict", verdict).drop(*[f"_r_{f}" for f in names])
 
 
@@ -240,6 +246,8 @@ def flatten(records: DataFrame) -> DataFrame:
 
 # --- many profiles against many records ---------------------------------------
 OPEN_SPREAD = 16
+OTHER = "\x00other"  # stands for answers that no requirement names
+BELOW_ALL = -1e308
 
 
 def requirement_signatures(records: DataFrame) -> DataFrame:
@@ -262,6 +270,39 @@ def answer_signatures(profiles: DataFrame) -> DataFrame:
     return profiles.withColumn("answer", F.to_json(sheet, {"ignoreNullFields": "false"}))
 
 
+def folded_answers(profiles: DataFrame, signatures: DataFrame) -> DataFrame:
+    """Answers reduced to what the requirements can tell apart.
+
+    A listed value that nobody asks for becomes one mark, and a number the greatest
+    stated floor that it reaches.  So the number of different sheets is bounded by the
+    stated values, not by the profiles.
+    """
+    def stated(values: Column) -> Column:
+        return signatures.agg(F.array_distinct(F.flatten(F.collect_set(values))).alias("v")).scalar()
+
+    def entries(key: str, kinds: tuple) -> list[Column]:
+        return [F.try_element_at("needs", F.lit(s[0])) for s in C.ELIGIBILITY_FIELDS if s[2] == key and s[1] in kinds]
+
+    out = {}
+    for key in PROFILE_LISTS:
+        needs = entries(key, ("set_overlap", "set_exclude"))
+        asked = stated(F.concat(*[requirement(e) for e in needs])) if needs else _none()
+        out[key] = _fold(F.col(key), asked)
+    floors = entries("gpa", ("at_least",))
+    if floors:
+        need = F.array(*[F.coalesce(e["num"], F.try_element_at(requirement(e), F.lit(1)).try_cast("double")) for e in floors])
+        profiles = profiles.withColumn("_floors", stated(F.array_compact(need)))
+        reached = F.array_max(F.filter("_floors", lambda f: f <= F.col("gpa").cast("double")))
+        out["gpa"] = F.when(F.col("gpa").isNotNull(), F.coalesce(reached, F.lit(BELOW_ALL)))
+    return profiles.withColumns(out).drop("_floors")
+
+
+def _fold(values: Column, asked: Column) -> Column:
+    kept = F.array_intersect(values, asked)
+    rest = F.size(F.array_except(values, asked)) > 0
+    return F.when(values.isNotNull(), F.when(rest, F.array_append(kept, F.lit(OTHER))).otherwise(kept))
+
+
 def _prefixed(values: Column, name: str) -> Column:
     return F.transform(F.array_distinct(values), lambda v: F.concat(F.lit(name + "="), v))
 
@@ -306,18 +347,21 @@ def profile_cross_match(profiles: DataFrame, records: DataFrame) -> DataFrame:
     reached is excluded and follows by subtraction from the total.
     """
     names = [s[0] for s in C.ELIGIBILITY_FIELDS]
-    keyed = answer_signatures(profiles)
+    signatures = cut_lineage(requirement_signatures(records))  # small, and read several times
+    keyed = cut_lineage(answer_signatures(folded_answers(profiles, signatures)).select(
+        "profile_id", "answer", *PROFILE_LISTS, *PROFILE_SCALARS))
     sheets = keyed.groupBy("answer").agg(*[F.any_value(c).alias(c) for c in PROFILE_LISTS + PROFILE_SCALARS])
     sheets = with_once(sheets, {"a_tokens": answer_tokens(F.col("answer"))})
-    signatures = cut_lineage(requirement_signatures(records))  # small, and read twice
     needs = with_once(signatures, {
         "r_tokens": requirement_tokens(F.col("needs")),
+        "r_empty": nothing_extracted("needs"),
         **{f"r_{f}": F.try_element_at(F.col("needs"), F.lit(f)) for f in names}}).drop("needs", "requirement")
     met = (
         sheets.withColumn("token", F.explode("a_tokens"))
         .join(needs.withColumn("token", F.explode("r_tokens")), "token")
         .where(F.col("token") == F.array_min(F.array_intersect("a_tokens", "r_tokens"))))
-    judged = met.withColumn("verdict", verdict_of({f: F.col(f"r_{f}") for f in names}, column_answers()))
+    judged = met.withColumn("verdict", verdict_of(
+        {f: F.col(f"r_{f}") for f in names}, column_answers(), F.col("r_empty")))
     count = lambda v: F.sum(F.when(F.col("verdict") == v, F.col("n_records")).otherwise(0)).alias(v)
     reached = judged.groupBy("answer").agg(count(ELIGIBLE), count(UNKNOWN))
     total = signatures.agg(F.sum("n_records").alias("n")).scalar()

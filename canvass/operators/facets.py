@@ -59,8 +59,9 @@ def pass_bool(col, selected) -> Column:
     """Null selection passes all; else the column's truthiness must equal it."""
     if selected is None:
         return F.lit(True)
-    truthy = F.coalesce(as_col(col).cast("string") != "", F.lit(False)) & ~as_col(col).cast("string").isin("false", "0")
-    truthy = F.coalesce(truthy, F.lit(False))
+    truthy = F.coalesce(F.typeof(as_col(col)) == "string", F.lit(False)) & (as_col(col).cast("string") != "")
+    other = (F.typeof(as_col(col)) != "string") & ~as_col(col).cast("string").isin("false", "0", "0.0")
+    truthy = F.coalesce(truthy | other, F.lit(False))
     return truthy if selected else ~truthy
 
 

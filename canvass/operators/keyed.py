@@ -23,21 +23,37 @@ class UnknownColumns(ValueError):
 
 
 def latest_per_key(rows: DataFrame, version: str, keys=KEY) -> DataFrame:
-    """The row with the highest version of every key."""
+    """The row with the highest version of every key; of tied versions the one with the greatest content.
+
+    Contents are compared column by column, so the choice does not depend on the
+    order of rows.  ``_first`` is the lowest version.
+    """
     rest = [c for c in rows.columns if c not in keys]
-    best = rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.col(version)).alias("_r"))
-    return best.select(*keys, "_r.*")
+    best = rows.groupBy(*keys).agg(
+        F.max_by(F.struct(*rest), F.struct(F.col(version).alias("_v"), *rest)).alias("_r"), F.min(version).alias("_first"))
+    return best.select(*keys, "_r.*", "_first")
 
 
-def _merge(table: DataFrame, incoming: DataFrame, how: str) -> DataFrame:
-    fresh = incoming.select(*KEY, F.struct(*[c for c in incoming.columns if c not in KEY]).alias("_new"))
-    return table.join(fresh, KEY, how)
+def _merge(table: DataFrame, incoming: DataFrame, how: str, version: str, stored: str) -> DataFrame:
+    """Join with one row per key, ``_new``, which is null where the table's own row stays.
+
+    It stays if its version is later, or the same with the greater content, so batches
+    may come in any order.  ``_seen`` is the lowest incoming version.
+    """
+    fresh = incoming.select(*KEY, F.struct(*[c for c in incoming.columns if c not in (*KEY, "_first")]).alias("_new"),
+                            F.col("_first").alias("_seen"))
+    both = table.join(fresh, KEY, how)
+    shared = [c for c in incoming.columns if c in table.columns and c not in (*KEY, version, stored)]
+    mine = F.struct(F.col(stored).alias("_v"), *[F.col(c) for c in shared])
+    other = F.struct(F.col("_new")[version].alias("_v"), *[F.col("_new")[c].alias(c) for c in shared])
+    stays = F.col(stored).isNotNull() & F.col("_new").isNotNull() & (mine > other)
+    return both.withColumn("_new", F.when(~F.coalesce(stays, F.lit(False)), F.col("_new")))
 
 
 def upsert_index(table: DataFrame, rows: DataFrame, version: str = "indexed_at") -> DataFrame:
-    """Insert or refresh the listing columns; detail columns stay as they are."""
+    """Insert or refresh the listing columns; detail columns stay as they are, and so do rows indexed later."""
     both = _merge(table, latest_per_key(rows.select(*KEY, *INDEX_COLUMNS, "indexed_at", *(
-        [version] if version != "indexed_at" else [])), version), "full_outer")
+        [version] if version != "indexed_at" else [])), version), "full_outer", version, "indexed_at")
     hit = F.col("_new").isNotNull()
     taken = INDEX_COLUMNS + ["indexed_at"]
     return both.select(*[
@@ -54,12 +70,13 @@ def update_detail(table: DataFrame, pages: DataFrame, version: str = "fetched_at
     """Overwrite the detail columns of known keys.
 
     pages: key, ``fields`` map, version.  A field the page lacks becomes null,
-    a key the table lacks is dropped, the error is cleared.
+    a key the table lacks is dropped, the error is cleared.  Rows scraped later than
+    the page stay as they are.
     """
-    newest = latest_per_key(pages, version)
-    fresh = newest.select(*KEY, *fields_to_columns("fields"), F.to_json("fields").alias("raw_fields_json"),
-                          F.col(version).alias("scraped_at"))
-    both = _merge(table, fresh, "left")
+    read = pages.select(*KEY, *fields_to_columns("fields"), F.to_json("fields").alias("raw_fields_json"),
+                        F.col(version).alias("scraped_at"))
+    fresh = latest_per_key(read.drop("award_name"), "scraped_at")
+    both = _merge(table, fresh, "left", "scraped_at", "scraped_at")
     hit = F.col("_new").isNotNull()
     out = []
     for c in table.columns:
@@ -84,8 +101,9 @@ def reject_unknown_columns(df: DataFrame, allowed=None) -> DataFrame:
 def upsert_full(table: DataFrame, records: DataFrame, version: str = "run_ts") -> DataFrame:
     """Insert or replace whole records.
 
-    A known key keeps the time it was first indexed; every written row gets a
-    fresh scrape time and no error.
+    The time of first indexing is the earliest version seen; every written row gets a
+    fresh scrape time and no error.  A row scraped later than the record stays, so
+    batches may come in any order.
     """
     reject_unknown_columns(records)
     packed = records.withColumn(
@@ -95,15 +113,15 @@ def upsert_full(table: DataFrame, records: DataFrame, version: str = "run_ts") -
             "additional_instructions" if "additional_instructions" in records.columns else F.lit(None).cast("string")))
     packed = packed.drop("raw_fields", "additional_instructions")
     newest = latest_per_key(packed, version)
-    both = _merge(table, newest, "full_outer")
+    both = _merge(table, newest, "full_outer", version, "scraped_at")
     hit = F.col("_new").isNotNull()
-    written = set(newest.columns) - set(KEY) - {version}
+    written = set(newest.columns) - set(KEY) - {version, "_first"}
     out = []
     for c in table.columns:
         if c in KEY:
             out.append(F.col(c))
         elif c == "indexed_at":
-            out.append(F.coalesce(F.col(c), F.col("_new")[version]).alias(c))
+            out.append(F.least(F.col(c), F.col("_seen")).alias(c))
         elif c == "scraped_at":
             out.append(F.when(hit, F.col("_new")[version]).otherwise(F.col(c)).alias(c))
         elif c == "scrape_error":

@@ -2,22 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from canvass import config as C
 from canvass.functions.fields import host_of
 from canvass.functions.text import as_col
 from canvass.operators.eligibility import merge_defaults
-from canvass.session import cut_lineage
-
-MAX_BROADCAST_ROWS = 100_000
-
-
-def small(df: DataFrame, limit: int = MAX_BROADCAST_ROWS) -> DataFrame:
-    """Broadcast hint, only where the row count is proven to be small."""
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
-
+from canvass.operators.ranking import numbered
 
 def unknown_sources(table: DataFrame, registry: DataFrame) -> DataFrame:
     """Source ids with rows but without a registry entry."""
@@ -38,34 +30,57 @@ def blocked_with_rows(health: DataFrame, registry: DataFrame) -> DataFrame:
 def registry_enrich(records: DataFrame, registry: DataFrame) -> DataFrame:
     """Attach url, delivery and defaults of the source."""
     picked = registry.select("source_id", F.col("source_url").alias("registry_url"), "delivery", "defaults")
-    return records.join(small(picked), "source_id", "left")
+    return records.join(picked, "source_id", "left")
 
 
 def defaults_under_record(records: DataFrame, registry: DataFrame) -> DataFrame:
     """Eligibility with the source's defaults merged under it."""
-    joined = records.join(small(registry.select("source_id", "defaults")), "source_id", "left")
+    joined = records.join(registry.select("source_id", "defaults"), "source_id", "left")
     return joined.withColumn("eligibility", merge_defaults("eligibility", "defaults")).drop("defaults")
 
 
+GRAM = 3
+
+
+def grams(value: Column) -> Column:
+    """All runs of up to three characters of a lower-cased text."""
+    low = F.lower(value)
+    places = F.sequence(F.lit(1), F.greatest(F.length(low), F.lit(1)))
+    runs = F.flatten(F.transform(F.array(*[F.lit(n) for n in range(1, GRAM + 1)]), lambda n: F.transform(
+        F.filter(places, lambda i: i + n - 1 <= F.length(low)), lambda i: low.substr(i, n))))
+    return F.array_distinct(runs)
+
+
+def longest_grams(value: Column) -> Column:
+    """Those runs of a text that are as long as any: a text that contains it has them all."""
+    size = F.least(F.length(value), F.lit(GRAM))
+    return F.filter(grams(value), lambda g: F.length(g) == size)
+
+
 def vocab_unknown(requests: DataFrame, counts: DataFrame) -> DataFrame:
     """Requested values the catalogue lacks, each with up to two near ones.
 
-    requests: (facet, value).  The vocabulary of a facet, ordered by count, is
-    one array, and its length is checked.  So the search for
-    near values is an equi-join on the facet, not a join on similarity.
+    requests: (facet, value).  Near values contain the request.  They are found by an
+    equi-join on a run of characters, the one that fewest values of the facet hold;
+    an empty request is near to the most frequent values.
     """
-    counts = cut_lineage(counts)
-    largest = counts.groupBy("facet").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
-    if largest > MAX_BROADCAST_ROWS:
-        raise ValueError(f"a facet has {largest} values: too many to serve as a vocabulary")
     asked = requests.distinct()
     missing = asked.join(counts.select("facet", "value"), ["facet", "value"], "left_anti")
-    ordered = counts.groupBy("facet").agg(
-        F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("neg"), F.col("value").alias("v")))).alias("known"))
-    near = F.filter("known", lambda k: F.lower(k["v"]).contains(F.lower(F.col("value"))))
-    return missing.join(ordered, "facet", "left").select(
-        "facet", "value",
-        F.coalesce(F.array_join(F.transform(F.slice(near, 1, 2), lambda k: k["v"]), ", "), F.lit("")).alias("near"))
+    runs = counts.select("facet", F.col("value").alias("known"), "n", F.explode(grams(F.col("value"))).alias("gram"))
+    spread = runs.groupBy("facet", "gram").agg(F.count(F.lit(1)).alias("_held"))
+    wanted = missing.where("value <> ''").select("facet", "value", F.explode(longest_grams(F.col("value"))).alias("gram"))
+    rarest = wanted.join(spread, ["facet", "gram"], "left").groupBy("facet", "value").agg(
+        F.min(F.struct(F.coalesce("_held", F.lit(0)), "gram")).alias("_g")).select("facet", "value", F.col("_g.gram").alias("gram"))
+    found = rarest.join(runs, ["facet", "gram"]).where(F.contains(F.lower("known"), F.lower("value"))).select(
+        "facet", "value", "known", "n")
+    top = F.row_number().over(Window.partitionBy("facet").orderBy(F.desc("n"), "value"))
+    most = counts.withColumn("_nth", top).where("_nth <= 2").select("facet", F.col("value").alias("known"), "n")
+    found = found.unionByName(missing.where("value = ''").join(most, "facet").select("facet", "value", "known", "n"))
+    nth = F.row_number().over(Window.partitionBy("facet", "value").orderBy(F.desc("n"), "known"))
+    two = found.withColumn("_nth", nth).where("_nth <= 2").groupBy("facet", "value").agg(
+        F.array_sort(F.collect_list(F.struct("_nth", "known"))).alias("_two"))
+    named = F.coalesce(F.array_join(F.col("_two.known"), ", "), F.lit(""))
+    return missing.join(two, ["facet", "value"], "left").select("facet", "value", named.alias("near"))
 
 
 def detail_lookup(ids: DataFrame, records: DataFrame) -> DataFrame:
@@ -119,7 +134,7 @@ def crawl_policy_gate(urls: DataFrame, rules: DataFrame) -> DataFrame:
     per_host = rules.groupBy("host").agg(
         F.sort_array(F.collect_list(F.struct("rule_no", "prefix", "allow"))).alias("rules"),
         F.min("readable").alias("readable"))
-    joined = urls.withColumn("host", host_of("url")).join(small(per_host), "host", "left")
+    joined = urls.withColumn("host", host_of("url")).join(per_host, "host", "left")
     path = F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^#]*)", 1)
     path = F.when(path == "", F.lit("/")).otherwise(path)
     hits = F.filter("rules", lambda r: path.startswith(r["prefix"]))
@@ -135,7 +150,7 @@ def load_corpus(core: DataFrame, shards: DataFrame, registry: DataFrame) -> Data
     choice does not depend on partitioning.
     """
     active = registry.where(F.col("status") == "active").select("source_id")
-    extra = shards.join(small(active), "source_id", "left_semi")
+    extra = shards.join(active, "source_id", "left_semi")
     both = core.withColumn("_origin", F.lit(0)).unionByName(extra.withColumn("_origin", F.lit(1)))
     return first_per(both, ["award_uid"], F.col("_origin")).drop("_origin")
 
@@ -149,8 +164,9 @@ def first_per(df: DataFrame, keys: list, order: Column) -> DataFrame:
 
 
 def nocase_order(records: DataFrame) -> DataFrame:
-    """By name without regard to case, then uid."""
-    return records.orderBy(F.lower("award_name"), "award_uid")
+    """Every record with its place by name without regard to case, then uid."""
+    keyed = records.withColumn("_low", F.lower("award_name"))
+    return numbered(keyed, [], [F.col("_low"), F.col("award_uid")], "pos").drop("_low")
 
 
 def merge_shard(have: DataFrame, incoming: DataFrame) -> DataFrame:

@@ -125,7 +125,7 @@ def stale_shards(published: DataFrame, records: DataFrame) -> DataFrame:
 def write_core_and_shards(records: DataFrame, registry: DataFrame, path: str) -> str:
     """One dataset split by delivery and source; readers prune on both."""
     delivery = registry.where(F.col("status") == "active").select("source_id", "delivery")
-    split = records.join(lookups.small(delivery), "source_id", "left").withColumn(
+    split = records.join(delivery, "source_id", "left").withColumn(
         "delivery", F.when(F.col("delivery") == "core", "core").otherwise("shard"))
     # rebalancing lets adaptive execution cut a hot source into many tasks and join small ones
     split.hint("rebalance", "delivery", "source_id").write.mode("overwrite").partitionBy("delivery", "source_id").parquet(path)
@@ -142,13 +142,19 @@ def staged_publish(outputs: dict, gates: list, root: str, version: str) -> str:
     """Write every output under a new version, check the gates, then move the pointer.
 
     ``outputs`` maps a name to a frame, ``gates`` are frames that must be empty.
-    If one is not, the pointer stays on the last good version.
+    If one is not, the pointer stays on the last good version, and the failures are all
+    written below ``refused``.
     """
     spark = next(iter(outputs.values())).sparkSession
-    for gate in gates:
-        failed = gate.limit(20).collect()
+    refused = []
+    for nth, gate in enumerate(gates):
+        folder = f"{root}/refused/{version}/{nth}"
+        gate.write.mode("overwrite").parquet(folder)
+        failed = spark.read.parquet(folder).count()
         if failed:
-            raise PublishRefused("; ".join(str(r.asDict()) for r in failed))
+            refused.append(f"{failed} in {folder}")
+    if refused:
+        raise PublishRefused("; ".join(refused))
     base = f"{root}/versions/{version}"
     for name, frame in outputs.items():
         frame.write.mode("errorifexists").parquet(f"{base}/{name}")

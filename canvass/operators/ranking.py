@@ -8,51 +8,35 @@ from pyspark.sql import functions as F
 from canvass.functions.text import slugify
 from canvass.session import cut_lineage
 
-HOT_GROUP = 1_000_000
-
-
-def numbered(df: DataFrame, keys: list, order: list, name: str = "rn", hot: int = HOT_GROUP) -> DataFrame:
+def numbered(df: DataFrame, keys: list, order: list, name: str = "rn") -> DataFrame:
     """row_number within groups, also when one group holds much of the table.
 
-    Ordinary groups use a window.  Groups above ``hot`` rows are range
-    partitioned on key and order, numbered per partition, and shifted by the
-    sizes of the partitions before; no task holds a whole hot group.
+    Rows are range partitioned on key and order, numbered per partition, and shifted
+    by the sizes of the partitions before; no task holds a whole group.  Without keys
+    the table is one group.
     """
-    window = Window.partitionBy(*keys).orderBy(*order)
-    if df.limit(hot + 1).count() <= hot:
-        return df.withColumn(name, F.row_number().over(window))
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_size")).where(F.col("_size") > hot)
-    big = sizes.select(*keys)
-    if big.isEmpty():
-        return df.withColumn(name, F.row_number().over(window))
-    match = [df[k].eqNullSafe(big[k]) for k in keys]
-    cold = df.join(big, match, "left_anti")
-    cold = cold.withColumn(name, F.row_number().over(window).cast("long"))
-    return cold.unionByName(_numbered_by_range(df.join(big, match, "left_semi"), keys, order, name))
-
-
-def _numbered_by_range(df: DataFrame, keys: list, order: list, name: str) -> DataFrame:
     ranged = df.repartitionByRange(*[F.col(k) for k in keys], *order).withColumn("_pid", F.spark_partition_id())
     ranged = cut_lineage(ranged)
     local = Window.partitionBy("_pid", *keys).orderBy(*order)
     sizes = ranged.groupBy("_pid", *keys).agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy(*keys).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    # a group has at most one row per partition here
+    before = Window.partitionBy(*(keys or [F.lit(0)])).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
     numbered_ = ranged.withColumn("_rn", F.row_number().over(local))
     match = [numbered_["_pid"] == offsets["_pid"]] + [numbered_[k].eqNullSafe(offsets[k]) for k in keys]
     joined = numbered_.join(offsets, match)
-    return joined.select(*[numbered_[c] for c in df.columns], (F.col("_rn") + F.col("_before")).alias(name))
+    return joined.select(*[numbered_[c] for c in df.columns], (F.col("_rn") + F.col("_before")).cast("long").alias(name))
 
 
 def stable_native_id(rows: DataFrame, name: str = "award_name", text: str = "award_description",
-                     tie: str = "award_uid", hot: int = HOT_GROUP) -> DataFrame:
+                     tie: str = "award_uid") -> DataFrame:
     """Slug of the name; copies of a slug are told apart by their description.
 
     Position on the page plays no part: the first by description keeps the bare
     slug, the rest get -2, -3, ...
     """
     keyed = rows.withColumn("slug", slugify(name)).withColumn("_text", F.coalesce(text, F.lit("")))
-    ranked = numbered(keyed, ["slug"], [F.col("_text"), F.col(tie)], "rn", hot)
+    ranked = numbered(keyed, ["slug"], [F.col("_text"), F.col(tie)], "rn")
     stable = F.when(F.col("rn") == 1, F.col("slug")).otherwise(F.concat_ws("-", "slug", F.col("rn").cast("string")))
     return ranked.withColumn("stable_id", stable).drop("_text")
 

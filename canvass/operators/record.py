@@ -25,7 +25,10 @@ def award_uid(source_id="source_id", native_id="native_id") -> Column:
 
 def parse_eligibility(col) -> Column:
     """Eligibility JSON as map<field, entry>; values land in the slot of their kind."""
-    raw = F.from_json(as_col(col), "map<string, struct<value: string, confidence: double, src: string>>")
+    # entry by entry, so that one malformed entry does not take the others with it
+    texts = F.from_json(as_col(col), "map<string, string>")
+    read = F.transform_values(texts, lambda _, e: F.from_json(e, "struct<value: string, confidence: double, src: string>"))
+    raw = F.map_filter(read, lambda _, e: e.isNotNull() & (e["value"].isNotNull() | e["confidence"].isNotNull() | e["src"].isNotNull()))
 
     def entry(_, e):
         value = e["value"]

@@ -309,11 +309,11 @@ def adapter_run_stats(spark, sf):
        "g1 as (select career, lv, count(*) as n from x group by all), "
        "g2 as (select career, lv, tp, count(*) as n from x group by all), "
        "g3 as (select career, lv, tp, process, count(*) as n from x group by all) "
-       "select 1 as depth, career, lv, null as tp, null as process, n, false as incomplete from g1 where n < 300 "
-       "union all select 2, career, lv, tp, null, n, false from g2 where n < 300 "
-       "and (career, lv) in (select (career, lv) from g1 where n >= 300) "
-       "union all select 3, career, lv, tp, process, n, n >= 300 from g3 "
-       "where (career, lv, tp) in (select (career, lv, tp) from g2 where n >= 300)")
+       "select 1 as depth, career, lv, null as tp, null as process, n, false as incomplete from g1 where n <= 300 "
+       "union all select 2, career, lv, tp, null, n, false from g2 where n <= 300 "
+       "and (career, lv) in (select (career, lv) from g1 where n > 300) "
+       "union all select 3, career, lv, tp, process, n, n > 300 from g3 "
+       "where (career, lv, tp) in (select (career, lv, tp) from g2 where n > 300)")
 def split_depth(spark, sf):
     some = lambda c: F.when(F.size(c) > 0, F.col(c)).otherwise(str_array(["-"]))
     captured = records(spark, sf).select(
@@ -323,10 +323,6 @@ def split_depth(spark, sf):
     return counts.split_depth(captured, [["career", "lv"], ["tp"], ["process"]])
 
 
-@query("nocase_order", f"{R} select award_uid, row_number() over (order by lower(award_name), award_uid) as pos from records "
-       "qualify pos <= 100")
+@query("nocase_order", f"{R} select award_uid, row_number() over (order by lower(award_name) nulls first, award_uid) as pos from records")
 def nocase_order(spark, sf):
-    """Top of the listing: a distributed top-k on the case-free order."""
-    top = lookups.nocase_order(records(spark, sf).select("award_uid", "award_name")).limit(100)
-    w = Window.orderBy(F.lower("award_name"), "award_uid")  # over the 100 rows kept
-    return top.select("award_uid", F.row_number().over(w).alias("pos"))
+    return lookups.nocase_order(records(spark, sf).select("award_uid", "award_name")).select("award_uid", "pos")

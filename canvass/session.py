@@ -29,7 +29,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for cut lineage.
 
     The cluster names it in ``spark.checkpoint.dir``.  Only where that is unset
-    and nothing was set by hand (a local test) a temporary folder is used.
+    and nothing was set by hand, and the master is local, a temporary folder is used.
     """
     configured = spark.conf.get(CHECKPOINT_CONF, None) or spark.sparkContext.getConf().get(CHECKPOINT_CONF)
     current = spark.sparkContext.getCheckpointDir()
@@ -39,6 +39,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return configured
     if current:
         return current
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise RuntimeError(f"set {CHECKPOINT_CONF} to a folder that all executors share")
     folder = tempfile.mkdtemp(prefix="canvass-checkpoint-")
     spark.sparkContext.setCheckpointDir(folder)
     return folder

@@ -8,14 +8,17 @@ from pyspark.sql import functions as F
 from canvass.schema import PROFILE, REGISTRY, TABLE
 
 
+SPREAD_CONF = "canvass.scan.partitions"
+
+
 def spread(scan: DataFrame) -> DataFrame:
-    """Use all cores on an input that has fewer splits than there are cores.
+    """Deal the rows of a scan out over as many partitions as the session asks for.
 
-    A file of one row group is one task, however costly the work on its rows.
-    Inputs with enough splits, as any large table has, are left alone.
+    A caller whose input is a few large row groups sets ``canvass.scan.partitions``;
+    unset, the scan stays as it is.
     """
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+    wanted = scan.sparkSession.conf.get(SPREAD_CONF, None)
+    return scan.repartition(int(wanted)) if wanted else scan
 
 
 def read_records(spark: SparkSession, path: str, fmt: str = "json", schema=None) -> DataFrame:

@@ -4,6 +4,7 @@ import random
 from datetime import datetime, timezone
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from canvass import config as C
@@ -20,8 +21,9 @@ def test_numbering_a_hot_group_equals_the_window(spark):
     rng = random.Random(3)
     rows = [("hot" if rng.random() < .6 else f"k{rng.randint(0, 9)}", rng.randint(0, 40), i) for i in range(2000)]
     df = spark.createDataFrame(rows, "k string, v int, i int")
-    plain = {(r["i"], r["rn"]) for r in ranking.numbered(df, ["k"], [F.col("v"), F.col("i")]).collect()}
-    split = {(r["i"], r["rn"]) for r in ranking.numbered(df, ["k"], [F.col("v"), F.col("i")], hot=100).collect()}
+    window = Window.partitionBy("k").orderBy("v", "i")
+    plain = {(r["i"], r["rn"]) for r in df.withColumn("rn", F.row_number().over(window)).collect()}
+    split = {(r["i"], r["rn"]) for r in ranking.numbered(df, ["k"], [F.col("v"), F.col("i")]).collect()}
     assert plain == split and len(plain) == 2000
 
 
