@@ -109,8 +109,8 @@ class _Blocks(_Reader):
         if tag == "br":
             self.text("\n")
         elif tag in C.LINE_TAGS:
-            for block in self.stack:
-                block["inner"] = False
+            if self.stack:  # those further out have been marked by the blocks inside them
+                self.stack[-1]["inner"] = False
             self.stack.append({"inner": True, "text": [], "order": len(self.done) + len(self.stack)})
 
     def end(self, tag):
@@ -121,8 +121,8 @@ class _Blocks(_Reader):
 
     def text(self, data):
         self.whole.append(data)
-        for block in self.stack:
-            block["text"].append(data)
+        if self.stack and self.stack[-1]["inner"]:  # only an innermost block's text is read
+            self.stack[-1]["text"].append(data)
 
     def value(self) -> str:
         squeeze = lambda t: " ".join(t.replace("\t", " ").split(" ")).strip()
@@ -183,15 +183,17 @@ class _Rows(_Reader):
 class _Elements(_Reader):
     """Text of the elements a selector picks."""
 
-    def __init__(self, tag=None, classes=(), id_prefix=None, id_suffix=""):
+    def __init__(self, tag=None, classes=(), id_prefix=None, id_suffix="", any_of=()):
         super().__init__()
-        self.tag, self.classes = tag, set(classes)
+        self.tag, self.classes, self.any_of = tag, set(classes), set(any_of)
         self.id_prefix, self.id_suffix = id_prefix, id_suffix
         self.depths, self.found = [], []
 
     def _wanted(self, tag, attrs):
         if self.tag and tag != self.tag:
             return False
+        if self.any_of and not self.any_of & set((attrs.get("class") or "").split()):
+            return False
         if self.classes and not self.classes <= set((attrs.get("class") or "").split()):
             return False
         if self.id_prefix is not None:
@@ -206,6 +208,8 @@ class _Elements(_Reader):
             eid = attrs.get("id") or ""
             if self.id_prefix is not None:
                 eid = eid[len(self.id_prefix): len(eid) - len(self.id_suffix)]
+            if self.any_of:
+                eid = min(self.any_of & set((attrs.get("class") or "").split()))
             item = {"tag": tag, "level": len(self.open_tags), "name": eid, "text": []}
             self.depths.append(item)
             self.found.append(item)
@@ -286,6 +290,18 @@ def page_elements(pages: DataFrame, tag=None, classes=(), id_prefix=None, id_suf
     return _per_page(pages, "pos int, name string, text string", rows_of)
 
 
+def page_marked(pages: DataFrame, classes) -> DataFrame:
+    """(page_id, pos, name, text) of elements of any of the classes, in the order of the page; name is the class."""
+
+    def rows_of(html):
+        for i, item in enumerate(_Elements(any_of=classes).run(html).found):
+            text = _tidy(item["text"])
+            if text:
+                yield i, item["name"], text
+
+    return _per_page(pages, "pos int, name string, text string", rows_of)
+
+
 def label_value(text) -> Column:
     """A 'Label: value' block as struct(label, value); other text gives null."""
     pattern = r"(?s)^([A-Za-z ]{2,30}):\s*(.*)$"

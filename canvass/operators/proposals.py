@@ -61,11 +61,13 @@ def proposal_parse(col) -> Column:
 
 
 def proposed_values(payload: Column) -> list[Column]:
-    """The raw lists of a payload; anything that is not a list is empty."""
+    """The lists of a payload; anything that is not a list is empty, and what is not text in a list is null."""
     out = []
     for key in FILTER_KEYS:
         raw = F.get_json_object(payload, f"$.{key}")
-        out.append(F.when(raw.startswith("["), F.from_json(raw, "array<string>")).alias(key))
+        read = F.transform(F.from_json(raw, "array<variant>"), lambda v: F.when(
+            F.schema_of_variant(v) == "STRING", F.try_variant_get(v, "$", "string")))
+        out.append(F.when(raw.startswith("["), read).alias(key))
     return out
 
 

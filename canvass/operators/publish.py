@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from canvass import config as C
@@ -67,11 +67,10 @@ def vocab_gate(facet_counts: DataFrame, required=None, limit: int = C.MAX_VOCAB_
 
 def vocab_extract(split_counts: DataFrame) -> DataFrame:
     """(filter_key, value) from the core counts; without any core value, from all."""
-    everything = Window.partitionBy(F.lit(0))  # counted values only: as many rows as the vocabulary has
     keys = F.element_at(F.create_map(*[F.lit(x) for kv in C.VOCAB_FACETS.items() for x in kv]), F.col("facet"))
     vocabulary = split_counts.where(F.col("facet").isin(list(C.VOCAB_FACETS)))
-    chosen = vocabulary.withColumn("has_core", F.max(F.col("n_core") > 0).over(everything)).where(
-        ~F.col("has_core") | (F.col("n_core") > 0))
+    any_core = F.coalesce(vocabulary.agg(F.max(F.col("n_core") > 0).alias("any")).scalar(), F.lit(False))
+    chosen = vocabulary.where(~any_core | (F.col("n_core") > 0))
     return chosen.select(keys.alias("filter_key"), "value")
 
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from canvass.functions import fields as fx
@@ -77,12 +77,15 @@ def wide_table(fetched: DataFrame) -> DataFrame:
 @adapter("cards")
 def cards(fetched: DataFrame) -> DataFrame:
     """Index pages of cards: a title, a group line and 'Label: value' blocks."""
-    titles = pages.page_elements(fetched, classes=("scholarship-title",)).select(
-        "page_id", "pos", F.col("text").alias("award_name"))
-    groups = pages.page_elements(fetched, classes=("scholarship-group",)).select(
-        "page_id", "pos", F.col("text").alias("group"))
-    joined = titles.join(groups, ["page_id", "pos"], "left").join(
-        fetched.select("page_id", "source_id", "url"), "page_id")
+    parts = pages.page_marked(fetched, ("scholarship-title", "scholarship-group"))
+    is_title = F.col("name") == "scholarship-title"
+    # a card opens with its title, so what follows up to the next title is its own
+    so_far = Window.partitionBy("page_id").orderBy("pos")
+    carded = parts.withColumn("card", F.last(F.when(is_title, F.col("pos")), ignorenulls=True).over(so_far))
+    cards_ = carded.where("card is not null").groupBy("page_id", "card").agg(
+        F.max(F.when(is_title, F.col("text"))).alias("award_name"),
+        F.min_by("text", F.when(~is_title, F.col("pos"))).alias("group"))
+    joined = cards_.join(fetched.select("page_id", "source_id", "url"), "page_id")
     return joined.select(
         "source_id", slugify("award_name").alias("native_id"), "award_name",
         fx.career_by_group("group").alias("career"), fx.level_by_group("group").alias("level"),
