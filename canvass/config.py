@@ -182,6 +182,11 @@ FIELD_COLUMNS = {
 }
 PROMOTED_FIELD = "UW_AWARD_ADDNLINST"
 DEFAULT_MIN_SCRAPED = 0.95
+MANIFEST_LEAD = "An unofficial collection of public listings; check anything that matters at its source."
+#: What is published, by name and place below a version.
+ENDPOINTS = {"records": "records", "slim": "slim", "facets": "facets", "meta": "meta", "manifest": "manifest",
+             "vocabulary": "vocabulary"}
+SHARD_PATH = "records/delivery=shard/source_id="
 ROW_CAP = 300
 
 # --- pages ------------------------------------------------------------------

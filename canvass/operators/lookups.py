@@ -181,7 +181,12 @@ def profiles_for_queries(queries: DataFrame, profiles: DataFrame) -> DataFrame:
     return queries.join(profiles, "profile_id", "left")
 
 
-def residency_union(tags: DataFrame, key: str, region: str = "region") -> DataFrame:
-    """Regions over several pages, unioned, never intersected."""
-    known = tags.where(F.col(region).isin(C.VALUE_DOMAINS["residency"]))
-    return known.groupBy(key).agg(F.sort_array(F.collect_set(as_col(region))).alias("regions"))
+def residency_union(tags: DataFrame, key: str, order: str, region: str = "region") -> DataFrame:
+    """Regions over several pages, unioned, never intersected, in the order they first appear.
+
+    Each region is reduced to its first place beforehand, so a key's list is as long as
+    its distinct regions.
+    """
+    first = tags.where(F.col(region).isNotNull()).groupBy(key, region).agg(F.min(order).alias("_at"))
+    listed = F.array_sort(F.collect_list(F.struct("_at", F.col(region).alias("r"))))
+    return first.groupBy(key).agg(F.transform(listed, lambda x: x["r"]).alias("regions"))

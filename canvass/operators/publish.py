@@ -91,7 +91,7 @@ def publish_meta(table: DataFrame, registry: DataFrame) -> DataFrame:
     return health.join(registry.select("source_id", "source_url"), "source_id", "left")
 
 
-def publish_manifest(split_counts: DataFrame, meta: DataFrame, registry: DataFrame) -> DataFrame:
+def publish_manifest(split_counts: DataFrame, meta: DataFrame, registry: DataFrame, lead: str = C.MANIFEST_LEAD) -> DataFrame:
     """The manifest in long form: (section, key, value, n)."""
     none = F.lit(None)
     all_facets = split_counts.select(
@@ -107,11 +107,19 @@ def publish_manifest(split_counts: DataFrame, meta: DataFrame, registry: DataFra
         F.sort_array(F.collect_list(F.struct("source_id", F.trim("disclaimer").alias("d")))).alias("t"))
     disclaimer = texts.select(
         F.lit("disclaimer").alias("section"), none.cast("string").alias("key"),
-        F.array_join(F.transform("t", lambda x: x["d"]), " ").alias("value"), none.cast("long").alias("n"))
+        F.trim(F.concat(F.lit(lead + " "), F.array_join(F.transform("t", lambda x: x["d"]), " "))).alias("value"),
+        none.cast("long").alias("n"))
+    places = meta.sparkSession.createDataFrame(list(C.ENDPOINTS.items()), "key string, value string").select(
+        F.lit("endpoints").alias("section"), "key", "value", none.cast("long").alias("n"))
+    sharded = registry.where((F.col("status") == "active") & (F.col("delivery") == "shard")).select("source_id")
+    shards = meta.join(sharded, "source_id").select(
+        F.lit("shards").alias("section"), F.col("source_id").alias("key"),
+        F.concat(F.lit(C.SHARD_PATH), "source_id").alias("value"), F.col("total").alias("n"))
     version = F.lit(2).cast("long")
     head = meta.sparkSession.range(1).select(
         F.lit("schema_version").alias("section"), none.cast("string").alias("key"), none.cast("string").alias("value"),
         version.alias("n"))
+    head = head.unionByName(places).unionByName(shards)
     return head.unionByName(total).unionByName(sources).unionByName(disclaimer).unionByName(all_facets).unionByName(
         core_facets)
 

@@ -33,5 +33,5 @@ def publish_all(table: DataFrame, registry: DataFrame, root: str, version: str)
             "manifest": publish.publish_manifest(split, meta, registry),
             "vocabulary": publish.vocab_extract(split),
         },
-        [publish.publish_gate(table, registry), uid_check],
+        [publish.publish_gate(table, registry), uid_check, publish.vocab_gate(split.select("facet", "value"))],
         root, version)

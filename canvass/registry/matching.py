@@ -223,11 +223,11 @@ def elig_from_categories(spark, sf):
 REGION_OF = "case l_suppkey % 6 when 0 then 'ON' when 1 then 'QC' when 2 then 'AB' when 3 then 'BC' when 4 then 'Nowhere' else 'SK' end"
 
 
-@query("residency_union", f"with r as (select l_orderkey, {REGION_OF} as region from lineitem) select l_orderkey, "
-       "array_to_string(list_sort(list(distinct region)), ',') as regions from r where region <> 'Nowhere' group by 1")
+@query("residency_union", f"with r as (select l_orderkey, l_linenumber as place, {REGION_OF} as region from lineitem) select l_orderkey, "
+       "array_to_string(list(region order by place, region), ',') as regions from (select l_orderkey, region, min(place) as place from r group by all) group by 1")
 def residency_union(spark, sf):
-    t = standin.table(spark, sf, "lineitem").select("l_orderkey", F.expr(REGION_OF).alias("region"))
-    return lookups.residency_union(t, "l_orderkey").select("l_orderkey", F.array_join("regions", ",").alias("regions"))
+    t = standin.table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.expr(REGION_OF).alias("region"))
+    return lookups.residency_union(t, "l_orderkey", "l_linenumber").select("l_orderkey", F.array_join("regions", ",").alias("regions"))
 
 
 @query("elig_flatten", f"{standin.cte('rows')} select o_orderkey, {sql_aj(chr(39).join(['string_split(e_residency, ', ',', ')']))} as residency, "

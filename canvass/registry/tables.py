@@ -384,8 +384,11 @@ def publish_meta(spark, sf):
        "select 'facets' as section, facet as key, value, n from c union all select 'core_facets', facet, value, n_core from c where n_core > 0 "
        "union all select 'sources', source_id, source_url, total from health left join registry using (source_id) "
        "union all select 'total_awards', null, null, cast(sum(total) as bigint) from health union all select 'schema_version', null, null, 2 "
-       "union all select 'disclaimer', null, (select array_to_string(list(trim(disclaimer) order by source_id), ' ') from registry "
-       "where status = 'active' and coalesce(disclaimer, '') <> ''), null")
+       f"union all select 'disclaimer', null, {q(C.MANIFEST_LEAD)} || ' ' || (select array_to_string(list(trim(disclaimer) order by source_id), ' ') from registry "
+       "where status = 'active' and coalesce(disclaimer, '') <> ''), null "
+       "union all select 'endpoints', k, v, null from (values " + ", ".join(f"({q(k)}, {q(v)})" for k, v in C.ENDPOINTS.items()) + ") e(k, v) "
+       f"union all select 'shards', source_id, {q(C.SHARD_PATH)} || source_id, total from health join registry using (source_id) "
+       "where status = 'active' and delivery = 'shard'")
 def publish_manifest(spark, sf):
     reg = registry(spark)
     return publish.publish_manifest(split(spark, sf), publish.publish_meta(rows(spark, sf), reg), reg)
