@@ -59,25 +59,36 @@ def money_excerpt(col) -> Column:
     return F.when(F.length(cleaned) <= C.RAW_VERBATIM_LIMIT, cleaned).otherwise(F.when(spans != "", spans))
 
 
-def derive_amounts(amount_min, amount_max, amount_raw, value_text, description) -> Column:
-    """Fill missing amounts from the value text, else from the description."""
-    amount_min, amount_max, amount_raw = as_col(amount_min), as_col(amount_max), as_col(amount_raw)
+def derive_amounts(amount_min, amount_max, amount_raw, value_text, description) -> dict:
+    """Fill missing amounts from the value text, else from the description.
+
+    One expression per column, so that a reader of one does not pay for the others;
+    the description is only read where the value text holds no figure.
+    """
+    low, high, raw = as_col(amount_min), as_col(amount_max), as_col(amount_raw)
     value_text, description = as_col(value_text), as_col(description)
-    figures = lambda t: F.when(
-        amount_max.isNull() & t.contains("$"), _figures(t, BACKFILL, C.MIN_BACKFILL_AMOUNT))
-    no_raw = amount_raw.isNull() | (amount_raw == "")
+    figures = lambda t: F.when(high.isNull() & t.contains("$"), _figures(t, BACKFILL, C.MIN_BACKFILL_AMOUNT))
 
-    def build(v):
-        has_first, has_second = F.size(v["first"]) > 0, F.size(v["second"]) > 0
-        chosen = F.when(has_first, v["first"]).when(has_second, v["second"])
-        excerpt = F.when(has_first, money_excerpt(value_text)).when(has_second, money_excerpt(description))
-        return F.struct(
-            F.coalesce(F.array_min(chosen), amount_min).alias("amount_min"),
-            F.coalesce(F.array_max(chosen), amount_max).alias("amount_max"),
-            F.when(chosen.isNotNull() & no_raw, excerpt).otherwise(amount_raw).alias("amount_raw"),
-        )
+    def chosen(then) -> Column:
+        """``then`` of the figures that count, null where there are none."""
+        def second(v):
+            later = bind({"f": figures(description)}, lambda w: F.when(F.size(w["f"]) > 0, then(w["f"])))
+            return F.when(F.size(v["f"]) > 0, then(v["f"])).otherwise(later)
+
+        return F.when(high.isNull(), bind({"f": figures(value_text)}, second))
+
+    no_raw = raw.isNull() | (raw == "")
+
+    def excerpt(v) -> Column:
+        got = F.when(F.size(v["first"]) > 0, money_excerpt(value_text)).when(F.size(v["second"]) > 0, money_excerpt(description))
+        any_ = (F.size(v["first"]) > 0) | (F.size(v["second"]) > 0)
+        return F.when(any_ & no_raw, got).otherwise(raw)
 
-    return bind({"first": figures(value_text), "second": figures(description)}, build)
+    return {
+        "amount_min": F.coalesce(chosen(F.array_min), low),
+        "amount_max": F.coalesce(high, chosen(F.array_max)),
+        "amount_raw": bind({"first": figures(value_text), "second": figures(description)}, excerpt),
+    }
 
 
 def first_dollar(value_text, description) -> Column:

@@ -106,9 +106,13 @@ def all_of(predicates) -> Column:
 
 
 def structured_filters(records: DataFrame, selection: dict, mode: str = BROWSE, spec=None) -> DataFrame:
-    """AND over the facets, OR inside each: one filter on the scan."""
-    chosen = [predicate(f, selection.get(f["filter_key"]), mode) for f in (spec or C.FACETS)]
-    return records.where(all_of(chosen))
+    """AND over the facets, OR inside each: one filter on the scan.
+
+    Ranges come last: amounts may have to be read from prose, which then happens for
+    the survivors of the cheap facets only.
+    """
+    ordered = sorted(spec or C.FACETS, key=lambda f: f["kind"] == "range")
+    return records.where(all_of([predicate(f, selection.get(f["filter_key"]), mode) for f in ordered]))
 
 
 def default_status(include_closed: bool = False) -> list:

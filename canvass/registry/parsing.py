@@ -111,7 +111,7 @@ def parse_amounts(spark, sf):
 def derive_amounts(spark, sf):
     d = money.derive_amounts("amount_min", "amount_max", "amount_raw", text.clean_scalar("award_value_description"),
                              text.clean_scalar("award_description"))
-    return rows(spark, sf).select("award_uid", d.alias("d")).select("award_uid", "d.*")
+    return rows(spark, sf).select("award_uid", *[c.alias(n) for n, c in d.items()])
 
 
 @query("money_excerpt", f"{ROWS} select o_orderkey, {sql_excerpt('award_value_description')} as value_excerpt, "
