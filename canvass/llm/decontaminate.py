@@ -2,8 +2,8 @@
 
 Documents are cut into shards of a bounded number of words.  Each shard gets a
 suffix array over its words; every suffix of every benchmark item is searched in
-it by bisection, which gives the longest verbatim match of the suffix and the
-range of places where it starts.  Words that no item holds end a suffix, so the
+it by bisection, which gives the range of places where its first window stands, and
+from there the longest verbatim matches.  Words that no item holds end a suffix, so the
 array keeps only places that a match can reach.
 """
 
@@ -118,20 +118,11 @@ def search_shard(items: Items, texts: list[list[bytes]]):
     get = items.vocabulary.get
     for t, begin in zip(texts, begins, strict=False):
         words[begin:begin + len(t)] = [get(w, 0) for w in t]
-    found, best = [set() for _ in texts], np.zeros((len(texts), 3), np.int64) - 1
+    found: list[set] = [set() for _ in texts]
+    best: list[tuple] = [(0, None, None)] * len(texts)
     hits = np.zeros(len(words) + 1, np.int64)
     order = suffix_array(words, items.longest)
     if len(order) and len(items.suffixes):
-        low = bounds(words, order, items.suffixes, items.lengths, False)
-        # the longest match of a suffix stands next to where it would be put in
-        for near in (low - 1, low):
-            ok = (near >= 0) & (near < len(order))
-            place = order[np.clip(near, 0, len(order) - 1)]
-            _, same = compare(words, place, items.suffixes, items.lengths)
-            for i in np.flatnonzero(ok & (same > 0)):
-                d = int(np.searchsorted(begins, place[i], "right")) - 1
-                if same[i] > best[d, 0]:
-                    best[d] = same[i], place[i] - begins[d], items.owner[i]
         asked = np.flatnonzero(items.need)
         low = bounds(words, order, items.suffixes[asked], items.need[asked], False)
         high = bounds(words, order, items.suffixes[asked], items.need[asked], True)
@@ -140,8 +131,13 @@ def search_shard(items: Items, texts: list[list[bytes]]):
                 starts = order[a:b]
                 np.add.at(hits, starts, 1)
                 np.add.at(hits, starts + items.need[i], -1)
-                for d in np.unique(np.searchsorted(begins, starts, "right") - 1):
-                    found[d].add(items.names[items.owner[i]])
+                name, docs = items.names[items.owner[i]], np.searchsorted(begins, starts, "right") - 1
+                # how far each occurrence agrees with the rest of the item
+                _, same = compare(words, starts, np.broadcast_to(items.suffixes[i], (b - a, items.longest)),
+                                  np.full(b - a, items.lengths[i]))
+                for d, n, place in zip(docs.tolist(), same.tolist(), (starts - begins[docs]).tolist(), strict=True):
+                    found[d].add(name)
+                    best[d] = longer(best[d], (n, place, name))
     covered = np.cumsum(hits[:-1]) > 0
     edges = np.flatnonzero(np.diff(np.concatenate([[False], covered, [False]]).astype(np.int8)))
     doc_of = np.searchsorted(begins, edges[::2], "right") - 1
@@ -150,12 +146,17 @@ def search_shard(items: Items, texts: list[list[bytes]]):
         spans[d] += [int(a - begins[d]), int(b - begins[d])]
     out = []
     for d, n in enumerate(sizes):
-        longest = max(0, int(best[d, 0]))
-        out.append((n, spans[d], sorted(found[d]), longest, int(best[d, 1]) if longest else None,
-                    items.names[best[d, 2]] if longest else None))
+        out.append((n, spans[d], sorted(found[d]), *best[d]))
     return out
 
 
+def longer(a: tuple, b: tuple) -> tuple:
+    """The longer of two matches (words, place, item); ties: the earlier place, then the lower name."""
+    if not a[0] or not b[0]:
+        return b if b[0] else a
+    return min(a, b, key=lambda m: (-m[0], m[1], m[2]))
+
+
 def merged(a: list[int], b: list[int]) -> list[int]:
     """Union of two lists of word spans ``[begin, end, begin, end, ...]``."""
     out: list[int] = []
@@ -168,9 +169,8 @@ def merged(a: list[int], b: list[int]) -> list[int]:
 
 
 def joined(old: tuple, new: tuple) -> tuple:
-    """Results of one document over two blocks of items; of equal longest matches the earlier block's stays."""
-    best = old if old[3] >= new[3] else new
-    return (new[0], merged(old[1], new[1]), sorted({*old[2], *new[2]}), *best[3:])
+    """Results of one document over two blocks of items."""
+    return (new[0], merged(old[1], new[1]), sorted({*old[2], *new[2]}), *longer(tuple(old[3:]), tuple(new[3:])))
 
 
 def blocks_of(benchmark: DataFrame, size: int = BLOCK_BYTES):

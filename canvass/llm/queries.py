@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from canvass.llm import (
-    classifier, decontaminate, licenses, lm_trie, near_dups, packing, quality_rules, secrets, sharding, token_counts)
+    classifier, decontaminate, licenses, lm_trie, near_dups, oracles, packing, quality_rules, secrets, sharding, token_counts)
 from canvass.llm.common import small_batches
 
 QUERIES: dict = {}
@@ -60,7 +60,7 @@ def op2(spark, sf_dir):
     return packed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
-@query("op3_decontamination")
+@query("op3_decontamination", oracles.DECONTAMINATION)
 def op3(spark, sf_dir):
     found = decontaminate.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select(
@@ -69,7 +69,7 @@ def op3(spark, sf_dir):
         "longest", "longest_at", "longest_item")
 
 
-@query("op4_quality_rules")
+@query("op4_quality_rules", oracles.QUALITY)
 def op4(spark, sf_dir):
     return quality_rules.quality(table(spark, sf_dir, "documents")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
@@ -112,7 +112,7 @@ def op8(spark, sf_dir):
         "doc_id", "class_id", (F.col("doc_id") == F.col("class_id")).alias("kept"))
 
 
-@query("op9_secrets")
+@query("op9_secrets", oracles.SECRETS)
 def op9(spark, sf_dir):
     s = F.col("spans")
     return secrets.secrets(table(spark, sf_dir, "documents")).select(

@@ -153,9 +153,11 @@ def test_decontamination_of_the_table(spark, small, sf_dir):
 
 
 def test_longest_match(spark):
-    docs = spark.createDataFrame([(1, "zz alpha bravo charlie zz bravo charlie delta echo")], "doc_id long, text string")
-    r = decontaminate.overlaps(docs, spark.createDataFrame(ITEMS, "item_id long, text string")).first()
-    assert (r.longest, r.longest_at, r.longest_item) == (4, 5, "1")
+    run = "bravo charlie delta echo foxtrot golf hotel india juliett kilo lima"
+    docs = spark.createDataFrame([(1, f"zz alpha bravo {run} zz lemon lime"), (2, "lime"), (3, "alpha bravo")], "doc_id long, text string")
+    got = {r.doc_id: (r.longest, r.longest_at, r.longest_item)
+           for r in decontaminate.overlaps(docs, spark.createDataFrame(ITEMS, "item_id long, text string")).collect()}
+    assert got == {1: (11, 3, "1"), 2: (1, 0, "2"), 3: (0, None, None)}
 
 
 # --- quality rules
