@@ -10,6 +10,7 @@ piece among all pieces of its length.
 from __future__ import annotations
 
 import heapq
+import unicodedata
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -40,20 +41,48 @@ class WordIds:
         self.known: dict[bytes, bytes] = {}
 
     def batch(self, texts: list[str]) -> list[bytes]:
-        import struct
-
         split = [t.encode().split() for t in texts]
-        new = set().union(*split)
         if len(self.known) > CACHED_WORDS:
             self.known.clear()
-        new = [w for w in new if w not in self.known]
-        for at in range(0, len(new), 4096):
-            part = new[at:at + 4096]
+        new = [w for w in set().union(*split) if w not in self.known]
+        parts = [parted(w) for w in new]
+        self._encode({p for ps in parts for p in ps if p not in self.known})
+        for w, ps in zip(new, parts, strict=True):
+            self.known[w] = b"".join([self.known[p] for p in ps])
+        get = self.known.__getitem__
+        return [b"".join(map(get, words)) for words in split]
+
+    def _encode(self, new: set[bytes]) -> None:
+        import struct
+
+        # plain lower-case letters are one pre-token as they stand, so the model alone is asked
+        model, plain = self.tokenizer.model, {p for p in new if p.isascii() and p.isalpha()}
+        for p in plain:
+            ids = [t.id for t in model.tokenize(p.decode())]
+            self.known[p] = struct.pack(f"<{len(ids)}I", *ids)
+        rest = list(new - plain)
+        for at in range(0, len(rest), 4096):
+            part = rest[at:at + 4096]
             done = self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)
             for w, e in zip(part, done, strict=True):
                 self.known[w] = struct.pack(f"<{len(e.ids)}I", *e.ids)
-        get = self.known.__getitem__
-        return [b"".join(map(get, words)) for words in split]
+
+
+def parted(word: bytes) -> tuple[bytes, ...]:
+    """A word's core in lower case and its closing punctuation, which the tokenizer keeps apart after a letter.
+
+    Words that may hold a special token, or whose core ends otherwise, stay whole.
+    """
+    if b"<|" in word:
+        return (word,)
+    low = word.lower()  # ASCII letters only, as the tokenizer lowers them too
+    core = low.rstrip(b".,;:!?|")
+    if len(core) == len(low) or not core:
+        return (low,)
+    if core[-1] < 128:
+        return (core, low[len(core):]) if core[-1:].isalpha() else (low,)
+    last = unicodedata.normalize("NFC", core.decode()).lower()[-1]
+    return (core, low[len(core):]) if last.isalpha() else (low,)
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, text: str = "text",
