@@ -129,12 +129,12 @@ def test_sparse_sites_lean_on_the_corpus(spark):
 
 
 def test_held_out_labels(spark):
-    sf = "/root/testdata/sf0.01"
+    sf = "/root/testdata/sf0.1"  # the smaller tables have 200 labels at most
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
     train, test = labels.where("doc_id % 2 = 0"), labels.where("doc_id % 2 = 1")
     got = classifier.classify(docs, train, F.col("source"), F.concat_ws("/", "source", "lang")).join(test, "doc_id")
     junk, good = got.where("quality = 0"), got.where("quality = 1 and toxic = 0")
-    assert junk.where("not kept").count() >= 0.85 * junk.count()
+    assert junk.where("not kept").count() >= 0.95 * junk.count()
     assert good.where("kept").count() >= 0.95 * good.count()
 
 
