@@ -5,27 +5,30 @@ has stood in the text before.  A sketch takes the few smallest labelled shingles
 under one hash function and keeps them in their order in the text, so it answers
 to edit similarity; texts that share a sketch are candidates.
 
-Candidates of one sketch are compared with the documents that it puts up: the first,
-then four more, then sixteen, until its documents are in one class or have all been
-put up.  Members of one class are not compared again, so a class of any size costs
-few comparisons a member, and nothing is capped.  Two texts are alike if aligning their shingles leaves at least
-``SIMILARITY`` of both together; classes are the connected components.
+The documents of a sketch are first compared with its first one; most copies join
+their class so, at a comparison or a few each.  Sketches that hold several classes
+still are looked at in full, a chunk of their documents against another, where
+products of small matrices give the shingles in common.  Nothing is capped.  Two
+texts are alike if aligning their shingles leaves at least ``SIMILARITY`` of both
+together; classes are the connected components.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from canvass.llm.common import on_worker, stage
+from canvass.llm.common import on_worker, small_batches, stage
 from canvass.llm.decontaminate import words_of
 
 SHINGLE = 5
 SIMILARITY = 0.8
-SKETCHES = 24
-KEPT = 4  # labelled shingles of a sketch; at similarity 0.8 a pair shares none of 24 in 3 of a million cases
-SHORT = (12, 16)  # from 12 shingles on sketches keep four; below 16 they (also) keep one
-CACHED_WORDS = 1_000_000
+SKETCHES = 40
+KEPT = 6  # labelled shingles of a sketch; at similarity 0.8 a pair shares none of 40 in 5 of a million cases
+SHORT = (20, 25)  # from 20 shingles on sketches keep six; below 25 they (also) keep one
+CHUNK, CHUNK_BYTES = 64, 1 << 17  # documents of a sketch, and bytes of their words, that meet another chunk at a time
+WIDTH = 4096  # shingles of a slice when two chunks are compared
+CACHED_WORDS = 500_000  # a worker's memory of words, started afresh beyond; results do not depend on it
 SKETCHED = "t1 long, t2 long, n_words long, sketches array<long>"
 
 
@@ -78,18 +81,18 @@ def labelled(values):
 
 
 def sketches(labels):
-    """Keys of the sketches: each folds the smallest labels in text order."""
+    """Keys of the sketches, which fold the smallest labels in text order."""
     import numpy as np
 
-    seeds = mix(np.arange(1, SKETCHES + 1, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03))
-    ranked = mix(labels[None, :] ^ seeds[:, None])
+    factors = mix(np.arange(1, SKETCHES + 1, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03)) | np.uint64(1)
+    ranked = labels[None, :] * factors[:, None]
     keys = []
     n = len(labels)
     if n < SHORT[1]:
-        keys.append(mix(ranked.min(axis=1) + seeds))
+        keys.append(mix(ranked.min(axis=1) + factors))
     if n >= SHORT[0]:
         least = np.sort(np.argpartition(ranked, KEPT - 1, axis=1)[:, :KEPT], axis=1)
-        key = ~seeds
+        key = ~factors
         for k in range(KEPT):
             key = mix(key + np.take_along_axis(ranked, least[:, k:k + 1], axis=1)[:, 0])
         keys.append(key)
@@ -254,41 +257,118 @@ def shared_sketches(sketched: DataFrame) -> DataFrame:
     return texts.join(several.drop("_n"), "key").select("key", "doc", "leader")
 
 
+def common_shingles(rows: list, others: list):
+    """How many labelled shingles each of one list of texts shares with each of another."""
+    import numpy as np
+
+    flat, which = np.unique(np.concatenate([*rows, *others]), return_inverse=True)
+    owner = np.repeat(np.arange(len(rows) + len(others)), [len(r) for r in (*rows, *others)])
+    out = np.zeros((len(rows), len(others)), np.float32)
+    order = np.argsort(which, kind="stable")
+    which, owner = which[order], owner[order]
+    for at in range(0, len(flat), WIDTH):  # bounded memory, however long the texts
+        a, b = np.searchsorted(which, [at, at + WIDTH])
+        held = np.zeros((len(rows) + len(others), min(WIDTH, len(flat) - at)), np.float32)
+        held[owner[a:b], which[a:b] - at] = 1
+        out += held[:len(rows)] @ held[len(rows):].T
+    return out
+
+
+def chunk_links(key, same: bool, one: list, two: list) -> list[tuple]:
+    """Links that join classes between two chunks of a sketch's documents (or within one).
+
+    Pairs of documents that share several sketches are looked at in the lowest one.
+    """
+    import numpy as np
+
+    seqs = [[shingles(np.frombuffer(d["seq"], np.uint32).astype(np.uint64)) for d in ds] for ds in (one, two)]
+    common = common_shingles(*[[labelled(s) for s in ss] for ss in seqs])
+    sizes = [np.array([len(s) for s in ss], float) for ss in seqs]
+    both = sizes[0][:, None] + sizes[1][None, :]
+    classes = [np.array([d["class_id"] for d in ds]) for ds in (one, two)]
+    may = (common >= SIMILARITY * (both - common) - 1e-3) & (classes[0][:, None] != classes[1][None, :])
+    joined: dict = {}
+
+    def root(c):
+        while c in joined:
+            c = joined[c]
+        return c
+
+    out = []
+    for i, j in zip(*np.nonzero(may), strict=True):
+        x, y = one[i], two[j]
+        if same and j <= i or root(x["class_id"]) == root(y["class_id"]):
+            continue
+        if min(set(x["keys"]) & set(y["keys"])) != key:
+            continue
+        sim = alike(seqs[0][i], seqs[1][j])
+        if sim >= SIMILARITY:
+            joined[root(x["class_id"])] = root(y["class_id"])
+            out.append((x["class_id"], y["class_id"], sim))
+    return out
+
+
+def chunked(both: DataFrame, seqs: DataFrame) -> DataFrame:
+    """Links among all documents of the open sketches.
+
+    A sketch's documents are dealt into chunks of bounded number and bytes, and each
+    chunk meets each of its sketch, so a pair of documents is never a row.
+    """
+    import pyarrow as pa
+
+    each = both.select("key", "doc", "class_id").join(seqs.select(F.col("doc_id").alias("doc"), "seq"), "doc")
+    size = each.groupBy("key").agg(F.greatest(
+        F.count(F.lit(1)) / CHUNK, F.sum(F.octet_length("seq")) / CHUNK_BYTES).alias("_size"))
+    keys = both.groupBy("doc").agg(F.collect_list("key").alias("keys"))  # at most two for each sketch
+    dealt = each.join(size, "key").join(keys, "doc").select(
+        "key", F.pmod(F.xxhash64("doc"), F.ceil("_size")).alias("chunk"), F.struct("doc", "class_id", "seq", "keys").alias("d"))
+    chunks = stage(dealt.groupBy("key", "chunk").agg(F.collect_list("d").alias("docs")), "chunks")
+    other = chunks.select(F.col("key").alias("_key"), F.col("chunk").alias("_chunk"), F.col("docs").alias("_docs"))
+    pairs = chunks.join(other, (F.col("key") == F.col("_key")) & (F.col("chunk") <= F.col("_chunk")))
+    kind = both.schema["doc"].dataType.simpleString()
+
+    def run(batches):
+        for b in batches:
+            rows = [r for key, x, y, one, two in zip(*[b.column(i).to_pylist() for i in range(5)], strict=True)
+                    for r in chunk_links(key, x == y, one, two)]
+            doc = b.schema.field(3).type.value_type.field("doc").type
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((doc, doc, pa.float64()))],
+                                             names=["one", "two", "similarity"])
+
+    return pairs.select("key", "chunk", "_chunk", "docs", "_docs").mapInArrow(
+        run, f"one {kind}, two {kind}, similarity double")
+
+
 def linked(docs: DataFrame, sketched: DataFrame) -> DataFrame:
-    """``(doc, class_id)`` of the texts that share a sketch with another.
+    """``(doc, class_id)`` of texts that are linked to another.
 
-    In every round each sketch puts up its next documents, one, four, sixteen and so
-    on, and all its documents of other classes are compared with them; links found
-    join classes.  A sketch is done when its documents are in one class or have all
-    been put up, so no pair of candidates is left that could join two classes.
+    First the documents of a sketch are compared with its first one; most copies join
+    their class here.  Sketches whose documents are of several classes still are then
+    looked at in full, chunk by chunk, so no pair of candidates is left that could join
+    two classes.
     """
+    spark = docs.sparkSession
     held = stage(shared_sketches(sketched), "shared-sketches")
     seqs = stage(sequences(docs, held.select(F.col("doc").alias("doc_id")).distinct()), "word-numbers")
-    label = held.groupBy("doc").agg(F.min("doc").alias("class_id"))
     pairs = held.where("doc != leader").select("doc", "leader").distinct()
-    held, asked, upto, step = held.select("key", "doc"), None, 1, 1
-    while True:
-        new = stage(pairs if asked is None else pairs.join(asked, ["doc", "leader"], "left_anti"), "pairs")
-        asked = new if asked is None else asked.unionByName(new)
-        found = stage(verified(new, seqs), "links")
-        named = label.select(F.col("doc").alias("leader"), F.col("class_id").alias("_two"))
-        ends = found.join(label.withColumnRenamed("class_id", "_one"), "doc").join(named, "leader").select(
-            F.col("_one").alias("doc"), F.col("_two").alias("leader")).distinct()
-        lower = components(ends).select(F.col("doc").alias("class_id"), F.col("class_id").alias("_new"))
-        label = stage(label.join(lower, "class_id", "left").select(
-            "doc", F.coalesce("_new", "class_id").alias("class_id")), "classes")
-        both = held.join(label, "doc")
-        open_ = both.groupBy("key").agg(F.min("class_id").alias("_a"), F.max("class_id").alias("_b"),
-                                        F.count(F.lit(1)).alias("_n")).where((F.col("_a") != F.col("_b")) & (F.col("_n") > upto))
-        both = stage(both.join(open_.select("key"), "key", "left_semi"), "open-sketches")
-        if both.isEmpty():
-            return label
-        held, step = both.select("key", "doc"), step * 4
-        nth = F.row_number().over(Window.partitionBy("key").orderBy("doc"))
-        heads = both.withColumn("_nth", nth).where(F.col("_nth") <= upto + step).where(F.col("_nth") > upto).select(
-            "key", F.col("doc").alias("leader"), F.col("class_id").alias("_other"))
-        upto += step
-        pairs = both.join(heads, "key").where("leader < doc and class_id != _other").select("doc", "leader").distinct()
+    first = components(stage(verified(pairs, seqs), "links"))
+    # the first document of a sketch has met all others by now
+    both = held.where("doc != leader").join(first, "doc", "left").select(
+        "key", "doc", F.coalesce("class_id", "doc").alias("class_id"))
+    open_ = both.groupBy("key").agg(F.min("class_id").alias("_a"), F.max("class_id").alias("_b"))
+    open_ = open_.where("_a != _b").select("key")
+    both = stage(both.join(open_, "key", "left_semi"), "open-sketches")
+    small_batches(spark, 64)
+    found = stage(chunked(both, seqs), "links")
+    small_batches(spark)
+    later = components(found.select(F.col("one").alias("doc"), F.col("two").alias("leader")).distinct())
+    later = later.select(F.col("doc").alias("_old"), F.col("class_id").alias("_new"))
+    # classes of the first step that have grown together, and documents that had none
+    moved = first.join(later, F.col("class_id") == F.col("_old"), "left").select(
+        "doc", F.coalesce("_new", "class_id").alias("class_id"))
+    alone = later.select(F.col("_old").alias("doc"), F.col("_new").alias("class_id")).join(
+        first.select("doc"), "doc", "left_anti")
+    return moved.unionByName(alone)
 
 
 def classes(docs: DataFrame) -> DataFrame:

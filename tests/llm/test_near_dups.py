@@ -72,7 +72,7 @@ def planted(spark):
     for base in range(12):
         words = [f"w{rng.randrange(400)}" for _ in range(rng.choice([6, 13, 40, 300]))]
         rows.append(" ".join(words))
-        for k in range(6):
+        for k in range(9):
             rows.append(" ".join(edited(rng, words, k)))
     common = [f"p{i}" for i in range(60)]
     for _ in range(40):  # a long passage shared by texts that differ otherwise
