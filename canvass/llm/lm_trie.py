@@ -21,7 +21,7 @@ from canvass.llm.common import stage
 from canvass.llm.near_dups import mix, word_hashes
 
 BLOCK_TOKENS = 1_000_000
-SHARD_KEYS = 2_000_000
+SHARD_KEYS = 1_000_000
 PRIOR = 10.0  # a context's own counts weigh count / (count + PRIOR), the words' frequencies the rest
 STEP = 4096  # probabilities are kept as whole parts of a decade, 16 bits
 UNSEEN = 65535
@@ -179,18 +179,21 @@ class Successors:
 
 
 def planes(values, kind) -> bytes:
-    """Whole numbers byte by byte: first all lowest bytes, and so on, which packs well."""
+    """Whole numbers byte by byte, first all lowest bytes and so on, and compressed."""
     import numpy as np
+    import zstandard
 
     v = np.ascontiguousarray(values, kind)
-    return v.view(np.uint8).reshape(-1, v.itemsize).T.tobytes() if len(v) else b""
+    return zstandard.compress(np.ascontiguousarray(v.view(np.uint8).reshape(-1, v.itemsize).T), 1) if len(v) else b""
 
 
 def unplanes(raw: bytes, kind):
     import numpy as np
+    import zstandard
 
     size = np.dtype(kind).itemsize
-    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(size, -1).T).view(kind).ravel()
+    flat = np.frombuffer(zstandard.decompress(raw) if raw else b"", np.uint8)
+    return np.ascontiguousarray(flat.reshape(size, -1).T).view(kind).ravel()
 
 
 def sorted_planes(keys) -> bytes:
@@ -288,7 +291,7 @@ def answer_words(asked: DataFrame) -> DataFrame:
         for b, k in zip(frame["block"], keys, strict=True):
             mine = which[at:at + len(k)]
             at += len(k)
-            codes = planes(counts[mine], np.int64) + planes(place[mine], np.int64)
+            codes = planes(np.concatenate([counts[mine], place[mine]]), np.int64)
             out.append((1, b, key[0], codes, int(known.sum()) if not out else 0))
         return pd.DataFrame(out, columns=["level", "block", "shard", "codes", "known"])
 
@@ -303,9 +306,8 @@ def words_of_block(block, answers, shards: int):
     shard = (mix(vocabulary + np.uint64(1)) % np.uint64(shards)).astype(np.int64)
     counts, number = np.zeros(len(vocabulary), np.int64), np.full(len(vocabulary), -1, np.int64)
     for r in answers[answers["level"] == 1].itertuples():
-        mine, half = shard == r.shard, len(r.codes) // 2
-        place = unplanes(r.codes[half:], np.int64)
-        counts[mine] = unplanes(r.codes[:half], np.int64)
+        mine = shard == r.shard
+        counts[mine], place = np.split(unplanes(r.codes, np.int64), 2)
         number[mine] = np.where(place >= 0, place * shards + r.shard, -1)
     return counts, number
 
