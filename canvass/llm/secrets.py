@@ -24,6 +24,13 @@ KINDS = [
 BASE = ("assign", "access", "hex")
 MANY_OWNERS = 3  # a value of so many owners is a copied example
 MANY_REPOSITORIES = 8
+#: A whole private key: up to its END line, else the header and base64 lines that follow its BEGIN line.
+KEY = (r"(-----BEGIN[A-Z0-9 ]{0,40}PRIVATE KEY(?: BLOCK)?-----(?:"
+       r"[^-]*+(?:-(?!----)[^-]*+)*+-----END[A-Z0-9 ]{0,40}PRIVATE KEY(?: BLOCK)?-----"
+       r"|(?:\s*+[A-Z][A-Za-z-]{1,20}: [^\n]*+)*+(?:(?:\s|\\[nrt])*+[A-Za-z0-9+/]{16,}+={0,2})*+"
+       r"(?:(?:\r?\n|\\n)[A-Za-z0-9+/]{1,63}={0,2}(?=\s|\\n|\z))?+))")
+#: What is masked: the kinds above, and private keys with their bodies. The SQL of op9_secrets holds the kinds above.
+MASKED_KINDS = [*KINDS, ("key", KEY, 1, 15)]
 SALT = 16
 MASK = "[secret]"
 
@@ -58,11 +65,11 @@ def named(spans: Column, nth: int, kind: str) -> Column:
         s["value"].alias("value")))
 
 
-def scan(docs: DataFrame, text: str = "text") -> DataFrame:
+def scan(docs: DataFrame, text: str = "text", kinds=KINDS) -> DataFrame:
     """All columns and ``spans``, an array of (start, kind number, end, kind, value) in order."""
     value = F.coalesce(F.col(text), F.lit(""))
     found = [named(matches(value, pattern, group, least), n, kind)
-             for n, (kind, pattern, group, least) in enumerate(KINDS)]
+             for n, (kind, pattern, group, least) in enumerate(kinds)]
     return with_once(docs, {"spans": F.array_sort(F.concat(*found))})
 
 
@@ -94,7 +101,7 @@ def judged(spans: DataFrame) -> DataFrame:
     dealt = each.withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(SALT)).cast("int"))
     both = dealt.join(copies, ["hash", "salt"])
     copied = (F.col("owners") >= MANY_OWNERS) | (F.col("repositories") >= MANY_REPOSITORIES)
-    looks = live_looking(F.col("s.value")) | (F.col("s.kind") == "maker")
+    looks = live_looking(F.col("s.value")) | F.col("s.kind").isin("maker", "key")
     return both.select("row", "s", "owners", "repositories",
                        F.when(copied, "example").when(looks, "live").otherwise("weak").alias("verdict"))
 
@@ -125,9 +132,15 @@ def secrets(docs: DataFrame, owner: str = "source", repository: Column | None =
 
 
 def live_values(docs: DataFrame, owner: str = "source") -> DataFrame:
-    """Spans of live-looking values by document id, to be masked."""
+    """Spans of live-looking values by document id, to be masked.
+
+    A private key is one value, from its BEGIN line to its END line; the BEGIN line,
+    which all keys of a type share, is no value of its own here.
+    """
     repo = F.concat_ws("/", F.col(owner), F.col("lang"))
-    rows = scan(docs.select(F.col("doc_id").alias("row"), F.col(owner).alias("owner"), repo.alias("repository"), "text"))
+    rows = scan(docs.select(F.col("doc_id").alias("row"), F.col(owner).alias("owner"), repo.alias("repository"), "text"),
+                kinds=MASKED_KINDS)
+    rows = rows.withColumn("spans", F.filter("spans", lambda s: ~s["value"].startswith("-----BEGIN") | (s["kind"] == "key")))
     rows = stage(rows.where(F.size("spans") > 0).drop("text"), "spans")
     return judged(rows).where("verdict = 'live'")
 

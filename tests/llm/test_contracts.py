@@ -241,3 +241,21 @@ def test_ownership_tells_examples_from_live(spark):
 def test_masking_keeps_columns_and_rows(clashing):
     got = secrets.mask_live(clashing)
     assert got.columns == clashing.columns and got.count() == clashing.count()
+
+
+def pem(seed, label="RSA PRIVATE KEY", end=True):
+    body = [hashlib.sha512(f"{seed}{i}".encode()).hexdigest()[:64] for i in range(4)] + [f"Q{seed}kz=="]
+    return "\n".join([f"-----BEGIN {label}-----", *body, *([f"-----END {label}-----"] if end else [])])
+
+
+def test_private_keys_are_masked_whole(spark):
+    copied = pem("shared")
+    headed = pem("h").replace("KEY-----\n", "KEY-----\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,00FF\n\n", 1)
+    texts = [f"a {pem(i)} z\n{copied}" for i in range(5)] + [
+        f"a {headed} z", f"a {pem('e').replace(chr(10), chr(92) + 'n')} z", "a " + pem("p", "PGP PRIVATE KEY BLOCK") + " z",
+        "a " + pem("cut", end=False) + "\nmore prose", "-----BEGIN RSA PRIVATE KEY----- " * 3000 + "z"]
+    docs = spark.createDataFrame([(i, t, "en", f"s{i}") for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string")
+    got = {r.doc_id: r.text for r in secrets.mask_live(docs).collect()}
+    assert [got[i] for i in range(5)] == [f"a [secret] z\n{copied}"] * 5  # own keys go, the copied example stays
+    assert [got[i] for i in (5, 6, 7)] == ["a [secret] z"] * 3
+    assert got[8] == "a [secret]\nmore prose"
