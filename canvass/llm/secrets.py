@@ -33,6 +33,13 @@ KEY = (r"(-----BEGIN[A-Z0-9 ]{0,40}PRIVATE KEY(?: BLOCK)?-----(?:"
 MASKED_KINDS = [*KINDS, ("key", KEY, 1, 15)]
 SALT = 16
 MASK = "[secret]"
+PLAIN = r"^(?:[A-Z]?[a-z]+|[A-Z]+|[0-9]+)[/_.=+-]*$"  # may stand in a text as a word or number of its own
+#: Values of assignments that stand for a value, or are code that reads one.
+PLACEHOLDER = (r"(?i)^(?:(?:your|my|the|some|enter|insert|change|replace|set)[_.-]?(?:me|this|here|it|own|new)?[_.-]?"
+               r"(?:api)?[_.-]?(?:pass(?:word|wd)?|secret|token|key|value)?(?:[_.-]?here)?|pass(?:word|wd|phrase)|secret|token|"
+               r"api_?key|example|sample|placeholder|default|dummy|redacted|removed|hidden|required|optional|string|str|"
+               r"integer|number|boolean|value|values|undefined|nullptr|false|unknown|"
+               r"(?:os|process|self|this|config|settings|args|env|environ|request|params|options|secrets|System)\.[a-z_.]+)[.]?$")
 
 
 def matches(text: Column, pattern: str, group: int, least: int) -> Column:
@@ -91,7 +98,23 @@ def live_looking(value: Column) -> Column:
         F.size(F.array_distinct(F.split(value, ""))) >= 6)
 
 
-def judged(spans: DataFrame) -> DataFrame:
+def live_by_form(s: Column) -> Column:
+    """What may be live if it is not copied: the form tells for all kinds but assignments and runs of hex digits.
+
+    An assigned value may be of letters or digits alone; only stand-ins and runs of one
+    or two characters are none, the rest is up to ownership.
+    """
+    distinct = F.size(F.array_distinct(F.split(s["value"], "")))
+    assigned = (distinct >= 3) & ~F.regexp_like(s["value"], F.lit(PLACEHOLDER))
+    return F.when(s["kind"] == "assign", assigned).when(s["kind"] == "hex", live_looking(s["value"])).otherwise(True)
+
+
+def live_by_sql(s: Column) -> Column:
+    """As the SQL of op9_secrets has it: a digit and a letter for all but tokens with a maker's prefix."""
+    return live_looking(s["value"]) | (s["kind"] == "maker")
+
+
+def judged(spans: DataFrame, live=live_by_sql) -> DataFrame:
     """Explode spans of ``(row, owner, repository, spans)`` and mark each as example, live or weak."""
     each = spans.select("row", "owner", "repository", F.explode("spans").alias("s"))
     each = each.withColumn("hash", F.unhex(F.sha2("s.value", 256)))
@@ -101,9 +124,8 @@ def judged(spans: DataFrame) -> DataFrame:
     dealt = each.withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(SALT)).cast("int"))
     both = dealt.join(copies, ["hash", "salt"])
     copied = (F.col("owners") >= MANY_OWNERS) | (F.col("repositories") >= MANY_REPOSITORIES)
-    looks = live_looking(F.col("s.value")) | F.col("s.kind").isin("maker", "key")
     return both.select("row", "s", "owners", "repositories",
-                       F.when(copied, "example").when(looks, "live").otherwise("weak").alias("verdict"))
+                       F.when(copied, "example").when(live(F.col("s")), "live").otherwise("weak").alias("verdict"))
 
 
 def text_of(spans: Column, kinds=None) -> Column:
@@ -135,19 +157,26 @@ def live_values(docs: DataFrame, owner: str = "source") -> DataFrame:
     """Spans of live-looking values by document id, to be masked.
 
     A private key is one value, from its BEGIN line to its END line; the BEGIN line,
-    which all keys of a type share, is no value of its own here.
+    which all keys of a type share, is no value of its own here.  ``whole`` is what is
+    replaced and ``by`` what it gives way to: a value that may be a word or a number
+    of the text goes with the name that it is assigned to only.
     """
     repo = F.concat_ws("/", F.col(owner), F.col("lang"))
     rows = scan(docs.select(F.col("doc_id").alias("row"), F.col(owner).alias("owner"), repo.alias("repository"), "text"),
                 kinds=MASKED_KINDS)
-    rows = rows.withColumn("spans", F.filter("spans", lambda s: ~s["value"].startswith("-----BEGIN") | (s["kind"] == "key")))
+    rows = rows.withColumn("spans", F.transform(
+        F.filter("spans", lambda s: ~s["value"].startswith("-----BEGIN") | (s["kind"] == "key")), lambda s: s.withField(
+            "whole", F.when((s["kind"] == "assign") & F.regexp_like(s["value"], F.lit(PLAIN)), F.substr(
+                F.col("text"), s["start"] + 1, s["end"] - s["start"])).otherwise(s["value"]))))
     rows = stage(rows.where(F.size("spans") > 0).drop("text"), "spans")
-    return judged(rows).where("verdict = 'live'")
+    return judged(rows, live_by_form).where("verdict = 'live'").withColumns({
+        "whole": F.col("s.whole"), "by": F.concat(F.substr(
+            "s.whole", F.lit(1), F.length("s.whole") - F.length("s.value")), F.lit(MASK))})
 
 
 def masked(text: Column, values: Column) -> Column:
-    """The text with every one of the values replaced."""
-    return F.aggregate(values, text, lambda t, v: F.replace(t, v, F.lit(MASK)))
+    """The text with every one of the values ``(whole, by)`` replaced."""
+    return F.aggregate(values, text, lambda t, v: F.replace(t, v["whole"], v["by"]))
 
 
 def mask_live(docs: DataFrame, owner: str = "source") -> DataFrame:
@@ -157,9 +186,9 @@ def mask_live(docs: DataFrame, owner: str = "source") -> DataFrame:
     that hold a live value meet the list; ``n_chars`` follows the text where it is there.
     """
     live = live_values(docs, owner).groupBy(F.col("row").alias("_row")).agg(
-        F.array_sort(F.collect_set(F.struct(-F.length("s.value"), F.col("s.value").alias("v")))).alias("_live"))
+        F.array_sort(F.collect_set(F.struct(-F.length("whole"), "whole", "by"))).alias("_live"))
     both = docs.join(live, docs["doc_id"] == live["_row"], "left")
-    text = F.when(F.col("_live").isNull(), docs["text"]).otherwise(masked(docs["text"], F.col("_live.v")))
+    text = F.when(F.col("_live").isNull(), docs["text"]).otherwise(masked(docs["text"], F.col("_live")))
     out = {c: docs[c] for c in docs.columns} | {"text": text}
     if "n_chars" in out:
         out["n_chars"] = F.when(F.col("_live").isNull(), docs["n_chars"]).otherwise(

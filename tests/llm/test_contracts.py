@@ -259,3 +259,14 @@ def test_private_keys_are_masked_whole(spark):
     assert [got[i] for i in range(5)] == [f"a [secret] z\n{copied}"] * 5  # own keys go, the copied example stays
     assert [got[i] for i in (5, 6, 7)] == ["a [secret] z"] * 3
     assert got[8] == "a [secret]\nmore prose"
+
+
+def test_secrets_of_letters_or_digits_alone_are_masked(spark):
+    key = "AKIA" + "QWERTYUIOPASDFGH"
+    texts = ["password=CorrectHorseBattery, CorrectHorseBattery", f"x {key} y", "token: 8203947561", "secret: finding a finding",
+             "password=changeme token=your_token_here api_key=os.environ secret=xxxxxxxx"] + ["password=CommonExampleWord"] * 4
+    docs = spark.createDataFrame([(i, t, "en", f"s{i}") for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string")
+    got = {r.doc_id: r.text for r in secrets.mask_live(docs).collect()}
+    assert got[0] == "password=[secret], [secret]" and got[1] == "x [secret] y" and got[2] == "token: [secret]"
+    assert got[3] == "secret: [secret] a finding"
+    assert [got[i] for i in range(4, 9)] == texts[4:]
