@@ -153,8 +153,13 @@ def secrets(docs: DataFrame, owner: str = "source", repository: Column | None =
     return rows.join(per_row, "row", "left").na.fill(0, ["n_live", "n_example", "n_weak", "most_owners"]).drop("row")
 
 
+def row_key(docs: DataFrame) -> Column:
+    """What a row is met by again: its id, or the digest of its text where it has none."""
+    return F.coalesce(F.concat(F.lit("i"), docs["doc_id"].cast("string")), F.concat(F.lit("t"), F.sha2(docs["text"], 256)))
+
+
 def live_values(docs: DataFrame, owner: str = "source") -> DataFrame:
-    """Spans of live-looking values by document id, to be masked.
+    """Spans of live-looking values by row, to be masked; ``row`` is the ``row_key``.
 
     A private key is one value, from its BEGIN line to its END line; the BEGIN line,
     which all keys of a type share, is no value of its own here.  ``whole`` is what is
@@ -162,7 +167,7 @@ def live_values(docs: DataFrame, owner: str = "source") -> DataFrame:
     of the text goes with the name that it is assigned to only.
     """
     repo = F.concat_ws("/", F.col(owner), F.col("lang"))
-    rows = scan(docs.select(F.col("doc_id").alias("row"), F.col(owner).alias("owner"), repo.alias("repository"), "text"),
+    rows = scan(docs.select(row_key(docs).alias("row"), F.col(owner).alias("owner"), repo.alias("repository"), "text"),
                 kinds=MASKED_KINDS)
     rows = rows.withColumn("spans", F.transform(
         F.filter("spans", lambda s: ~s["value"].startswith("-----BEGIN") | (s["kind"] == "key")), lambda s: s.withField(
@@ -184,10 +189,11 @@ def mask_live(docs: DataFrame, owner: str = "source") -> DataFrame:
 
     Longer values go first, so that one inside another leaves no rest.  Only documents
     that hold a live value meet the list; ``n_chars`` follows the text where it is there.
+    Rows without an id are masked like all others.
     """
     live = live_values(docs, owner).groupBy(F.col("row").alias("_row")).agg(
         F.array_sort(F.collect_set(F.struct(-F.length("whole"), "whole", "by"))).alias("_live"))
-    both = docs.join(live, docs["doc_id"] == live["_row"], "left")
+    both = docs.join(live, row_key(docs) == live["_row"], "left")
     text = F.when(F.col("_live").isNull(), docs["text"]).otherwise(masked(docs["text"], F.col("_live")))
     out = {c: docs[c] for c in docs.columns} | {"text": text}
     if "n_chars" in out:

@@ -270,3 +270,11 @@ def test_secrets_of_letters_or_digits_alone_are_masked(spark):
     assert got[0] == "password=[secret], [secret]" and got[1] == "x [secret] y" and got[2] == "token: [secret]"
     assert got[3] == "secret: [secret] a finding"
     assert [got[i] for i in range(4, 9)] == texts[4:]
+
+
+def test_rows_without_an_id_are_masked(spark):
+    rows = [(None, "password=only9mine4ever", "en", "s1"), (None, "token=other7value5here", "en", "s2"), (None, None, "en", "s3"),
+            (1, "prose", "en", "s4"), (2, "password=third8value6here", "en", "s5")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = {r.source: r.text for r in secrets.mask_live(docs).collect()}
+    assert got == {"s1": "password=[secret]", "s2": "token=[secret]", "s3": None, "s4": "prose", "s5": "password=[secret]"}
