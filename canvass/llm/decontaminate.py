@@ -18,6 +18,7 @@ from canvass.llm.common import stage, words_udf_table
 WINDOW = 10
 SHARD_WORDS = 1_000_000  # a longer document is a shard of its own
 BLOCK_BYTES = 32_000_000  # benchmark text held by a task at a time
+ASKED = 500_000  # suffixes bisected at a time
 LETTERS = words_udf_table(bytes(range(48, 58)) + bytes(range(97, 123)))
 
 
@@ -27,7 +28,11 @@ def words_of(text: str | None) -> list[bytes]:
 
 
 class Items:
-    """A block of benchmark items as rows of word numbers, from 1; 0 stands for any other word."""
+    """A block of benchmark items as one row of word numbers, from 1, an item after the other.
+
+    A suffix is a place in it, so memory grows with the words of the block, whatever
+    the longest item is.
+    """
 
     def __init__(self, items: list[tuple[str, str]], window: int):
         import numpy as np
@@ -38,18 +43,15 @@ class Items:
             ws = words_of(text)
             if ws:
                 self.names.append(name)
-                rows.append([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in ws])
-        self.longest = max(map(len, rows), default=0)
-        # every suffix of every item, padded with -1, and how much of it makes a window
-        self.suffixes = np.full((sum(map(len, rows)), self.longest), -1, np.int64)
-        self.owner = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-        self.lengths = np.concatenate([np.arange(len(r), 0, -1) for r in rows]) if rows else np.zeros(0, np.int64)
-        at = 0
-        for r in rows:
-            for i in range(len(r)):
-                self.suffixes[at, :len(r) - i] = r[i:]
-                at += 1
-        whole = np.concatenate([np.arange(len(r)) == 0 for r in rows]) if rows else np.zeros(0, bool)
+                rows.append(np.array([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in ws], np.int32))
+        sizes = np.array([len(r) for r in rows], np.int64)
+        self.longest = int(sizes.max()) if len(rows) else 0
+        self.flat = np.concatenate(rows) if rows else np.zeros(0, np.int32)
+        self.owner = np.repeat(np.arange(len(rows), dtype=np.int32), sizes)
+        ends = np.cumsum(sizes)
+        # how many words each suffix has, and how much of it makes a window
+        self.lengths = np.repeat(ends, sizes) - np.arange(len(self.flat))
+        whole = self.lengths == np.repeat(sizes, sizes)
         self.need = np.where(self.lengths >= window, window, np.where(whole, self.lengths, 0))
 
 
@@ -74,34 +76,35 @@ def suffix_array(words, longest: int):
     return places[np.argsort(rank[places], kind="stable")]
 
 
-def compare(words, starts, suffixes, upto):
+def compare(words, starts, flat, begins, upto):
     """Sign of (document suffix - item suffix) over ``upto`` words each, and how many words agree."""
     import numpy as np
 
-    n, width = suffixes.shape
+    n = len(begins)
     sign, same = np.zeros(n, np.int64), np.zeros(n, np.int64)
-    live = np.arange(n)
-    for k in range(width):
+    live, k = np.arange(n), 0
+    while True:
         live = live[k < upto[live]]
         if not len(live):
             break
         at = starts[live] + k
         there = np.where(at < len(words), words[np.minimum(at, len(words) - 1)], 0)
-        diff = there - suffixes[live, k]
+        diff = there - flat[begins[live] + k]
         sign[live] = np.sign(diff)
         live = live[diff == 0]
         same[live] += 1
+        k += 1
     return sign, same
 
 
-def bounds(words, order, suffixes, upto, after: bool):
+def bounds(words, order, flat, begins, upto, after: bool):
     """Bisection of all suffixes at once: the first place not below (or beyond) each."""
     import numpy as np
 
-    low, high = np.zeros(len(suffixes), np.int64), np.full(len(suffixes), len(order), np.int64)
+    low, high = np.zeros(len(begins), np.int64), np.full(len(begins), len(order), np.int64)
     while (open_ := low < high).any():
         mid = (low + high) // 2
-        sign, _ = compare(words, order[np.minimum(mid, len(order) - 1)], suffixes, upto)
+        sign, _ = compare(words, order[np.minimum(mid, len(order) - 1)], flat, begins, upto)
         right = open_ & ((sign < 0) | ((sign == 0) & after))
         low = np.where(right, mid + 1, low)
         high = np.where(open_ & ~right, mid, high)
@@ -122,22 +125,30 @@ def search_shard(items: Items, texts: list[list[bytes]]):
     best: list[tuple] = [(0, None, None)] * len(texts)
     hits = np.zeros(len(words) + 1, np.int64)
     order = suffix_array(words, items.longest)
-    if len(order) and len(items.suffixes):
-        asked = np.flatnonzero(items.need)
-        low = bounds(words, order, items.suffixes[asked], items.need[asked], False)
-        high = bounds(words, order, items.suffixes[asked], items.need[asked], True)
-        for i, a, b in zip(asked, low, high, strict=True):
-            if a < b:
-                starts = order[a:b]
-                np.add.at(hits, starts, 1)
-                np.add.at(hits, starts + items.need[i], -1)
-                name, docs = items.names[items.owner[i]], np.searchsorted(begins, starts, "right") - 1
-                # how far each occurrence agrees with the rest of the item
-                _, same = compare(words, starts, np.broadcast_to(items.suffixes[i], (b - a, items.longest)),
-                                  np.full(b - a, items.lengths[i]))
-                for d, n, place in zip(docs.tolist(), same.tolist(), (starts - begins[docs]).tolist(), strict=True):
-                    found[d].add(name)
-                    best[d] = longer(best[d], (n, place, name))
+    asked = np.flatnonzero(items.need) if len(order) else np.zeros(0, np.int64)
+    last, starts_before, same_before = -2, None, None
+    for part in np.array_split(asked, -(-len(asked) // ASKED) or 1):  # bounded memory, however large the block
+        low = bounds(words, order, items.flat, part, items.need[part], False)
+        high = bounds(words, order, items.flat, part, items.need[part], True)
+        met = low < high
+        for i, a, b in zip(part[met].tolist(), low[met], high[met], strict=True):
+            starts = np.sort(order[a:b])
+            np.add.at(hits, starts, 1)
+            np.add.at(hits, starts + items.need[i], -1)
+            name, docs = items.names[items.owner[i]], np.searchsorted(begins, starts, "right") - 1
+            # how far each occurrence agrees with the rest of the item; one that goes on from the
+            # place before has a word less than there, and was longer there
+            same, new = np.zeros(len(starts), np.int64), np.ones(len(starts), bool)
+            if last == i - 1 and items.owner[last] == items.owner[i]:
+                at = np.minimum(np.searchsorted(starts_before, starts - 1), len(starts_before) - 1)
+                new = starts_before[at] != starts - 1
+                same = same_before[at] - 1
+            _, same[new] = compare(words, starts[new], items.flat, np.full(new.sum(), i), np.full(new.sum(), items.lengths[i]))
+            last, starts_before, same_before = i, starts, same
+            for d in np.unique(docs).tolist():
+                found[d].add(name)
+            for d, n, place in zip(docs[new].tolist(), same[new].tolist(), (starts - begins[docs])[new].tolist(), strict=True):
+                best[d] = longer(best[d], (n, place, name))
     covered = np.cumsum(hits[:-1]) > 0
     edges = np.flatnonzero(np.diff(np.concatenate([[False], covered, [False]]).astype(np.int8)))
     doc_of = np.searchsorted(begins, edges[::2], "right") - 1

@@ -1,6 +1,7 @@
 """Sharding, packing, decontamination, quality rules and secrets against plain versions."""
 
 import hashlib
+import random
 import re
 import zlib
 from collections import Counter
@@ -160,6 +161,25 @@ def test_longest_match(spark):
     assert got == {1: (11, 3, "1"), 2: (1, 0, "2"), 3: (0, None, None)}
 
 
+def test_memory_of_a_block_is_linear_in_its_words():
+    import tracemalloc
+
+    rng = random.Random(3)
+    long = " ".join(f"w{rng.randrange(5000)}" for _ in range(20_000))
+    items = [("long", long), *[(f"i{k}", f"q{k} w1 w2 w3 w4 w5 w6 w7 w8 w9 e{k}") for k in range(2000)]]
+    ws = long.split()
+    tracemalloc.start()
+    block = decontaminate.Items(items, 10)
+    texts = [ws, ["z", *ws[500:700], "z", *ws[3:16]], "q7 w1 w2 w3 w4 w5 w6 w7 w8 w9 e7".split(), ["z"]]
+    got = decontaminate.search_shard(block, [[w.encode() for w in t] for t in texts])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 200_000_000  # a row of the longest item's length a suffix would be 6.7 GB
+    assert got[0] == (20_000, [0, 20_000], ["long"], 20_000, 0, "long")
+    assert got[1] == (215, [1, 201, 202, 215], ["long"], 200, 1, "long")
+    assert got[2] == (11, [0, 11], ["i7"], 11, 0, "i7") and got[3] == (1, [], [], 0, None, None)
+
+
 # --- quality rules
 def measures_plain(text):
     text = text or ""
