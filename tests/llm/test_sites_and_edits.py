@@ -69,6 +69,26 @@ def test_licences(spark):
     assert licenses.scan(files.where("false")).count() == 0
 
 
+def test_headers_and_whole_licence_files(spark):
+    bsd = ("Copyright (c) 2020, A. Author\nAll rights reserved.\n\nRedistribution and use in source and binary forms, with or without\n"
+           "modification, are permitted provided that the following conditions are met:\n" + licenses._BSD[148:] + licenses._BSD_NO_WARRANTY)
+    gnu = licenses._GNU.format(what="program", mark=":", name="General Public License", n="3")
+    files = [
+        ("BSD-2-Clause", "a/LICENSE", bsd), ("MIT", "b/LICENSE", "Copyright (c) 2021 B\n\n" + licenses._MIT + licenses._NO_WARRANTY),
+        ("GPL-3.0", "c/COPYING", (licenses.TEXTS / "GPL-3.0.txt").read_text()),
+        ("Apache-2.0", "d/LICENSE", (licenses.TEXTS / "Apache-2.0.txt").read_text()),
+        ("LGPL-2.1", "d2/COPYING", (licenses.TEXTS / "LGPL-2.1.txt").read_text()),
+        ("BSD-2-Clause", "e/x.py", "#!/bin/python\n" + "\n".join("# " + x for x in bsd.split("\n")) + "\nimport os\n"),
+        ("GPL-3.0", "f/x.c", "/* Copyright (C) 2019\n *\n * " + gnu.replace("\n", "\n * ") + "\n */\nint x;"),
+        ("Apache-2.0", "g/x.c", "// SPDX-License-Identifier: Apache-2.0\nint x;"), ("EPL-2.0", "h/x", "# SPDX-License-Identifier: EPL-2.0"),
+        ("GPL-2.0", "i/x.c", "/* SPDX-License-Identifier: GPL-2.0-or-later */"), ("GPL-3.0", "j/x", "prose\nLicensed under the GPL v3\nprose"),
+        ("GPL-3.0", "k/x", "License: GPLv3"), ("LGPL-2.1", "l/x", "License: LGPL-2.1"), ("GPL-2.0", "m/x", "Licensed under the GPL-2.0."),
+        ("proprietary", "n/x", "Copyright. All rights reserved."), (None, "o/x.py", "# a comment\n" * 20000 + "x = 1"), (None, "p/LICENSE", "prose")]
+    table = spark.createDataFrame([(i, path, text) for i, (_, path, text) in enumerate(files)], "doc_id long, path string, text string")
+    got = {r.doc_id: r.own for r in licenses.scan(table).collect()}
+    assert [(p, got[i]) for i, (_, p, _) in enumerate(files)] == [(p, want) for want, p, _ in files]
+
+
 def test_licences_of_the_table(small):
     files = small.select("doc_id", F.concat_ws("/", "source", "lang", F.when(F.col("text").startswith("Licensed"), "LICENSE")
                                              .otherwise(F.col("doc_id").cast("string"))).alias("path"), "text")
