@@ -44,6 +44,30 @@ def on_worker(key, make):
     return store[key]
 
 
+class BoundedCache:
+    """Values by key in two generations of bounded bytes: what is used stays, the rest is forgotten.
+
+    It changes no result, as a value can always be worked out again.
+    """
+
+    def __init__(self, most_bytes: int):
+        self.half, self.new, self.old, self.size = most_bytes // 2, {}, {}, 0
+
+    def lookup(self, keys: list[bytes], make) -> list:
+        """The keys' values; ``make(key)`` is asked for those not held."""
+        new = self.new
+        for k in set(keys).difference(new):
+            v = self.old.get(k)
+            if v is None:
+                v = make(k)
+            new[k] = v
+            self.size += 170 + len(k) + (len(v) if isinstance(v, bytes) else 0)
+        out = [new[k] for k in keys]
+        if self.size > self.half:
+            self.old, self.new, self.size = new, {}, 0
+        return out
+
+
 def attach(df: DataFrame, schema: str, fn, *inputs: str):
     """Add columns worked out in Python, next to all columns of the input, without a join.
 

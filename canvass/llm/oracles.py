@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from canvass.llm import decontaminate, quality_rules, secrets
+from canvass.llm.fingerprints import BUCKETS, FACTORS, LANE
 
 
 def q(text: str) -> str:
@@ -118,3 +119,90 @@ per as (select r, """ + ", ".join(f"count(*) filter (kind = '{k}') as n_{k}" for
 select doc_id, """ + ", ".join(f"coalesce(n_{k}, 0) as n_{k}" for k in (*secrets.BASE, "live", "example", "weak")) + """,
   sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans, coalesce(most_owners, 0) as most_owners from d left join per using (r)
 """
+
+def _pairs_vector(of: str) -> str:
+    """Lanes of the likeness part for the texts of a table (k, text), as a sum a bucket."""
+    return f"""
+{of}_words as (
+  select k, no, list_transform(regexp_extract_all(line, '[^\\x20\\x09-\\x0D]+'),
+                               lambda w: ('0x' || substr(md5(w), 1, 8))::ubigint::uhugeint) as h
+  from {of}_lines),
+{of}_codes as (
+  select k, unnest(list_transform(
+    range(greatest(len(h) - 1, least(len(h), 1))),
+    lambda i: (h[i + 1] * {FACTORS[0]}::uhugeint + (case when len(h) > 1 then h[i + 2] else 0::uhugeint end)
+               * {FACTORS[1]}::uhugeint + {FACTORS[2]}::uhugeint) % 18446744073709551616::uhugeint)) as code
+  from {of}_words where len(h) > 0),
+{of}_sums as (
+  select k, (code // 72057594037927936::uhugeint)::bigint as bucket,
+         sum(1 - 2 * ((code // 36028797018963968::uhugeint) % 2::uhugeint)::bigint)::bigint as s
+  from {of}_codes group by 1, 2),
+{of}_lanes as (
+  select k, list(coalesce(s, 0) order by bucket) as lanes
+  from (select k, bucket, s from {of}_texts cross join (select unnest(range({BUCKETS})) as bucket) left join {of}_sums using (k, bucket))
+  group by k),
+{of}_halves as (
+  select k, half, sha256(half || line) as h from {of}_lines cross join (values ('0'), ('1')) v(half)),
+{of}_wide as (
+  select k, string_agg(lane, '' order by half, part) as wide from (
+    select k, half, part, lpad(lower(to_hex((sum(('0x' || substr(h, part * 16 + 1, 16))::ubigint::hugeint)
+             % 18446744073709551616::hugeint)::ubigint)), 16, '0') as lane
+    from {of}_halves cross join (select unnest(range(4)) as part) group by all) group by k),
+{of}_made as (
+  select k, wide, lanes, to_base64(from_hex(wide || array_to_string(list_transform(
+           lanes, lambda x: lpad(lower(to_hex(((x % {LANE}) + {LANE}) % {LANE})), 6, '0')), ''))) as fingerprint
+  from {of}_wide join {of}_lanes using (k))"""
+
+
+#: The lanes are compared as signed numbers below 2 ** 23; no text of the tables goes beyond.
+FINGERPRINTS = f"""
+with own_texts as (
+  select row_number() over (order by doc_id desc) as k, doc_id, coalesce(text, '') as text from documents),
+follow as (
+  select k, doc_id, text, length(text) as n, length(text) // 2 as cut,
+         coalesce(lead(text) over (order by k), first_value(text) over (order by k)) as other,
+         coalesce(lead(k) over (order by k), 1) as next
+  from own_texts),
+edited_texts as (select k, substr(text, 1, (n - cut)::bigint) || substr(other, 1, cut::bigint) as text from follow),
+own_lines as (select k, no, line from (select k, unnest(string_split(text, chr(10))) as line, 0 as no from own_texts)),
+edited_lines as (select k, no, line from (select k, unnest(string_split(text, chr(10))) as line, 0 as no from edited_texts)),
+{_pairs_vector("own")},
+{_pairs_vector("edited")},
+near as (
+  select a.k, t.kind, case when a.wide = b.wide and a.lanes = b.lanes then 1.0
+      when list_sum(list_transform(a.lanes, lambda x: x * x)) = 0 or list_sum(list_transform(b.lanes, lambda x: x * x)) = 0 then 0.0
+      else least(1.0, greatest(0.0, list_sum(list_transform(list_zip(a.lanes, b.lanes), lambda p: p[1] * p[2]))::double / sqrt(
+        list_sum(list_transform(a.lanes, lambda x: x * x))::double * list_sum(list_transform(b.lanes, lambda x: x * x))::double)))
+      end as near
+  from (select k, next as j, 'next' as kind from follow union all select k, k, 'edited' from follow) t
+  join own_made a using (k)
+  join (select k, wide, lanes, 'next' as kind from own_made union all select k, wide, lanes, 'edited' from edited_made) b
+    on b.k = t.j and b.kind = t.kind)
+select f.doc_id, f.n::bigint as n_chars, sha256(e.text) as edited_sha256, o.fingerprint, m.fingerprint as edited_fingerprint,
+       ne.near as near_edited, nn.near as near_next
+from follow f join edited_texts e using (k) join own_made o using (k) join edited_made m using (k)
+join (select k, near from near where kind = 'edited') ne using (k) join (select k, near from near where kind = 'next') nn using (k)
+"""
+
+HARD_NEGATIVES = """
+with v as (
+  select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+         list_transform(embedding, lambda x: floor(256 * x::double)) as e
+  from embeddings
+  where label is not null and embedding is not null
+    and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+scored as (
+  select a.vec_id as anchor_id, b.vec_id as other_id, a.label = b.label as same,
+         list_inner_product(a.e, b.e)::bigint as score
+  from v a join v b on b.vec_id != a.vec_id where a.vec_id % 100 = 0),
+positives as (
+  select anchor_id, other_id as positive_id, score as positive_score from scored where same
+  qualify row_number() over (partition by anchor_id order by score desc, other_id) <= 5),
+windowed as (
+  select p.anchor_id, p.positive_id, row_number() over (
+           partition by p.anchor_id, p.positive_id order by s.score desc, s.other_id)::int as rank,
+         s.other_id as negative_id, p.positive_score, s.score as negative_score
+  from positives p join scored s on s.anchor_id = p.anchor_id and not s.same
+    and 30 * p.positive_score <= 100 * s.score and 100 * s.score <= 90 * p.positive_score)
+select * from windowed where rank <= 10
+"""

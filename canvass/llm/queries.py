@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from canvass.llm import (
-    classifier, decontaminate, licenses, lm_trie, near_dups, oracles, packing, quality_rules, secrets, sharding, token_counts)
+    classifier, decontaminate, fingerprints, hard_negatives, licenses, lm_trie, near_dups, oracles, packing, quality_rules, secrets, sharding, token_counts)
 from canvass.llm.common import small_batches
 
 QUERIES: dict = {}
@@ -125,3 +125,14 @@ def op9(spark, sf_dir):
 def op10(spark, sf_dir):
     return sharding.shard(table(spark, sf_dir, "documents"), 8).select(
         "doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
+
+
+@query("op11_fingerprints", oracles.FINGERPRINTS)
+def op11(spark, sf_dir):
+    return fingerprints.fingerprints(table(spark, sf_dir, "documents"))
+
+
+@query("op12_hard_negatives", oracles.HARD_NEGATIVES)
+def op12(spark, sf_dir):
+    every = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.hard_negatives(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, every)
