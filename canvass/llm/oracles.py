@@ -206,3 +206,88 @@ windowed as (
     and 30 * p.positive_score <= 100 * s.score and 100 * s.score <= 90 * p.positive_score)
 select * from windowed where rank <= 10
 """
+
+
+def _cheapest() -> str:
+    """The columns of one step of the search, from the last row to the first.
+
+    A state's best repair of what follows is a text: the cost in ten digits, then the audit,
+    so the least text is the cheapest repair and, among those, the least audit.
+    """
+    def more(best: str, cost: str, letter: str) -> str:
+        return f"(lpad((substr({best}, 1, 10)::bigint + {cost})::varchar, 10, '0') || '{letter}' || substr({best}, 11))"
+
+    forced = [2, 2, 3, 2]  # states: 0 nothing yet, 1 system, 2 user, 3 assistant
+    row = []
+    for s in range(4):
+        options = [more(f"b{s}", "3", "D"), f"case when not must_go then {more(f'b{forced[s]}', '2 + late', 'R')} end"]
+        for initial, state, before in (("s", 1, (0,)), ("u", 2, (0, 1, 3)), ("a", 3, (2,))):
+            if s in before:
+                options.append(f"case when not must_go and initial = '{initial}' then {more(f'b{state}', 'late', 'K')} end")
+        row.append(f"list_min([{', '.join(options)}]) as r{s}")
+    once = [f"least(r{s}, {more(f'r{forced[s]}', '2', 'I')}) as o{s}" for s in range(4)]
+    twice = [f"least(r{s}, {more(f'o{forced[s]}', '2', 'I')}) as b{s}" for s in range(4)]
+    return (f"select conv, i - 1 as i, {', '.join(twice)} from (select *, {', '.join(once)} from ("
+            f"select l.conv, l.i, {', '.join(row)} from search l join judged j on j.conv = l.conv and j.i = l.i))")
+
+
+CONVERSATIONS = f"""
+with recursive crc as (
+  select list_transform(range(256), lambda n: list_reduce(
+    list_prepend(n, [0, 0, 0, 0, 0, 0, 0, 0]), lambda c, z: xor(c >> 1, (c & 1) * 3988292384))) as t),
+plain as (
+  select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text,
+         coalesce(conv_id::varchar, ' ') as conv, coalesce(conv_id::varchar, ' ') || ':' || coalesce(turn::varchar, ' ') as key
+  from conversations),
+drawn as (
+  select plain.*, xor(list_reduce(list_prepend(4294967295, list_transform(string_split(key, ''), lambda c: ascii(c)::bigint)),
+           lambda c, b: xor(c >> 8, t[xor(c & 255, b) + 1])), 4294967295) % 20 as d from plain cross join crc),
+rows as (
+  select conv, turn, case when d = 4 then 'user' else role end as role,
+         case when d = 1 then '' when d = 2 then translate(text, '.!?', '') else text end as text,
+         unnest(range(case when d = 3 then 2 else 1 end)) as copy
+  from drawn where d != 0),
+placed as (
+  select *, row_number() over (partition by conv order by turn nulls first, role, sha256(text), copy) as i,
+         left(role, 1) as initial, regexp_extract(text, '([^\\x20\\x09-\\x0D])[\\x20\\x09-\\x0D]*$', 1) as ending
+  from rows),
+faults as (
+  select *, row_number() over (partition by conv, role, text order by i) > 1 as again,
+         lag(initial) over (partition by conv order by i) as before, count(*) over (partition by conv) as n
+  from placed),
+judged as (
+  select *, ending = '' as blank, ending != '' and again as duplicate,
+         ending != '' and not again and not regexp_matches(ending, '[.!?]') as truncated,
+         ending = '' or again as must_go,
+         case when ending != '' and not again and not regexp_matches(ending, '[.!?]') then 1 else 0 end as late
+  from faults),
+search as (
+  select distinct conv, n as i, '0000000000' as b0, '0000000004II' as b1, '0000000002I' as b2, '0000000000' as b3 from judged
+  union all
+  {_cheapest()}),
+best as (select conv, substr(b0, 1, 10)::bigint as cost, substr(b0, 11) as audit from search where i = 0),
+letters as (
+  select conv, unnest(string_split(audit, '')) as letter, unnest(range(1, length(audit) + 1)) as k from best where audit != ''),
+used as (
+  select *, sum((letter != 'I')::int) over w as i, sum((letter != 'D')::int) over w as j
+  from letters window w as (partition by conv order by k)),
+written as (
+  select u.conv, u.k, u.letter, u.j, r.role, case when letter = 'I' then '' else r.text end as text,
+         max((u.j = 1 and letter = 'K' and initial = 's')::int) over (partition by u.conv) as opened
+  from used u left join judged r on r.conv = u.conv and r.i = u.i and u.letter != 'I'),
+repaired as (
+  select conv, sha256(string_agg(case when letter = 'K' then role when (j - opened) % 2 = 1 then 'user' else 'assistant' end
+                                 || ':' || text, chr(10) order by k)) as digest
+  from written where letter != 'D' group by conv),
+counted as (
+  select conv, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) as gaps, sum(blank::int) as blank,
+         sum(duplicate::int) as duplicate, sum(truncated::int) as truncated,
+         sum((before is not null and before || initial not in ('su', 'ua', 'au'))::int) as illegal
+  from judged group by conv)
+select c.conv_id, coalesce(gaps, 0)::bigint as gaps, coalesce(blank, 0)::bigint as blank,
+       coalesce(duplicate, 0)::bigint as duplicate, coalesce(truncated, 0)::bigint as truncated,
+       coalesce(illegal, 0)::bigint as illegal, coalesce(cost, 0)::bigint as cost, coalesce(audit, '') as audit,
+       coalesce(digest, sha256('')) as repaired_sha256
+from (select distinct conv_id, conv from plain) c left join counted using (conv) left join best using (conv)
+left join repaired using (conv)
+"""

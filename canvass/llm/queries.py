@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from canvass.llm import (
-    classifier, decontaminate, fingerprints, hard_negatives, licenses, lm_trie, near_dups, oracles, packing, quality_rules, secrets, sharding, token_counts)
+    classifier, conversations, decontaminate, fingerprints, hard_negatives, licenses, lm_trie, near_dups, oracles,
+    packing, quality_rules, secrets, sharding, token_counts)
 from canvass.llm.common import small_batches
 
 QUERIES: dict = {}
@@ -136,3 +137,9 @@ def op11(spark, sf_dir):
 def op12(spark, sf_dir):
     every = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     return hard_negatives.hard_negatives(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, every)
+
+
+@query("op13_conversations", oracles.CONVERSATIONS)
+def op13(spark, sf_dir):
+    rows = conversations.damaged(table(spark, sf_dir, "conversations"))
+    return conversations.repaired(rows, F.col("here"))
