@@ -37,9 +37,14 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
 
 
 def on_worker(key, make):
-    """A value kept in a Python worker for all its tasks, such as a loaded tokenizer."""
+    """A value kept in a Python worker for tasks of its kind, such as a loaded tokenizer.
+
+    A worker that is used again for other work drops what earlier work has left, so what
+    it holds does not add up over the stages of a job.
+    """
     store = sys.modules.setdefault("_canvass_kept", types.ModuleType("_canvass_kept")).__dict__.setdefault("kept", {})
     if key not in store:
+        store.clear()
         store[key] = make()
     return store[key]
 
@@ -53,21 +58,55 @@ class BoundedCache:
     def __init__(self, most_bytes: int):
         self.half, self.new, self.old, self.size = most_bytes // 2, {}, {}, 0
 
-    def lookup(self, keys: list[bytes], make) -> list:
-        """The keys' values; ``make(key)`` is asked for those not held."""
-        new = self.new
-        for k in set(keys).difference(new):
-            v = self.old.get(k)
-            if v is None:
-                v = make(k)
-            new[k] = v
-            self.size += 170 + len(k) + (len(v) if isinstance(v, bytes) else 0)
-        out = [new[k] for k in keys]
+    def lookup(self, keys: list, make_all) -> list:
+        """The values of distinct keys; ``make_all(list of keys)`` gives the values of those not held."""
+        out = list(map(self.new.get, keys))
+        lacking = [i for i, v in enumerate(out) if v is None]
+        unknown = []
+        for i in lacking:
+            out[i] = self.old.get(keys[i])
+            if out[i] is None:
+                unknown.append(i)
+        for i, v in zip(unknown, make_all([keys[i] for i in unknown]), strict=True):
+            out[i] = v
+        self.new.update((keys[i], out[i]) for i in lacking)
+        self.size += sum(170 + len(keys[i]) + (len(out[i]) if isinstance(out[i], bytes) else 0) for i in lacking)
         if self.size > self.half:
-            self.old, self.new, self.size = new, {}, 0
+            self.old, self.new, self.size = self.new, {}, 0
         return out
 
 
+def slices(batches, text: int, most_bytes: int = 8 << 20, most_rows: int = 4000):
+    """Arrow batches cut or put together to a bounded number of bytes of text and of rows.
+
+    ``text`` is the place of the text column; a longer text is a slice of its own.
+    """
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    held, size, rows = [], 0, 0
+
+    def joined():
+        table = pa.Table.from_batches(held).combine_chunks()
+        return table.to_batches()[0] if table.num_rows else held[0]
+
+    for b in batches:
+        sizes = pc.fill_null(pc.binary_length(b.column(text)), 0).to_pylist()
+        start = 0
+        for i, n in enumerate(sizes):
+            if rows and (size + n > most_bytes or rows >= most_rows):
+                if i > start:
+                    held.append(b.slice(start, i - start))
+                yield joined()
+                held, size, rows, start = [], 0, 0, i
+            size += n
+            rows += 1
+        if len(sizes) > start:
+            held.append(b.slice(start))
+    if held:
+        yield joined()
+
+
 def attach(df: DataFrame, schema: str, fn, *inputs: str):
     """Add columns worked out in Python, next to all columns of the input, without a join.
 

@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from canvass.llm.common import BoundedCache, on_worker
+from canvass.llm.common import BoundedCache, on_worker, slices
 
 IDENTITY = 8
 BUCKETS = 256
@@ -39,8 +39,9 @@ def word_numbers(words: list[bytes]):
     import numpy as np
 
     known = on_worker("pair_words", lambda: BoundedCache(CACHE_BYTES))
-    return np.fromiter(known.lookup(words, lambda w: int.from_bytes(hashlib.md5(w).digest()[:4], "big")),
-                       np.uint64, len(words))
+    distinct = list(set(words))
+    numbers = known.lookup(distinct, lambda new: [int.from_bytes(hashlib.md5(w).digest()[:4], "big") for w in new])
+    return np.fromiter(map(dict(zip(distinct, numbers, strict=True)).__getitem__, words), np.uint64, len(words))
 
 
 def _sliced(lines):
@@ -273,34 +274,20 @@ def fingerprints(docs: DataFrame, chunk_rows: int = DOCS_A_CHUNK) -> DataFrame:
 
     def run(batches):
         ids, texts, last, sums = [], [], [], None
-        for b in batches:
-            for at in _bounded(b.column(1)):
-                part = b.slice(at[0], at[1] - at[0])
-                new = part.column(1).to_pylist()
-                fresh = of_texts(new)
-                if sums is not None:  # the row held back meets its follower
-                    both = Sums(1 + fresh.n)
-                    both.identity[:1], both.likeness[:1] = sums.identity[-1:], sums.likeness[-1:]
-                    both.identity[1:], both.likeness[1:] = fresh.identity, fresh.likeness
-                    fresh = both
-                ids, texts, last = ids[-1:] + part.column(0).to_pylist(), texts[-1:] + new, last[-1:] + part.column(2).to_pylist()
-                sums = fresh
-                whose = [k for k in range(len(ids) - 1) if not last[k]]
-                if whose:
-                    yield finished(ids, texts, sums, whose)
+        for part in slices(batches, 1, 2 * SLICE, 500):
+            new = part.column(1).to_pylist()
+            fresh = of_texts(new)
+            if sums is not None:  # the row held back meets its follower
+                both = Sums(1 + fresh.n)
+                both.identity[:1], both.likeness[:1] = sums.identity[-1:], sums.likeness[-1:]
+                both.identity[1:], both.likeness[1:] = fresh.identity, fresh.likeness
+                fresh = both
+            ids, texts, last = ids[-1:] + part.column(0).to_pylist(), texts[-1:] + new, last[-1:] + part.column(2).to_pylist()
+            sums = fresh
+            whose = [k for k in range(len(ids) - 1) if not last[k]]
+            if whose:
+                yield finished(ids, texts, sums, whose)
 
     kinds = f"doc_id {key_type.simpleString()}, n_chars long, edited_sha256 string, fingerprint string, " \
             "edited_fingerprint string, near_edited double, near_next double"
     return followed(docs, chunk_rows).mapInArrow(run, kinds)
-
-
-def _bounded(column):
-    """Slices of a batch of bounded bytes of text (a single longer text is a slice)."""
-    start = size = 0
-    for i, n in enumerate(column.cast("binary").to_pandas().str.len() if len(column) else []):
-        size += int(n)
-        if size >= 2 * SLICE or i - start >= 500:
-            yield start, i + 1
-            start, size = i + 1, 0
-    if start < len(column):
-        yield start, len(column)

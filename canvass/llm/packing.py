@@ -10,25 +10,42 @@ piece among all pieces of its length.
 from __future__ import annotations
 
 import heapq
-import unicodedata
+import itertools
+import re
+import struct
+import zlib
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from canvass.llm.common import on_worker, stage
+from canvass.llm.common import BoundedCache, on_worker, slices, stage
 
 END_ID = 1
 CAPACITY = 2048
-CACHED_WORDS = 1_000_000  # entries kept by a worker before it starts afresh; bounds memory, not results
+CACHE_BYTES = 96 << 20  # of words that a worker remembers; bounds memory, not results
 
-PIECES = "start long, length long, doc_tokens long, ids binary, rank_here long"
+PIECES = "start long, length long, doc_tokens long, ids_crc32 long, ids binary, rank_here long"
+
+
+#: Latin letters that lower case and composition leave to themselves, and closing punctuation after one.
+SMALL = "a-z\u00df-\u00f6\u00f8-\u00ff"
+CLOSING = f"([{SMALL}])([.,;:!?|]+)(\\s|$)"
+PLAIN = re.compile(f"[{SMALL}\u00c0-\u00d6\u00d8-\u00deA-Z]+")
+
+
+def byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in a byte-level vocabulary: itself if it can be printed."""
+    shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    hidden = (b for b in range(256) if b not in shown)
+    return {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(hidden)}
 
 
 class WordIds:
     """Ids of white-space separated words, as little-endian unsigned 32-bit numbers.
 
-    No token of this tokenizer spans white space, so a text's ids are those of its
-    words in a row; each distinct word is tokenized once per worker.
+    No token of this tokenizer spans white space, nor a letter and the punctuation that
+    closes its word, so a text's ids are those of its words in a row.  Distinct words of a
+    batch are found by Arrow; those lately used are remembered, in bounded memory.
     """
 
     def __init__(self, path: str):
@@ -38,86 +55,91 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[bytes, bytes] = {}
-
-    def batch(self, texts: list[str]) -> list[bytes]:
-        split = [t.encode().split() for t in texts]
-        if len(self.known) > CACHED_WORDS:
-            self.known.clear()
-        new = [w for w in set().union(*split) if w not in self.known]
-        parts = [parted(w) for w in new]
-        self._encode({p for ps in parts for p in ps if p not in self.known})
-        for w, ps in zip(new, parts, strict=True):
-            self.known[w] = b"".join([self.known[p] for p in ps])
-        get = self.known.__getitem__
-        return [b"".join(map(get, words)) for words in split]
-
-    def _encode(self, new: set[bytes]) -> None:
-        import struct
-
-        # plain lower-case letters are one pre-token as they stand, so the model alone is asked
-        model, plain = self.tokenizer.model, {p for p in new if p.isascii() and p.isalpha()}
-        for p in plain:
-            ids = [t.id for t in model.tokenize(p.decode())]
-            self.known[p] = struct.pack(f"<{len(ids)}I", *ids)
-        rest = list(new - plain)
+        self.known = BoundedCache(CACHE_BYTES)
+        self.letters = byte_letters()
+
+    def batch(self, texts) -> list[bytes]:
+        """The ids of each text of an Arrow column (or list); a null text is empty."""
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        texts = pc.fill_null(pa.array(texts, pa.large_string()) if isinstance(texts, list) else texts.cast(pa.large_string()), "")
+        odd = pc.match_substring(texts, "<|")  # may hold special tokens, which lower case would make or undo
+        split = pc.ascii_split_whitespace(pc.replace_substring_regex(
+            pc.ascii_lower(pc.if_else(odd, "", texts)), pattern=CLOSING, replacement=r"\1 \2\3"))
+        words = split.flatten().dictionary_encode()
+        blobs = self.known.lookup(words.dictionary.to_pylist(), self._encode)
+        ids = np.frombuffer(b"".join(blobs), "<u4")
+        sizes = np.fromiter(map(len, blobs), np.int64, len(blobs)) // 4
+        which = words.indices.to_numpy()
+        each = sizes[which]
+        ends = np.cumsum(each)
+        # where each token of each word lies among the ids of the distinct words
+        at = np.arange(ends[-1] if len(ends) else 0)
+        at += np.repeat((np.cumsum(sizes) - sizes)[which] - (ends - each), each)
+        raw = ids[at].tobytes()
+        offsets = split.offsets.to_numpy() - split.offsets[0].as_py()
+        bounds = (4 * np.concatenate([[0], ends])[offsets]).tolist()
+        out = [raw[a:b] for a, b in zip(bounds, bounds[1:], strict=False)]
+        for i in np.flatnonzero(odd.to_numpy(zero_copy_only=False)).tolist():
+            out[i] = self._packed(self.tokenizer.encode(texts[i].as_py(), add_special_tokens=False).ids)
+        return out
+
+    @staticmethod
+    def _packed(ids: list[int]) -> bytes:
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def _encode(self, new: list[str]) -> list[bytes]:
+        """A word of Latin letters is one pre-token, so the model alone is asked; others take the whole way."""
+        done, rest = {}, []
+        tokenize, letters = self.tokenizer.model.tokenize, self.letters
+        for w in new:
+            if PLAIN.fullmatch(w):
+                shown = w if w.isascii() else w.lower().encode().decode("latin-1").translate(letters)
+                done[w] = self._packed([t.id for t in tokenize(shown)])
+            else:
+                rest.append(w)
         for at in range(0, len(rest), 4096):
             part = rest[at:at + 4096]
-            done = self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)
-            for w, e in zip(part, done, strict=True):
-                self.known[w] = struct.pack(f"<{len(e.ids)}I", *e.ids)
-
-
-def parted(word: bytes) -> tuple[bytes, ...]:
-    """A word's core in lower case and its closing punctuation, which the tokenizer keeps apart after a letter.
-
-    Words that may hold a special token, or whose core ends otherwise, stay whole.
-    """
-    if b"<|" in word:
-        return (word,)
-    low = word.lower()  # ASCII letters only, as the tokenizer lowers them too
-    core = low.rstrip(b".,;:!?|")
-    if len(core) == len(low) or not core:
-        return (low,)
-    if core[-1] < 128:
-        return (core, low[len(core):]) if core[-1:].isalpha() else (low,)
-    last = unicodedata.normalize("NFC", core.decode()).lower()[-1]
-    return (core, low[len(core):]) if last.isalpha() else (low,)
+            ids = self.tokenizer.encode_batch_fast(part, add_special_tokens=False)
+            done.update(zip(part, (self._packed(e.ids) for e in ids), strict=True))
+        return [done[w] for w in new]
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, text: str = "text",
-           end_id: int = END_ID) -> DataFrame:
+           end_id: int = END_ID, keep_ids: bool = True) -> DataFrame:
     """The rows' ids, each row's last being ``end_id``, cut every ``capacity`` ids.
 
     ``rank_here`` numbers the pieces of one length within a partition.  A null text
-    counts as empty: one piece that holds the end.
+    counts as empty: one piece that holds the end.  Without ``keep_ids`` their digest goes on alone.
     """
     import pyarrow as pa
 
     key_type = docs.schema["doc_id"].dataType
 
     def run(batches):
+        from pyspark.sql.pandas.types import to_arrow_type
+
         words = on_worker(("word_ids", tokenizer_path), lambda: WordIds(tokenizer_path))
         end = end_id.to_bytes(4, "little")
         ranks = [0] * (capacity + 1)
-        for b in batches:
-            out = [[], [], [], [], [], []]
-            ids = b.column(0).to_pylist()
-            for doc, blob in zip(ids, words.batch([t or "" for t in b.column(1).to_pylist()]), strict=True):
+        kinds = [to_arrow_type(key_type), *[pa.int64()] * 4, pa.binary(), pa.int64()]
+        for b in slices(batches, 1):
+            out = [[] for _ in kinds]
+            for doc, blob in zip(b.column(0).to_pylist(), words.batch(b.column(1)), strict=True):
                 blob += end
                 total = len(blob) // 4
                 for start in range(0, total, capacity):
                     part = blob[start * 4:(start + capacity) * 4]
                     n = len(part) // 4
-                    for column, v in zip(out, (doc, start, n, total, part, ranks[n]), strict=True):
+                    values = (doc, start, n, total, zlib.crc32(part), part if keep_ids else None, ranks[n])
+                    for column, v in zip(out, values, strict=True):
                         column.append(v)
                     ranks[n] += 1
-            from pyspark.sql.pandas.types import to_arrow_type
-
-            kinds = [to_arrow_type(key_type), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64()]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(v, k) for v, k in zip(out, kinds, strict=True)],
-                names=["doc_id", "start", "length", "doc_tokens", "ids", "rank_here"])
+                names=["doc_id", "start", "length", "doc_tokens", "ids_crc32", "ids", "rank_here"])
 
     rows = docs.select("doc_id", F.col(text).alias("text"))
     return rows.mapInArrow(run, f"doc_id {key_type.simpleString()}, {PIECES}")
@@ -195,7 +217,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACIT
     ids themselves unless ``keep_ids`` is off.  Repeated rows are packed each for itself;
     null ids stay null; no rows give no sequences; other columns are left out.
     """
-    cut = pieces(docs, tokenizer_path, capacity).withColumn("ids_crc32", F.crc32("ids"))
+    cut = pieces(docs, tokenizer_path, capacity, keep_ids=keep_ids)
     cut = cut if keep_ids else cut.drop("ids")
     return pack(stage(cut.withColumn("part", F.spark_partition_id()), "pieces"), capacity)
 

@@ -8,7 +8,7 @@ from canvass.llm.queries import tokenizer_path
 WHOLE = Tokenizer.from_file(tokenizer_path())
 WORDS = WordIds(tokenizer_path())
 PARTS = ["And", "and", ".", ",", "...", "|", "'s", "'", "É", "ß", "é", "Σ", "İ", "<|endoftext|>", "<|ENDOFTEXT|>", "<|", "9", "٣",
-         " ", "\n", "\t", "\x1c", "\x85", " ", "　", "\U0001f600", "!", "?", "don't", "ﬁ", "한", "x"]
+         " ", "\n", "\t", "\x1c", "\x85", " ", "　", "\U0001f600", "!", "?", "don't", "ﬁ", "한", "x", "ÿ", "÷", "Þ", "ß.", "a\u0301", ":"]
 
 
 @settings(max_examples=400, deadline=None)
