@@ -1,35 +1,52 @@
 """Near-duplicates by order MinHash, verified by banded alignment.
 
-A text is the sequence of its five-word shingles, each labelled with how often it
-has stood in the text before.  A sketch takes the few smallest labelled shingles
-under one hash function and keeps them in their order in the text, so it answers
-to edit similarity; texts that share a sketch are candidates.
-
-The documents of a sketch are first compared with its first one; most copies join
-their class so, at a comparison or a few each.  Sketches that hold several classes
-still are looked at in full, a chunk of their documents against another, where
-products of small matrices give the shingles in common.  Nothing is capped.  Two
-texts are alike if aligning their shingles leaves at least ``SIMILARITY`` of both
+A text is the sequence of its words.  A sketch takes the few smallest of its k-mers
+(words in a row, each labelled with how often it has stood in the text before) under one
+hash function and keeps them in their order in the text, so it answers to edit
+similarity; texts that share a sketch are candidates.
+
+The first text of a sketch leads it.  A text is first compared with the leader that it
+shares most sketches with; most copies join their class so, at a comparison each.
+Sketches that hold several classes still are looked at in full, a chunk of their texts against another, where
+products of small matrices give the words in common.  Nothing is capped.  Two
+texts are alike if aligning their words leaves at least ``SIMILARITY`` of both
 together; classes are the connected components.
 """
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from canvass.llm.common import on_worker, small_batches, stage
+from canvass.llm.common import slices, small_batches, stage
 from canvass.llm.decontaminate import words_of
 
-SHINGLE = 5
 SIMILARITY = 0.8
 SKETCHES = 40
-KEPT = 6  # labelled shingles of a sketch; at similarity 0.8 a pair shares none of 40 in 5 of a million cases
-SHORT = (20, 25)  # from 20 shingles on sketches keep six; below 25 they (also) keep one
-CHUNK, CHUNK_BYTES = 64, 1 << 17  # documents of a sketch, and bytes of their words, that meet another chunk at a time
-WIDTH = 4096  # shingles of a slice when two chunks are compared
-CACHED_WORDS = 500_000  # a worker's memory of words, started afresh beyond; results do not depend on it
-SKETCHED = "t1 long, t2 long, n_words long, sketches array<long>"
+
+
+class Tier(NamedTuple):
+    """How texts of ``least`` to ``below`` words are sketched; tiers overlap by more than the similarity allows."""
+
+    least: int
+    below: float
+    kept: int  # labelled k-mers of a sketch
+
+
+#: Words in a k-mer.  A replaced word costs as many k-mers, so at one word a text of which a tenth is replaced
+#: keeps 0.82 of them and shares one of 40 sketches of eight but in 2 of 10,000 cases; texts that merely have
+#: words in common seldom have eight of them in one order.
+KMER = 1
+#: Texts of under four words have no near copies but equal ones.
+TIERS = [Tier(4, 10, 3), Tier(8, 30, 6), Tier(24, float("inf"), 8)]
+CHUNK, CHUNK_BYTES = 64, 1 << 17  # texts of a sketch, and bytes of their words, that meet another chunk at a time
+WIDTH = 4096  # labelled words of a slice when two chunks are compared
+SLICE = 1 << 16  # k-mers ranked at a time
+MASKED = 4096  # texts of more words find a word's places by search instead of by masks as wide as the text
+TEXT = "decimal(38,0)"  # a text is named by a digest of its words; a number, so that it is aggregated by hash
+SKETCHED = f"raw long, t {TEXT}, n_words long, sketches array<long>"
 
 
 def mix(x):
@@ -42,32 +59,26 @@ def mix(x):
 
 
 def word_hashes(words: list[bytes]):
-    """A 64-bit number per word, remembered by the worker."""
+    """A 64-bit number per word."""
     import numpy as np
     import xxhash
 
-    known = on_worker("word_hashes", dict)
-    if len(known) > CACHED_WORDS:
-        known.clear()
-    for w in set(words):
-        if w not in known:
-            known[w] = xxhash.xxh3_64_intdigest(w)
-    return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
 
 
-def shingles(hashes):
-    """A number per five words in a row; a shorter text is one shingle."""
+def kmers(hashes, k: int):
+    """A number per ``k`` words in a row; a shorter text is one."""
     import numpy as np
 
-    n = max(1, len(hashes) - SHINGLE + 1)
+    n = max(1, len(hashes) - k + 1)
     out = np.zeros(n, np.uint64)
-    for k in range(min(SHINGLE, len(hashes))):
-        out = mix(out + hashes[k:k + n] + np.uint64(k + 1))
+    for i in range(min(k, len(hashes))):
+        out = mix(out + hashes[i:i + n] + np.uint64(i + 1))
     return out
 
 
 def labelled(values):
-    """Tell repeated shingles apart by how often they have stood before."""
+    """Tell repeated values apart by how often they have stood before."""
     import numpy as np
 
     order = np.argsort(values, kind="stable")
@@ -80,27 +91,56 @@ def labelled(values):
     return out
 
 
-def sketches(labels):
-    """Keys of the sketches, which fold the smallest labels in text order."""
+def least_ranked(labels, factors, kept: int):
+    """Ranks of the few least labels under each factor, in text order; long texts go slice by slice."""
     import numpy as np
 
-    factors = mix(np.arange(1, SKETCHES + 1, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03)) | np.uint64(1)
-    ranked = labels[None, :] * factors[:, None]
-    keys = []
-    n = len(labels)
-    if n < SHORT[1]:
-        keys.append(mix(ranked.min(axis=1) + factors))
-    if n >= SHORT[0]:
-        least = np.sort(np.argpartition(ranked, KEPT - 1, axis=1)[:, :KEPT], axis=1)
-        key = ~factors
-        for k in range(KEPT):
-            key = mix(key + np.take_along_axis(ranked, least[:, k:k + 1], axis=1)[:, 0])
-        keys.append(key)
+    ranks = places = None
+    for at in range(0, len(labels), SLICE):
+        new = labels[None, at:at + SLICE] * factors[:, None]
+        where = np.broadcast_to(np.arange(at, at + new.shape[1]), new.shape)
+        if ranks is not None:
+            new, where = np.concatenate([ranks, new], axis=1), np.concatenate([places, where], axis=1)
+        if new.shape[1] > kept:
+            least = np.argpartition(new, kept - 1, axis=1)[:, :kept]
+            new, where = np.take_along_axis(new, least, 1), np.take_along_axis(where, least, 1)
+        ranks, places = new, where
+    return np.take_along_axis(ranks, np.argsort(places, axis=1), 1)
+
+
+def sketches(hashes):
+    """Keys of a text's sketches, which fold the least labelled k-mers in text order."""
+    import numpy as np
+
+    base = mix(np.arange(1, SKETCHES + 1, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03)) | np.uint64(1)
+    keys = [np.zeros(0, np.uint64)]
+    for number, tier in enumerate(TIERS):
+        if tier.least <= len(hashes) < tier.below:
+            key = mix(~base + np.uint64(number))
+            for rank in least_ranked(labelled(kmers(hashes, KMER)), base, tier.kept).T:
+                key = mix(key + rank)
+            keys.append(key)
     return np.unique(np.concatenate(keys)).view(np.int64)
 
 
+def raw_digest(text: str = "text"):
+    """Tells rows of one id apart."""
+    return F.xxhash64(text)
+
+
+def names(texts: list[list[bytes]]):
+    """The names of texts, given as words."""
+    import decimal
+
+    import pyarrow as pa
+    import xxhash
+
+    numbers = [decimal.Decimal(xxhash.xxh3_128_intdigest(b" ".join(words)) % 10**38) for words in texts]
+    return pa.array(numbers, pa.decimal128(38, 0))
+
+
 def sketch(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``doc_id``, a 128-bit digest of the words, their number, and the sketches' keys."""
+    """``doc_id``, a digest of the row's text, one of its words (``t``), their number, and the sketches' keys."""
     import pyarrow as pa
     from pyspark.sql.pandas.types import to_arrow_type
 
@@ -108,33 +148,27 @@ def sketch(docs: DataFrame, text: str = "text") -> DataFrame:
 
     def run(batches):
         import numpy as np
-        import xxhash
 
-        for b in batches:
-            one, two, counts, keys = [], [], [], []
-            for t in b.column(1).to_pylist():
-                words = words_of(t)
-                digest = xxhash.xxh3_128_digest(b" ".join(words))
-                one.append(int.from_bytes(digest[:8], "little", signed=True))
-                two.append(int.from_bytes(digest[8:], "little", signed=True))
-                counts.append(len(words))
-                keys.append(sketches(labelled(shingles(word_hashes(words)))) if words else np.zeros(0, np.int64))
+        for b in slices(batches, 2):
+            texts = [words_of(t) for t in b.column(2).to_pylist()]
+            counts = [len(words) for words in texts]
+            keys = [sketches(word_hashes(words)) for words in texts]
             ends = np.cumsum([0, *map(len, keys)]).astype(np.int32)
             flat = np.concatenate(keys) if keys else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays(
-                [b.column(0).cast(to_arrow_type(key_type)), pa.array(one, pa.int64()), pa.array(two, pa.int64()),
+                [b.column(0).cast(to_arrow_type(key_type)), b.column(1), names(texts),
                  pa.array(counts, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))],
-                names=["doc_id", "t1", "t2", "n_words", "sketches"])
+                names=["doc_id", "raw", "t", "n_words", "sketches"])
 
-    return docs.select("doc_id", F.col(text).alias("text")).mapInArrow(
+    return docs.select("doc_id", raw_digest(text).alias("raw"), F.col(text).alias("text")).mapInArrow(
         run, f"doc_id {key_type.simpleString()}, {SKETCHED}")
 
 
 def aligned(a, b, needed: int) -> int:
-    """Length of the best alignment of two shingle sequences if it reaches ``needed``, else less than that.
+    """Length of the best alignment of two word sequences if it reaches ``needed``, else less than that.
 
-    An alignment that long leaves out few shingles, and so stays within a band about
-    the diagonal.  Rows are bit sets, so one row of the table is a few operations.
+    An alignment that leaves out few words stays within a band about the diagonal.  Bands
+    are tried from narrow to wide until one is wide enough to be sure of its answer.
     """
     import numpy as np
 
@@ -147,71 +181,121 @@ def aligned(a, b, needed: int) -> int:
     tail = n if same.all() else int(np.argmin(same))
     a, b = a[:len(a) - tail], b[:len(b) - tail]
     total = head + tail
+    if not len(a) or not len(b):
+        return total
     values, numbers = np.unique(np.concatenate([a, b]), return_inverse=True)
     mine, other = numbers[:len(a)], numbers[len(a):]
     k = len(values)
     if total + np.minimum(np.bincount(mine, minlength=k), np.bincount(other, minlength=k)).sum() < needed:
         return 0
-    at: dict[int, int] = {}
-    for j, v in enumerate(other.tolist()):
-        at[v] = at.get(v, 0) | (1 << j)
-    width = max(len(a) + len(b) - 2 * (needed - total), 0)
-    full = (1 << len(b)) - 1
-    band = (1 << (2 * width + 1)) - 1
-    row = full
-    for i, v in enumerate(mine.tolist()):
-        hit = at.get(v, 0) & (band << (i - width) if i >= width else band >> (width - i))
-        u = row & hit
-        row = ((row + u) | (row - u)) & full
-    return total + len(b) - row.bit_count()
+    places = Places(other, k)
+    both, widest = len(a) + len(b), max(len(a) + len(b) - 2 * (needed - total), abs(len(a) - len(b)))
+    width = min(widest, max(64, 2 * abs(len(a) - len(b))))
+    rows = mine.tolist()
+    while True:
+        found = in_band(rows, places, width)
+        if width >= widest or both - 2 * found <= width:
+            return total + found
+        width = min(widest, 4 * width)
+
+
+class Places:
+    """Where the numbers of a sequence stand, as bits of a window."""
+
+    def __init__(self, sequence, k: int):
+        import numpy as np
+
+        self.n, self.at = len(sequence), None
+        if self.n <= MASKED:
+            self.at = [0] * k
+            for j, v in enumerate(sequence.tolist()):
+                self.at[v] |= 1 << j
+        else:  # masks would take memory with the square of the length
+            self.order = np.argsort(sequence, kind="stable")
+            self.starts = np.searchsorted(sequence[self.order], np.arange(k + 1))
+
+    def window(self, value: int, low: int, size: int) -> int:
+        """Bit p is set where the value stands at ``low + p``."""
+        import numpy as np
+
+        if self.at is not None:
+            hits = self.at[value]
+            return (hits >> low if low >= 0 else hits << -low) & ((1 << size) - 1)
+        held = self.order[self.starts[value]:self.starts[value + 1]]
+        first, last = np.searchsorted(held, [low, low + size])
+        held = held[first:last] - low
+        if len(held) <= 16:
+            return sum(1 << p for p in held.tolist())
+        bits = np.zeros(size, np.uint8)
+        bits[held] = 1
+        return int.from_bytes(np.packbits(bits, bitorder="little").tobytes(), "little")
+
+
+def in_band(rows: list[int], places: Places, width: int) -> int:
+    """The best alignment that matches words at most ``width`` places apart.
+
+    A row of the table is held as bits, 0 where a column adds to the alignment; only the
+    columns of the band are held, and those that leave it are counted.
+    """
+    size = 2 * width + 1
+    full = (1 << size) - 1
+    row, found = full, 0  # column j is bit j - (i - width)
+    for i, value in enumerate(rows):
+        if i:
+            found += 1 - (row & 1)
+            row = (row >> 1) | (1 << (size - 1))
+        u = row & places.window(value, i - width, size)
+        if u:
+            row = ((row + u) | (row - u)) & full
+    return found + size - row.bit_count()
 
 
 def alike(a, b) -> float:
-    """Aligned shingles over all shingles of both texts; 0 where it can't reach the threshold."""
+    """Aligned words over all words of both texts; 0 where it can't reach the threshold."""
     import math
 
     both = len(a) + len(b)
     needed = math.ceil(SIMILARITY * both / (1 + SIMILARITY) - 1e-9)
+    if min(len(a), len(b)) < needed:
+        return 0.0
     length = aligned(a, b, needed)
     return length / (both - length) if length >= needed else 0.0
 
 
+def numbers_of(raw: bytes):
+    import numpy as np
+
+    return np.frombuffer(raw, np.uint32).astype(np.uint64)
+
+
 def sequences(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Word numbers (32 bits each) of the wanted documents; the only place where texts are shuffled."""
+    """Word numbers (32 bits each) of the wanted texts (``doc_id, raw, t``); the only place where texts are shuffled."""
     import pyarrow as pa
-    from pyspark.sql.pandas.types import to_arrow_type
-
-    key_type = docs.schema["doc_id"].dataType
 
     def run(batches):
         import numpy as np
 
-        for b in batches:
+        for b in slices(batches, 1):
             rows = [word_hashes(words_of(t)).astype(np.uint32).tobytes() for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0).cast(to_arrow_type(key_type)), pa.array(rows, pa.binary())], names=["doc_id", "seq"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(rows, pa.binary())], names=["t", "seq"])
 
-    texts = docs.select("doc_id", "text").join(wanted, "doc_id", "left_semi")
-    return texts.mapInArrow(run, f"doc_id {key_type.simpleString()}, seq binary").dropDuplicates(["doc_id"])
+    # one row stands for all of a text; rows equal to it in id and text are copies of it
+    rows = docs.select("doc_id", raw_digest().alias("raw"), "text").join(wanted, ["doc_id", "raw"])
+    return rows.select("t", "text").mapInArrow(run, f"t {TEXT}, seq binary").dropDuplicates(["t"])
 
 
 def verified(pairs: DataFrame, seqs: DataFrame) -> DataFrame:
-    """The pairs ``(doc, leader)`` that align, with their similarity."""
+    """The pairs ``(doc, leader)`` of texts that align, with their similarity."""
     import pyarrow as pa
 
     def run(batches):
-        import numpy as np
-
-        def read(raw):
-            return shingles(np.frombuffer(raw, np.uint32).astype(np.uint64))
-
         for b in batches:
             leaders: dict[bytes, object] = {}
             keep, sims = [], []
             for i, (x, y) in enumerate(zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)):
                 if y not in leaders:
-                    leaders = {y: read(y)}
-                sim = alike(read(x), leaders[y])
+                    leaders = {y: numbers_of(y)}
+                sim = alike(numbers_of(x), leaders[y])
                 if sim >= SIMILARITY:
                     keep.append(i)
                     sims.append(sim)
@@ -219,15 +303,14 @@ def verified(pairs: DataFrame, seqs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([took.column(0), took.column(1), pa.array(sims, pa.float64())],
                                              names=["doc", "leader", "similarity"])
 
-    one = seqs.select(F.col("doc_id").alias("doc"), F.col("seq").alias("seq_a"))
-    two = seqs.select(F.col("doc_id").alias("leader"), F.col("seq").alias("seq_b"))
+    one = seqs.select(F.col("t").alias("doc"), F.col("seq").alias("seq_a"))
+    two = seqs.select(F.col("t").alias("leader"), F.col("seq").alias("seq_b"))
     both = pairs.join(one, "doc").join(two, "leader").select("doc", "leader", "seq_a", "seq_b")
-    kinds = {f.name: f.dataType.simpleString() for f in both.schema}
-    return both.mapInArrow(run, f"doc {kinds['doc']}, leader {kinds['leader']}, similarity double")
+    return both.mapInArrow(run, f"doc {TEXT}, leader {TEXT}, similarity double")
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """``(doc, class_id)`` for the ends of the edges: the smallest id that can be reached.
+    """``(doc, class_id)`` for the ends of the edges: the smallest that can be reached.
 
     Every round takes the least label of the neighbours and then that label's own
     label, so chains halve.
@@ -249,16 +332,15 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def shared_sketches(sketched: DataFrame) -> DataFrame:
-    """``(key, doc, leader)`` for sketches that different texts share; a text is named by its first document."""
-    each = sketched.where("n_words > 0 and doc_id is not null").select(
-        "doc_id", "t1", F.explode("sketches").alias("key"))
-    texts = each.groupBy("key", "t1").agg(F.min("doc_id").alias("doc"))  # copies of a text are one here
+    """``(key, doc, leader, n_words)`` for sketches that different texts share; a text is named by its digest."""
+    each = sketched.where("doc_id is not null").select(F.col("t").alias("doc"), "n_words", F.explode("sketches").alias("key"))
+    texts = each.select("key", "doc", "n_words").distinct()  # copies of a text are one here
     several = texts.groupBy("key").agg(F.min("doc").alias("leader"), F.count(F.lit(1)).alias("_n")).where("_n > 1")
-    return texts.join(several.drop("_n"), "key").select("key", "doc", "leader")
+    return texts.join(several.drop("_n"), "key").select("key", "doc", "leader", "n_words")
 
 
-def common_shingles(rows: list, others: list):
-    """How many labelled shingles each of one list of texts shares with each of another."""
+def common_words(rows: list, others: list):
+    """How many labelled words each of one list of texts shares with each of another."""
     import numpy as np
 
     flat, which = np.unique(np.concatenate([*rows, *others]), return_inverse=True)
@@ -281,11 +363,12 @@ def chunk_links(key, same: bool, one: list, two: list) -> list[tuple]:
     """
     import numpy as np
 
-    seqs = [[shingles(np.frombuffer(d["seq"], np.uint32).astype(np.uint64)) for d in ds] for ds in (one, two)]
-    common = common_shingles(*[[labelled(s) for s in ss] for ss in seqs])
+    seqs = [[numbers_of(d["seq"]) for d in ds] for ds in (one, two)]
+    common = common_words(*[[labelled(s) for s in ss] for ss in seqs])
     sizes = [np.array([len(s) for s in ss], float) for ss in seqs]
     both = sizes[0][:, None] + sizes[1][None, :]
-    classes = [np.array([d["class_id"] for d in ds]) for ds in (one, two)]
+    numbers = {c: i for i, c in enumerate({d["class_id"] for d in (*one, *two)})}
+    classes = [np.array([numbers[d["class_id"]] for d in ds]) for ds in (one, two)]
     may = (common >= SIMILARITY * (both - common) - 1e-3) & (classes[0][:, None] != classes[1][None, :])
     joined: dict = {}
 
@@ -316,45 +399,47 @@ def chunked(both: DataFrame, seqs: DataFrame) -> DataFrame:
     """
     import pyarrow as pa
 
-    each = both.select("key", "doc", "class_id").join(seqs.select(F.col("doc_id").alias("doc"), "seq"), "doc")
-    size = each.groupBy("key").agg(F.greatest(
-        F.count(F.lit(1)) / CHUNK, F.sum(F.octet_length("seq")) / CHUNK_BYTES).alias("_size"))
-    keys = both.groupBy("doc").agg(F.collect_list("key").alias("keys"))  # at most two for each sketch
-    dealt = each.join(size, "key").join(keys, "doc").select(
-        "key", F.pmod(F.xxhash64("doc"), F.ceil("_size")).alias("chunk"), F.struct("doc", "class_id", "seq", "keys").alias("d"))
-    chunks = stage(dealt.groupBy("key", "chunk").agg(F.collect_list("d").alias("docs")), "chunks")
+    size = both.groupBy("key").agg(F.greatest(
+        F.count(F.lit(1)) / CHUNK, F.sum("n_words") * 4 / CHUNK_BYTES).alias("_size"))
+    spot = F.struct("key", F.pmod(F.xxhash64("doc"), F.ceil("_size")).alias("chunk"))
+    # words join a text once, and then go to its sketches: at most two for each hash function
+    held = both.join(size, "key").groupBy("doc").agg(F.min("class_id").alias("class_id"), F.collect_list(spot).alias("spots"))
+    held = held.join(seqs.select(F.col("t").alias("doc"), "seq"), "doc").select(
+        F.explode("spots").alias("spot"), F.struct("doc", "class_id", "seq", F.col("spots.key").alias("keys")).alias("d"))
+    chunks = stage(held.groupBy("spot.key", "spot.chunk").agg(F.collect_list("d").alias("docs")), "chunks")
     other = chunks.select(F.col("key").alias("_key"), F.col("chunk").alias("_chunk"), F.col("docs").alias("_docs"))
     pairs = chunks.join(other, (F.col("key") == F.col("_key")) & (F.col("chunk") <= F.col("_chunk")))
-    kind = both.schema["doc"].dataType.simpleString()
 
     def run(batches):
         for b in batches:
             rows = [r for key, x, y, one, two in zip(*[b.column(i).to_pylist() for i in range(5)], strict=True)
                     for r in chunk_links(key, x == y, one, two)]
-            doc = b.schema.field(3).type.value_type.field("doc").type
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((doc, doc, pa.float64()))],
+            kinds = pa.decimal128(38, 0), pa.decimal128(38, 0), pa.float64()
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)],
                                              names=["one", "two", "similarity"])
 
     return pairs.select("key", "chunk", "_chunk", "docs", "_docs").mapInArrow(
-        run, f"one {kind}, two {kind}, similarity double")
+        run, f"one {TEXT}, two {TEXT}, similarity double")
 
 
 def linked(docs: DataFrame, sketched: DataFrame) -> DataFrame:
     """``(doc, class_id)`` of texts that are linked to another.
 
-    First the documents of a sketch are compared with its first one; most copies join
-    their class here.  Sketches whose documents are of several classes still are then
-    looked at in full, chunk by chunk, so no pair of candidates is left that could join
-    two classes.
+    The first text of a sketch leads it.  Each text is compared with the leader that it
+    shares most sketches with; most copies join their class here, at one comparison each.
+    Sketches whose texts are of several classes still are then looked at in full, chunk by
+    chunk, so no pair of candidates is left that could join two classes.
     """
     spark = docs.sparkSession
     held = stage(shared_sketches(sketched), "shared-sketches")
-    seqs = stage(sequences(docs, held.select(F.col("doc").alias("doc_id")).distinct()), "word-numbers")
-    pairs = held.where("doc != leader").select("doc", "leader").distinct()
+    first_rows = sketched.where("doc_id is not null").groupBy("t").agg(F.min(F.struct("doc_id", "raw")).alias("_r"))
+    wanted = first_rows.join(held.select(F.col("doc").alias("t")).distinct(), "t").select("t", "_r.doc_id", "_r.raw")
+    seqs = stage(sequences(docs, wanted), "word-numbers")
+    shared = held.where("doc != leader").groupBy("doc", "leader").agg(F.count(F.lit(1)).alias("_n"))
+    pairs = shared.groupBy("doc").agg(F.max_by("leader", F.struct("_n", "leader")).alias("leader"))
     first = components(stage(verified(pairs, seqs), "links"))
-    # the first document of a sketch has met all others by now
-    both = held.where("doc != leader").join(first, "doc", "left").select(
-        "key", "doc", F.coalesce("class_id", "doc").alias("class_id"))
+    both = held.join(first, "doc", "left").select(
+        "key", "doc", "n_words", F.coalesce("class_id", "doc").alias("class_id"))
     open_ = both.groupBy("key").agg(F.min("class_id").alias("_a"), F.max("class_id").alias("_b"))
     open_ = open_.where("_a != _b").select("key")
     both = stage(both.join(open_, "key", "left_semi"), "open-sketches")
@@ -371,39 +456,52 @@ def linked(docs: DataFrame, sketched: DataFrame) -> DataFrame:
     return moved.unionByName(alone)
 
 
+def judged(docs: DataFrame) -> DataFrame:
+    """``doc_id, raw, n_words`` of every row with its class's first row (``_first``: id and ``raw``).
+
+    Rows without an id, or without words, have no class.
+    """
+    sketched = stage(sketch(docs.select("doc_id", "text")), "sketches")
+    parts = linked(docs, sketched)
+    texts = sketched.where("n_words > 0 and doc_id is not null").groupBy("t").agg(
+        F.min(F.struct("doc_id", "raw")).alias("_least"))
+    named = texts.join(parts.withColumnRenamed("doc", "t"), "t", "left").select(
+        "t", "_least", F.coalesce("class_id", "t").alias("_class"))
+    first = named.groupBy("_class").agg(F.min("_least").alias("_first"))
+    named = named.join(first, "_class").select(F.col("t").alias("_t"), "_first")
+    with_class = F.when((F.col("n_words") > 0) & F.col("doc_id").isNotNull(), F.col("t"))
+    return sketched.withColumn("_t", with_class).join(named, "_t", "left").select("doc_id", "raw", "n_words", "_first")
+
+
 def classes(docs: DataFrame) -> DataFrame:
     """One row per document with its class, named by the class's smallest id.
 
     Null texts and texts without words, and rows without an id, are classes of their
-    own.  Texts of fewer than five words match equal words only.  Repeated rows share
-    a class; no rows give none.  Other columns are left out.
+    own.  Texts of fewer than four words match equal words only.  Repeated rows share
+    a class; rows of one id are judged each by its own text; no rows give none.  Other
+    columns are left out.
     """
-    sketched = stage(sketch(docs.select("doc_id", "text")), "sketches")
-    parts = linked(docs, sketched)
-    texts = sketched.where("n_words > 0 and doc_id is not null").groupBy("t1", "t2").agg(
-        F.min("doc_id").alias("doc"))
-    named = texts.join(parts, "doc", "left").select("t1", "t2", F.coalesce("class_id", "doc").alias("_class"))
-    with_words = sketched.withColumns({
-        "_a": F.when(F.col("n_words") > 0, F.col("t1")), "_b": F.when(F.col("n_words") > 0, F.col("t2"))})
-    joined = with_words.join(named.select(F.col("t1").alias("_a"), F.col("t2").alias("_b"), "_class"), ["_a", "_b"], "left")
-    own = F.when(F.col("doc_id").isNull(), F.col("doc_id")).otherwise(F.coalesce("_class", "doc_id"))
-    return joined.select("doc_id", own.alias("class_id"), "n_words")
+    return judged(docs).select("doc_id", F.coalesce("_first.doc_id", "doc_id").alias("class_id"), "n_words")
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The documents, with all their columns, that name their class; rows without an id stay.
+    """The documents, with all their columns, that come first in their class; rows without an id stay.
 
-    Rows that repeat an id are one document: the first of them stays.
+    The first is the one of the smallest id.  Rows equal in id and text are one document:
+    any one of them stays.  Rows that share an id but not their text are judged each by its own.
     """
-    judged = stage(classes(docs), "classes")
-    dropped = judged.where("doc_id != class_id").select(F.col("doc_id").alias("_gone")).distinct()
-    left = docs.join(stage(dropped, "copies"), F.col("_gone") == docs["doc_id"], "left_anti")
-    again = judged.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
-    again = stage(again.select(F.col("doc_id").alias("_again")), "repeated-ids")
-    if again.isEmpty():
-        return left
-    places = {c: f"_{i}" for i, c in enumerate(left.columns)}
-    moved, key = left.toDF(*places.values()), places["doc_id"]
-    repeated = moved.join(again, moved[key] == again["_again"], "left_semi").dropDuplicates([key])
-    others = moved.join(again, moved[key] == again["_again"], "left_anti")
-    return others.unionByName(repeated).toDF(*left.columns)
+    rows = stage(judged(docs).where("doc_id is not null"), "classes")
+    place = F.struct("doc_id", "raw")
+    dropped = stage(rows.where(place != F.col("_first")).select(F.col("doc_id").alias("_gone"), F.col("raw").alias("_raw")).distinct(),
+                    "copies")
+    places = {c: f"_{i}" for i, c in enumerate(docs.columns)}
+    key, text = places["doc_id"], places["text"]
+    moved = docs.toDF(*places.values()).withColumn("raw", raw_digest(text))
+    left = moved.join(dropped, (F.col("_gone") == F.col(key)) & (F.col("_raw") == F.col("raw")), "left_anti")
+    again = rows.groupBy("doc_id", "raw").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    again = stage(again.select(F.col("doc_id").alias("_again"), F.col("raw").alias("_same")), "repeated-rows")
+    if not again.isEmpty():
+        met = (F.col(key) == F.col("_again")) & (F.col("raw") == F.col("_same"))
+        repeated = left.join(again, met, "left_semi").dropDuplicates([key, "raw"])
+        left = left.join(again, met, "left_anti").unionByName(repeated)
+    return left.drop("raw").toDF(*docs.columns)
