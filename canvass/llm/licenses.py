@@ -94,7 +94,7 @@ SHORT = r"(?i)(?<![a-z0-9])(a|l)?gpl(?:[ -]?v(?:ersion)?[ .]{0,2}|,? version |[
 SHORT_NAMES = {"gpl2": "GPL-2.0", "gpl3": "GPL-3.0", "lgpl2.1": "LGPL-2.1", "lgpl3": "LGPL-3.0", "agpl3": "AGPL-3.0"}
 SHORT_NOTICES = ["{}", "License: {}", "Licensed under the {}.", "Released under the {} license.",
                  "Distributed under the terms of the {} or later."]
-SPDX = r"SPDX-License-Identifier:[ \t]*(\(?[A-Za-z0-9.+-]+(?:\)?[ \t]+(?:AND|OR|WITH)[ \t]+\(?[A-Za-z0-9.+-]+)*\)?)"
+SPDX = r"SPDX-License-Identifier:[ \t]*+(\(?[A-Za-z0-9.+-]++(?:\)?[ \t]++(?:AND|OR|WITH)[ \t]++\(?[A-Za-z0-9.+-]++)*+\)?)"
 #: The comments that open a text, of any length.
 HEADER = (r"^((?:#![^\n]*+\n)?+(?:\s*+(?:/\*(?:[^*]++|\*(?!/))*+\*/|<!--(?:[^-]++|-(?!->))*+-->"
           r"|\"\"\"(?:[^\"]++|\"(?!\"\"))*+\"\"\"|(?:#|//|--|;|%)[^\n]*+))++)")
