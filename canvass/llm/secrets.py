@@ -32,6 +32,7 @@ KEY = (r"(-----BEGIN[A-Z0-9 ]{0,40}PRIVATE KEY(?: BLOCK)?-----(?:"
 #: What is masked: the kinds above, and private keys with their bodies. The SQL of op9_secrets holds the kinds above.
 MASKED_KINDS = [*KINDS, ("key", KEY, 1, 15)]
 SALT = 16
+MATCHES_A_BLOCK = 128
 MASK = "[secret]"
 PLAIN = r"^(?:[A-Z]?[a-z]+|[A-Z]+|[0-9]+)[/_.=+-]*$"  # may stand in a text as a word or number of its own
 #: Values of assignments that stand for a value, or are code that reads one.
@@ -42,11 +43,17 @@ PLACEHOLDER = (r"(?i)^(?:(?:your|my|the|some|enter|insert|change|replace|set)[_.
                r"(?:os|process|self|this|config|settings|args|env|environ|request|params|options|secrets|System)\.[a-z_.]+)[.]?$")
 
 
+def bound(value: Column, use) -> Column:
+    """``use(value)`` with the value worked out once, however often it is read."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def matches(text: Column, pattern: str, group: int, least: int) -> Column:
     """Spans ``(start, end, value)`` in code points, leftmost and not overlapping.
 
     Cutting the text at the matches gives what lies between them, and the lengths of
-    both give the positions.
+    both give the positions.  Matches are gone through in blocks, as an array that grows
+    entry by entry is copied each time.
     """
     whole = F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1))
     inner = F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(group + 1))
@@ -62,7 +69,18 @@ def matches(text: Column, pattern: str, group: int, least: int) -> Column:
                         .alias("spans"))
 
     zipped = F.arrays_zip(F.slice(gaps, 1, F.size(whole)).alias("gap"), whole.alias("found"), inner.alias("value"))
-    walked = F.aggregate(zipped, F.struct(F.lit(0).alias("at"), empty.alias("spans")), step, lambda s: s["spans"])
+    def in_blocks(parts):
+        return F.transform(F.sequence(F.lit(0), F.floor((F.size(parts) - 1) / MATCHES_A_BLOCK).cast("int")),
+                           lambda b: F.slice(parts, b * MATCHES_A_BLOCK + 1, MATCHES_A_BLOCK))
+
+    def placed(blocks):
+        lengths = F.transform(blocks, lambda block: F.aggregate(
+            block, F.lit(0), lambda n, part: n + F.length(part["gap"]) + F.length(part["found"])))
+        starts = F.aggregate(lengths, F.array(F.lit(0)), lambda at, n: F.concat(at, F.array(F.element_at(at, -1) + n)))
+        return F.flatten(F.zip_with(blocks, F.slice(starts, 1, F.size(blocks)), lambda block, at: F.aggregate(
+            block, F.struct(at.alias("at"), empty.alias("spans")), step, lambda s: s["spans"])))
+
+    walked = bound(bound(zipped, in_blocks), placed)
     return F.when(F.regexp_like(text, F.lit(pattern)), walked).otherwise(empty)
 
 
