@@ -5,6 +5,7 @@ State per key is a few numbers; a micro-batch bounds what a task sees at once.
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,34 +19,84 @@ from canvass.streaming.windows import quiet_spans
 MINUTE_US, DAY_US = 60 * 1_000_000, 86_400 * 1_000_000
 
 
-def _ordered(chunks) -> pd.DataFrame:
-    rows = pd.concat(list(chunks), ignore_index=True)
-    return rows.sort_values(["t", "event_id"], kind="stable")
+def _arrays(chunks, *more: str):
+    """A key's rows of one micro-batch in order of time, as arrays; the reader bounds a micro-batch."""
+    rows = pd.concat(list(chunks), ignore_index=True).sort_values(["t", "event_id"], kind="stable")
+    return [rows[c].to_numpy() for c in ("event_id", "t", *more)]
+
+
+def window_ranks(times: np.ndarray, opened: int | None, held: int, width: int):
+    """The rank of each time in its window, and the last window with its size.
+
+    A window opens at the first time past the end of the one before; whole windows are
+    found by bisection, so the work follows the windows and not the rows.
+    """
+    ranks, at = np.empty(len(times), np.int64), 0
+    while at < len(times):
+        end = 0 if opened is None else int(np.searchsorted(times, opened + width, "right"))
+        if end <= at:
+            opened, held = int(times[at]), 0
+            end = int(np.searchsorted(times, opened + width, "right"))
+        ranks[at:end] = np.arange(held + 1, held + 1 + end - at)
+        held, at = held + end - at, end
+    return ranks, opened, held
 
 
 def admit_per_key_stream(
     requests: DataFrame, per_minute: int = C.PER_KEY_PER_MINUTE, per_day: int = C.PER_KEY_PER_DAY,
 ) -> DataFrame:
-    """(user_id, event_id, ts) -> admitted, with both windows of a key held as state."""
+    """(user_id, event_id, ts) -> admitted, with both windows of a key held as state (four numbers a key)."""
+    limits = ((MINUTE_US, per_minute), (DAY_US, per_day))
 
     def job(key, chunks, state: GroupState):
-        m_start, m_count, d_start, d_count = state.get if state.exists else (None, 0, None, 0)
-        rows, verdicts = _ordered(chunks), []
-        for now in rows["t"]:
-            if m_start is None or now - m_start > MINUTE_US:
-                m_start, m_count = int(now), 0
-            if d_start is None or now - d_start > DAY_US:
-                d_start, d_count = int(now), 0
-            m_count, d_count = m_count + 1, d_count + 1
-            verdicts.append(m_count <= per_minute and d_count <= per_day)
-        state.update((m_start, m_count, d_start, d_count))
-        yield pd.DataFrame({"user_id": key[0], "event_id": rows["event_id"], "admitted": verdicts})
+        held = list(state.get) if state.exists else [None, 0, None, 0]
+        events, times = _arrays(chunks)
+        admitted = np.ones(len(times), bool)
+        for i, (width, limit) in enumerate(limits):
+            ranks, held[2 * i], held[2 * i + 1] = window_ranks(times, held[2 * i], held[2 * i + 1], width)
+            admitted &= ranks <= limit
+        state.update(tuple(held))
+        yield pd.DataFrame({"user_id": key[0], "event_id": events, "admitted": admitted})
 
     return requests.select("user_id", "event_id", F.unix_micros("ts").alias("t")).groupBy("user_id").applyInPandasWithState(
         job, "user_id long, event_id long, admitted boolean",
         "m_start long, m_count long, d_start long, d_count long", "append", GroupStateTimeout.NoTimeout)
 
 
+def breaker_trips(times: np.ndarray, failed: np.ndarray, streak: int, closed: int, failures: int, pause: int):
+    """Which calls are not made, and the streak and the pause's end that stay.
+
+    The breaker trips where failures in a row are enough; those places are found by
+    search, and what follows within the pause is passed over in one step.
+    """
+    n = len(times)
+    place = np.arange(n)
+    in_row = place - np.maximum.accumulate(np.where(failed, -1, place)) if n else place  # failures up to here, in a row
+    enough = np.flatnonzero(in_row >= failures)
+    made = np.ones(n, bool)
+    at = int(np.searchsorted(times, closed, "left"))
+    made[:at] = False
+    if at and streak >= failures or closed and n and at < n and streak >= failures:
+        streak = 0
+    while at < n:
+        own = enough[np.searchsorted(enough, at + failures - 1):][:1]  # a full streak that begins here or later
+        trip = int(own[0]) if len(own) else n
+        lacking = failures - streak
+        if streak and at + lacking <= n and failed[at:at + lacking].all():
+            trip = min(trip, at + lacking - 1)
+        if trip == n:
+            tail = n - at
+            last = int(in_row[-1])
+            return made, last if last < tail else streak + tail, closed
+        closed = int(times[trip]) + pause
+        end = int(np.searchsorted(times, closed, "left"))
+        made[trip + 1:max(end, trip + 1)] = False
+        at, streak = max(end, trip + 1), 0
+        if at == n:
+            streak = failures
+    return made, streak, closed
+
+
 def breaker_spans_stream(
     calls: DataFrame, failures: int = C.BREAKER_FAILURES, seconds: int = C.BREAKER_SECONDS,
 ) -> DataFrame:
@@ -56,20 +107,13 @@ def breaker_spans_stream(
     """
 
     def job(key, chunks, state: GroupState):
-        count, until = state.get if state.exists else (0, 0)
-        rows, outcomes = _ordered(chunks), []
-        for now, failed in zip(rows["t"], rows["failed"]):
-            if now < until:
-                outcomes.append("suppressed")
-                continue
-            if until and count >= failures:
-                count = 0
-            count = count + 1 if failed else 0
-            if count >= failures:
-                until = int(now) + seconds * 1_000_000
-            outcomes.append("failed" if failed else "ok")
-        state.update((count, until))
-        yield pd.DataFrame({"user_id": key[0], "event_id": rows["event_id"], "outcome": outcomes})
+        streak, closed = state.get if state.exists else (0, 0)
+        events, times, failed = _arrays(chunks, "failed")
+        failed = failed.astype(bool)
+        made, streak, closed = breaker_trips(times, failed, streak, closed, failures, seconds * 1_000_000)
+        state.update((streak, closed))
+        outcome = np.where(made, np.where(failed, "failed", "ok"), "suppressed")
+        yield pd.DataFrame({"user_id": key[0], "event_id": events, "outcome": outcome})
 
     slim = calls.select("user_id", "event_id", F.unix_micros("ts").alias("t"), "failed")
     return slim.groupBy("user_id").applyInPandasWithState(
@@ -77,34 +121,51 @@ def breaker_spans_stream(
         GroupStateTimeout.NoTimeout)
 
 
+def next_admitted(times: np.ndarray, recent: list[int], limit: int, width: int):
+    """Places of admitted calls, and the last ``limit`` admitted times.
+
+    With ``limit`` calls admitted, the next one is the first that comes a width after the
+    oldest of them; it is found by bisection, and refused calls are never looked at.
+    """
+    recent, places, at = list(recent)[-limit:], [], 0
+    while True:
+        if len(recent) == limit:
+            at = max(at, int(np.searchsorted(times, recent[0] + width, "left")))
+        if at >= len(times):
+            return places, recent
+        places.append(at)
+        recent = [*recent, int(times[at])][-limit:]
+        at += 1
+
+
 def admit_global(
     calls: DataFrame, ts: str = "ts", event: str = "event_id", limit: int = C.GLOBAL_PER_MINUTE, seconds: int = 60,
 ) -> DataFrame:
     """Allow a call if fewer than ``limit`` calls were allowed in the last minute.
 
-    The log is empty again after a quiet minute, so the stretches between quiet
-    minutes are independent and spread over the cluster.  Inside a stretch the
-    sorted rows pass as Arrow batches; only the last few allowed times are held.
+    Nothing is remembered over a quiet minute, so the stretches between quiet minutes are
+    independent and spread over the cluster.  In a stretch the sorted times pass as Arrow
+    batches, in which only admitted calls are stepped through; only their last times stay.
     """
     width = seconds * 1_000_000
     spans = quiet_spans(calls.select(event, ts), ts, seconds).select("span", event, F.unix_micros(ts).alias("t"))
     laid = spans.repartition("span").sortWithinPartitions("span", "t", event)
 
-    def job(batches):
-        span, log = None, []
+    def run(batches):
+        current, recent = None, []
         for batch in batches:
-            verdicts = []
-            for s, now in zip(batch["span"], batch["t"]):
-                if s != span:
-                    span, log = s, []
-                log = [t for t in log if now - t < width]
-                allowed = len(log) < limit
-                if allowed:
-                    log.append(now)
-                verdicts.append(allowed)
-            yield pd.DataFrame({event: batch[event], "admitted": verdicts})
-
-    return laid.mapInPandas(job, f"{event} long, admitted boolean")
+            numbers, times = batch["span"].to_numpy(), batch["t"].to_numpy()
+            admitted = np.zeros(len(batch), bool)
+            bounds = [0, *(np.flatnonzero(np.diff(numbers)) + 1).tolist(), len(batch)]
+            for first, end in zip(bounds, bounds[1:], strict=False):
+                if first < end:
+                    recent = recent if numbers[first] == current else []
+                    current = numbers[first]
+                    places, recent = next_admitted(times[first:end], recent, limit, width)
+                    admitted[[first + p for p in places]] = True
+            yield pd.DataFrame({event: batch[event], "admitted": admitted})
+
+    return laid.mapInPandas(run, f"{event} long, admitted boolean")
 
 
 def cache_attribution_stream(requests: DataFrame, key: str, ts: str, ttl: str = "30 days") -> DataFrame:

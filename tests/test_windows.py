@@ -3,6 +3,7 @@
 import random
 from datetime import datetime, timedelta, timezone
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -65,6 +66,43 @@ def test_global_budget(spark):
     assert got == want
 
 
+def test_next_admitted_in_batches():
+    """A saturated log: every pass sees only what the last one has admitted."""
+    rng = np.random.default_rng(4)
+    times = np.sort(rng.integers(0, 4000, 900))
+    logged, want = [], []
+    for i, t in enumerate(times.tolist()):
+        if sum(t - x < 100 for x in logged[-5:]) < 5:
+            logged.append(t)
+            want.append(i)
+    got, recent = [], []
+    for at in range(0, 900, 64):
+        places, recent = stateful.next_admitted(times[at:at + 64], recent, 5, 100)
+        got += [at + p for p in places]
+    assert got == want
+
+
+def test_breaker_in_batches():
+    rng = np.random.default_rng(6)
+    for trial in range(300):
+        n, need, pause = int(rng.integers(1, 60)), int(rng.integers(1, 4)), int(rng.integers(1, 30))
+        times, failed = np.sort(rng.integers(0, 100, n)), rng.random(n) < 0.6
+        count = until = 0
+        want = []
+        for now, bad in zip(times.tolist(), failed.tolist(), strict=True):
+            made = now >= until
+            want.append(made)
+            if made:
+                count = (0 if until and count >= need else count) + 1 if bad else 0
+                until = now + pause if count >= need else until
+        for size in (n, 1, 7):
+            got, state = [], (0, 0)
+            for at in range(0, n, size):
+                made, *state = stateful.breaker_trips(times[at:at + size], failed[at:at + size], *state, need, pause)
+                got += made.tolist()
+            assert got == want, (trial, size)
+
+
 def test_stream_in_several_batches_equals_batch(spark, tmp_path):
     rows, df = log(spark, 8)
     for i, part in enumerate([df.where("event_id < 150"), df.where("event_id between 150 and 299"), df.where("event_id > 299")]):
