@@ -43,7 +43,7 @@ KMER = 1
 TIERS = [Tier(4, 10, 3), Tier(8, 30, 6), Tier(24, float("inf"), 8)]
 CHUNK, CHUNK_BYTES = 64, 1 << 17  # texts of a sketch, and bytes of their words, that meet another chunk at a time
 WIDTH = 4096  # labelled words of a slice when two chunks are compared
-SLICE = 1 << 16  # k-mers ranked at a time
+SLICE = 1 << 14  # k-mers ranked at a time
 MASKED = 4096  # texts of more words find a word's places by search instead of by masks as wide as the text
 TEXT = "decimal(38,0)"  # a text is named by a digest of its words; a number, so that it is aggregated by hash
 SKETCHED = f"raw long, t {TEXT}, n_words long, sketches array<long>"
@@ -128,15 +128,13 @@ def raw_digest(text: str = "text"):
     return F.xxhash64(text)
 
 
-def names(texts: list[list[bytes]]):
-    """The names of texts, given as words."""
+def name_of(words: list[bytes]):
+    """The name of a text."""
     import decimal
 
-    import pyarrow as pa
     import xxhash
 
-    numbers = [decimal.Decimal(xxhash.xxh3_128_intdigest(b" ".join(words)) % 10**38) for words in texts]
-    return pa.array(numbers, pa.decimal128(38, 0))
+    return decimal.Decimal(xxhash.xxh3_128_intdigest(b" ".join(words)) % 10**38)
 
 
 def sketch(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -149,14 +147,17 @@ def sketch(docs: DataFrame, text: str = "text") -> DataFrame:
     def run(batches):
         import numpy as np
 
-        for b in slices(batches, 2):
-            texts = [words_of(t) for t in b.column(2).to_pylist()]
-            counts = [len(words) for words in texts]
-            keys = [sketches(word_hashes(words)) for words in texts]
+        for b in slices(batches, 2, 2 << 20):
+            digests, counts, keys = [], [], []
+            for t in b.column(2).to_pylist():
+                words = words_of(t)
+                digests.append(name_of(words))
+                counts.append(len(words))
+                keys.append(sketches(word_hashes(words)))
             ends = np.cumsum([0, *map(len, keys)]).astype(np.int32)
             flat = np.concatenate(keys) if keys else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays(
-                [b.column(0).cast(to_arrow_type(key_type)), b.column(1), names(texts),
+                [b.column(0).cast(to_arrow_type(key_type)), b.column(1), pa.array(digests, pa.decimal128(38, 0)),
                  pa.array(counts, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))],
                 names=["doc_id", "raw", "t", "n_words", "sketches"])
 
@@ -275,7 +276,7 @@ def sequences(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     def run(batches):
         import numpy as np
 
-        for b in slices(batches, 1):
+        for b in slices(batches, 1, 2 << 20):
             rows = [word_hashes(words_of(t)).astype(np.uint32).tobytes() for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(rows, pa.binary())], names=["t", "seq"])
 
@@ -394,21 +395,28 @@ def chunk_links(key, same: bool, one: list, two: list) -> list[tuple]:
 def chunked(both: DataFrame, seqs: DataFrame) -> DataFrame:
     """Links among all documents of the open sketches.
 
-    A sketch's documents are dealt into chunks of bounded number and bytes, and each
-    chunk meets each of its sketch, so a pair of documents is never a row.
+    A sketch's documents are dealt into chunks of bounded number and bytes, those of its
+    largest class apart; each chunk meets the others of its sketch, so a pair of documents
+    is never a row, and the largest class is not compared with itself.
     """
     import pyarrow as pa
 
-    size = both.groupBy("key").agg(F.greatest(
-        F.count(F.lit(1)) / CHUNK, F.sum("n_words") * 4 / CHUNK_BYTES).alias("_size"))
-    spot = F.struct("key", F.pmod(F.xxhash64("doc"), F.ceil("_size")).alias("chunk"))
+    per_class = both.groupBy("key", "class_id").agg(F.count(F.lit(1)).alias("n"), F.sum("n_words").alias("w"))
+    size = per_class.groupBy("key").agg(F.max(F.struct("n", "class_id", "w")).alias("_m"), F.sum("n").alias("_n"),
+                                        F.sum("w").alias("_w"))
+    parts = lambda n, w: F.greatest(F.lit(1), F.ceil(F.greatest(n / CHUNK, w * 4 / CHUNK_BYTES)))
+    inner = F.col("class_id") == F.col("_m.class_id")
+    place = F.when(inner, -F.pmod(F.xxhash64("doc"), parts(F.col("_m.n"), F.col("_m.w"))) - 1).otherwise(
+        F.pmod(F.xxhash64("doc"), parts(F.col("_n") - F.col("_m.n"), F.col("_w") - F.col("_m.w"))))
+    spot = F.struct("key", place.alias("chunk"))
     # words join a text once, and then go to its sketches: at most two for each hash function
     held = both.join(size, "key").groupBy("doc").agg(F.min("class_id").alias("class_id"), F.collect_list(spot).alias("spots"))
     held = held.join(seqs.select(F.col("t").alias("doc"), "seq"), "doc").select(
         F.explode("spots").alias("spot"), F.struct("doc", "class_id", "seq", F.col("spots.key").alias("keys")).alias("d"))
     chunks = stage(held.groupBy("spot.key", "spot.chunk").agg(F.collect_list("d").alias("docs")), "chunks")
     other = chunks.select(F.col("key").alias("_key"), F.col("chunk").alias("_chunk"), F.col("docs").alias("_docs"))
-    pairs = chunks.join(other, (F.col("key") == F.col("_key")) & (F.col("chunk") <= F.col("_chunk")))
+    # chunks below zero hold the largest class of their sketch, in which there is nothing left to join
+    pairs = chunks.join(other, (F.col("key") == F.col("_key")) & (F.col("chunk") <= F.col("_chunk")) & (F.col("_chunk") >= 0))
 
     def run(batches):
         for b in batches:
@@ -422,12 +430,22 @@ def chunked(both: DataFrame, seqs: DataFrame) -> DataFrame:
         run, f"one {TEXT}, two {TEXT}, similarity double")
 
 
+def open_sketches(held: DataFrame, parts: DataFrame) -> DataFrame:
+    """``(key, doc, n_words, class_id)`` of the sketches whose texts are of several classes."""
+    both = held.join(parts, "doc", "left").select(
+        "key", "doc", "n_words", F.coalesce("class_id", "doc").alias("class_id"))
+    several = both.groupBy("key").agg(F.min("class_id").alias("_a"), F.max("class_id").alias("_b"))
+    several = several.where("_a != _b").select("key")
+    return stage(both.join(several, "key", "left_semi"), "open-sketches")
+
+
 def linked(docs: DataFrame, sketched: DataFrame) -> DataFrame:
     """``(doc, class_id)`` of texts that are linked to another.
 
     The first text of a sketch leads it.  Each text is compared with the leader that it
     shares most sketches with; most copies join their class here, at one comparison each.
-    Sketches whose texts are of several classes still are then looked at in full, chunk by
+    Texts that are outside the largest class of a sketch are then compared with that class's
+    first text.  Sketches whose texts are of several classes still are then looked at in full, chunk by
     chunk, so no pair of candidates is left that could join two classes.
     """
     spark = docs.sparkSession
@@ -437,13 +455,16 @@ def linked(docs: DataFrame, sketched: DataFrame) -> DataFrame:
     seqs = stage(sequences(docs, wanted), "word-numbers")
     shared = held.where("doc != leader").groupBy("doc", "leader").agg(F.count(F.lit(1)).alias("_n"))
     pairs = shared.groupBy("doc").agg(F.max_by("leader", F.struct("_n", "leader")).alias("leader"))
-    first = components(stage(verified(pairs, seqs), "links"))
-    both = held.join(first, "doc", "left").select(
-        "key", "doc", "n_words", F.coalesce("class_id", "doc").alias("class_id"))
-    open_ = both.groupBy("key").agg(F.min("class_id").alias("_a"), F.max("class_id").alias("_b"))
-    open_ = open_.where("_a != _b").select("key")
-    both = stage(both.join(open_, "key", "left_semi"), "open-sketches")
-    small_batches(spark, 64)
+    links = stage(verified(pairs, seqs), "links")
+    both = open_sketches(held, components(links))
+    # texts outside the largest class of a sketch meet that class's first text: most near copies that are left join it
+    sizes = both.groupBy("key", "class_id").agg(F.count(F.lit(1)).alias("_n"), F.min("doc").alias("leader"))
+    largest = sizes.groupBy("key").agg(F.max(F.struct("_n", "class_id", "leader")).alias("_m"))
+    others = both.join(largest, "key").where("class_id != _m.class_id").select("doc", "_m.leader").distinct()
+    links = links.unionByName(stage(verified(others, seqs), "links"))
+    first = components(links)
+    both = open_sketches(held, first)
+    small_batches(spark, 16)
     found = stage(chunked(both, seqs), "links")
     small_batches(spark)
     later = components(found.select(F.col("one").alias("doc"), F.col("two").alias("leader")).distinct())
