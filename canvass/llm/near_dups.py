@@ -36,11 +36,11 @@ class Tier(NamedTuple):
 
 
 #: Words in a k-mer.  A replaced word costs as many k-mers, so at one word a text of which a tenth is replaced
-#: keeps 0.82 of them and shares one of 40 sketches of eight but in 2 of 10,000 cases; texts that merely have
-#: words in common seldom have eight of them in one order.
+#: keeps 0.82 of them and shares one of 40 sketches of ten but in 3 of 1,000 cases; texts that merely have
+#: words or a passage in common seldom have ten such words in one order.
 KMER = 1
 #: Texts of under four words have no near copies but equal ones.
-TIERS = [Tier(4, 10, 3), Tier(8, 30, 6), Tier(24, float("inf"), 8)]
+TIERS = [Tier(4, 10, 3), Tier(8, 30, 6), Tier(24, float("inf"), 10)]
 CHUNK, CHUNK_BYTES = 64, 1 << 17  # texts of a sketch, and bytes of their words, that meet another chunk at a time
 WIDTH = 4096  # labelled words of a slice when two chunks are compared
 SLICE = 1 << 14  # k-mers ranked at a time
