@@ -128,18 +128,21 @@ def crawl_policy_gate(urls: DataFrame, rules: DataFrame) -> DataFrame:
     """Is each url allowed by the rules of its host?
 
     rules: host, rule_no, prefix, allow, readable.  The first rule whose prefix
-    matches the path decides; no rules allow; unreadable rules deny.  A host's
-    rules travel as one short array, so urls are joined once, on the host.
+    matches the path decides; no rules allow; unreadable rules deny.  A path is cut
+    to the lengths that its host's prefixes have, and the cuts meet the rules in an
+    equi-join, so a host may have any number of rules.
     """
-    per_host = rules.groupBy("host").agg(
-        F.sort_array(F.collect_list(F.struct("rule_no", "prefix", "allow"))).alias("rules"),
-        F.min("readable").alias("readable"))
-    joined = urls.withColumn("host", host_of("url")).join(per_host, "host", "left")
     path = F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^#]*)", 1)
-    path = F.when(path == "", F.lit("/")).otherwise(path)
-    hits = F.filter("rules", lambda r: path.startswith(r["prefix"]))
-    allowed = F.when(F.col("readable") == F.lit(False), F.lit(False)).otherwise(
-        F.coalesce(F.try_element_at(hits, F.lit(1))["allow"], F.lit(True)))
+    there = urls.select("url").withColumn("host", host_of("url"))
+    each = there.distinct().withColumn("path", F.when(path == "", F.lit("/")).otherwise(path))
+    lengths = rules.select("host", F.length("prefix").alias("n")).distinct()
+    cuts = each.join(lengths, "host").where("n <= length(path)").select(
+        "url", "host", F.expr("substring(path, 1, n)").alias("prefix"))
+    first = cuts.join(rules.select("host", "prefix", "rule_no", "allow"), ["host", "prefix"]).groupBy("url").agg(
+        F.min(F.struct("rule_no", "prefix", "allow")).alias("first"))
+    readable = rules.groupBy("host").agg(F.min("readable").alias("readable"))
+    joined = there.join(readable, "host", "left").join(first, "url", "left")
+    allowed = F.when(F.col("readable") == F.lit(False), F.lit(False)).otherwise(F.coalesce("first.allow", F.lit(True)))
     return joined.select("url", "host", allowed.alias("allowed"))
 
 

@@ -105,3 +105,26 @@ def test_a_cluster_needs_a_shared_folder():
 
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         session.ensure_checkpoint_dir(Session())
+
+
+def test_crawl_rules_of_one_host_meet_by_prefix(spark):
+    """Many rules of one host: the first that matches decides, whatever its length; repeated and null urls stay."""
+    from canvass.operators import lookups
+
+    rules = [("a.org", i, f"/p{i}/", i % 2 == 0, True) for i in range(300)]
+    rules += [("a.org", 300, "/p1", False, True), ("a.org", 301, "/", True, True), ("b.org", 1, "/", True, False)]
+    paths = ["/p7/x", "/p8/", "/p1", "/p1x", "", "/other", "/p299/y#f", "/p300/"]
+    urls = [(f"https://a.org{p}",) for p in paths] + [("https://a.org/p8/",), ("https://b.org/x",), ("https://c.org/",), (None,)]
+
+    def plain(url):
+        if url is None or "c.org" in url:
+            return True
+        if "b.org" in url:
+            return False
+        path = url[len("https://a.org"):].split("#")[0] or "/"
+        return next(allow for _, _, prefix, allow, _ in rules if path.startswith(prefix))
+
+    got = lookups.crawl_policy_gate(
+        spark.createDataFrame(urls, "url string"),
+        spark.createDataFrame(rules, "host string, rule_no int, prefix string, allow boolean, readable boolean")).collect()
+    assert sorted((r["url"] or "", r["allowed"]) for r in got) == sorted((u or "", plain(u)) for u, in urls)
