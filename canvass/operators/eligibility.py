@@ -13,11 +13,11 @@ from pyspark.sql import functions as F
 from canvass import config as C
 from canvass.functions.once import with_once
 from canvass.functions.text import as_col, literal_map, str_array
+from canvass.operators.ranking import numbered
 from canvass.session import cut_lineage
 
 ELIGIBLE, UNKNOWN, EXCLUDED = "eligible", "unknown", "excluded"
 NO_DATA = "No structured eligibility has been extracted for this award yet."
-SET_FIELDS = [f for f in C.ELIGIBILITY_FIELDS if f[1] == "set_overlap"]
 PROFILE_LISTS = ["citizenship", "residency", "institution", "program", "year", "level", "identity"]
 PROFILE_SCALARS = ["gpa", "financial_need", "full_time"]
 
@@ -245,9 +245,7 @@ def flatten(records: DataFrame) -> DataFrame:
 
 
 # --- many profiles against many records ---------------------------------------
-OPEN_SPREAD = 16
-OTHER = "\x00other"  # stands for answers that no requirement names
-BELOW_ALL = -1e308
+LADDER = 40  # levels over the sorted floors: up to 2^40 of them
 
 
 def requirement_signatures(records: DataFrame) -> DataFrame:
@@ -270,105 +268,194 @@ def answer_signatures(profiles: DataFrame) -> DataFrame:
     return profiles.withColumn("answer", F.to_json(sheet, {"ignoreNullFields": "false"}))
 
 
-def folded_answers(profiles: DataFrame, signatures: DataFrame) -> DataFrame:
-    """Answers reduced to what the requirements can tell apart.
+def _silent(key: str) -> str:
+    return key + "?"
 
-    A listed value that nobody asks for becomes one mark, and a number the greatest
-    stated floor that it reaches.  So the number of different sheets is bounded by the
-    stated values, not by the profiles.
-    """
-    def stated(values: Column) -> Column:
-        return signatures.agg(F.array_distinct(F.flatten(F.collect_set(values))).alias("v")).scalar()
 
-    def entries(key: str, kinds: tuple) -> list[Column]:
-        return [F.try_element_at("needs", F.lit(s[0])) for s in C.ELIGIBILITY_FIELDS if s[2] == key and s[1] in kinds]
+def _answered(key: str) -> str:
+    return key + "!"
 
-    out = {}
-    for key in PROFILE_LISTS:
-        needs = entries(key, ("set_overlap", "set_exclude"))
-        asked = stated(F.concat(*[requirement(e) for e in needs])) if needs else _none()
-        out[key] = _fold(F.col(key), asked)
-    floors = entries("gpa", ("at_least",))
-    if floors:
-        need = F.array(*[F.coalesce(e["num"], F.try_element_at(requirement(e), F.lit(1)).try_cast("double")) for e in floors])
-        profiles = profiles.withColumn("_floors", stated(F.array_compact(need)))
-        reached = F.array_max(F.filter("_floors", lambda f: f <= F.col("gpa").cast("double")))
-        out["gpa"] = F.when(F.col("gpa").isNotNull(), F.coalesce(reached, F.lit(BELOW_ALL)))
-    return profiles.withColumns(out).drop("_floors")
+
+def _gap(key: str) -> str:
+    return key + "~"  # a list answer with a null in it
 
 
-def _fold(values: Column, asked: Column) -> Column:
-    kept = F.array_intersect(values, asked)
-    rest = F.size(F.array_except(values, asked)) > 0
-    return F.when(values.isNotNull(), F.when(rest, F.array_append(kept, F.lit(OTHER))).otherwise(kept))
+def _tokens(values: Column, key: str) -> Column:
+    return F.transform(F.filter(values, lambda v: v.isNotNull()), lambda v: F.concat(F.lit(key + "="), v))
 
 
-def _prefixed(values: Column, name: str) -> Column:
-    return F.transform(F.array_distinct(values), lambda v: F.concat(F.lit(name + "="), v))
+def stated_fields(needs: Column) -> dict[str, Column]:
+    """Per field what both goals read: values, whether anything is asked and how surely, number and flag."""
+    out = {}
+    for name, kind, _, wildcards in C.ELIGIBILITY_FIELDS:
+        entry = F.try_element_at(needs, F.lit(name))
+        values = requirement(entry)
+        parts = {"values": values, "holds": entry.isNotNull() & ~unstated(entry),
+                 "sure": F.coalesce(entry["confidence"], F.lit(0.0)) >= C.EXCLUSION_CONFIDENCE}
+        if kind == "at_least":
+            parts["need"] = F.coalesce(entry["num"], F.try_element_at(values, F.lit(1)).try_cast("double"))
+        elif kind == "must_be":
+            parts["need"] = F.coalesce(entry["flag"], entry["num"] != 0, F.size(values) > 0)
+        elif kind == "set_exclude":
+            parts["gap"] = F.exists(values, lambda v: v.isNull())
+        else:
+            parts["anyone"] = F.coalesce(F.arrays_overlap(values, str_array(wildcards)), F.lit(False))
+        out["r_" + name] = F.struct(*[c.alias(n) for n, c in parts.items()])
+    return out
 
 
-def requirement_tokens(needs: Column) -> Column:
-    """Join tokens of a requirement set.
+def conditions(sure: bool) -> Column:
+    """A requirement set, given by its ``stated_fields``, as struct(must, never, floor) over an answer sheet's tokens.
 
-    A sure list requirement can only be met, or left open, by profiles that
-    answered one of its values or nothing at all: those are its tokens.  Sets
-    without such a field exclude nobody this way and are spread over a few
-    tokens that together cover all profiles.
+    ``sure`` gives what must hold lest the set excludes (silence is fine), otherwise
+    what must hold for it to be met outright.  Every array of ``must`` needs one of
+    its tokens, none of ``never`` may be there, and the average must reach ``floor``.
     """
-    chain = None
-    for name, _, _, wildcards in SET_FIELDS:
-        entry = F.try_element_at(needs, F.lit(name))
-        values = requirement(entry)
-        sure = entry.isNotNull() & (F.size(values) > 0) & (entry["confidence"] >= C.EXCLUSION_CONFIDENCE)
-        if wildcards:
-            sure = sure & ~F.arrays_overlap(values, str_array(wildcards))
-        tokens = F.concat(
-            _prefixed(values, name), F.array(F.lit(name + "?")))
-        chain = F.when(sure, tokens) if chain is None else chain.when(sure, tokens)
-    return chain.otherwise(str_array([f"*{i}" for i in range(OPEN_SPREAD)]))
-
-
-def answer_tokens(answer: Column) -> Column:
-    parts = [F.array(F.concat(F.lit("*"), (F.abs(F.xxhash64(answer)) % OPEN_SPREAD).cast("string")))]
-    for name, _, key, _ in SET_FIELDS:
+    must, never, floor = [], [], F.lit(None).cast("double")
+    for name, kind, key, wildcards in C.ELIGIBILITY_FIELDS:
+        r = F.col("r_" + name)
+        holds = (r["holds"] & r["sure"]) if sure else r["holds"]
+        if kind == "at_least":
+            floor = F.when(holds, r["need"])
+            if not sure:  # what cannot be compared is never met
+                must.append(F.when(holds & r["need"].isNull(), _none()))
+        elif kind == "set_exclude":
+            marks = [F.when(F.size(r["values"]) > 0, F.lit(_gap(key))), F.when(r["gap"], F.lit(_answered(key)))]
+            marks += [] if sure else [F.lit(_silent(key))]
+            hit = F.concat(_tokens(r["values"], key), F.array_compact(F.array(*marks)))
+            never.append(F.when(holds, hit).otherwise(_none()))
+        else:
+            silent = str_array([_silent(key)]) if sure else _none()
+            if kind == "must_be":
+                asked = F.array(F.concat(F.lit(key + "="), r["need"].cast("string")))
+            else:
+                asked = _tokens(r["values"], key)
+            if wildcards and sure:
+                holds = holds & ~r["anyone"]
+            elif wildcards:
+                asked = F.when(r["anyone"], str_array([_answered(key)])).otherwise(asked)
+            must.append(F.when(holds, F.array_sort(F.array_distinct(F.concat(asked, silent)))))
+    return F.struct(
+        F.array_sort(F.array_distinct(F.array_compact(F.array(*must)))).alias("must"),
+        F.array_sort(F.array_distinct(F.concat(*never))).alias("never"), floor.alias("floor"))
+
+
+def condition_sets(signatures: DataFrame) -> DataFrame:
+    """Distinct conditions with their record counts, for both goals; what nobody can meet is left out."""
+    goal = lambda name, sure, use: F.when(use, F.struct(F.lit(name).alias("goal"), conditions(sure).alias("c")))
+    stated = with_once(signatures, stated_fields(F.col("needs")))
+    both = F.array_compact(F.array(goal(ELIGIBLE, False, ~nothing_extracted("needs")), goal(UNKNOWN, True, F.lit(True))))
+    each = stated.select("n_records", F.explode(both).alias("g")).select("n_records", "g.goal", "g.c.*")
+    return each.where(~F.exists("must", lambda m: F.size(m) == 0)).groupBy("goal", "must", "never", "floor").agg(
+        F.sum("n_records").alias("n_records"))
+
+
+def answer_tokens() -> Column:
+    """What an answer sheet holds: its values by field, and marks for silence, answers and nulls."""
+    parts = []
+    for key in sorted({f[2] for f in C.ELIGIBILITY_FIELDS if f[1] != "at_least"}):
         have = F.col(key)
-        parts.append(
-            F.when(unanswered(have, True), F.array(F.lit(name + "?")))
-            .otherwise(_prefixed(have, name)))
-    return F.concat(*parts)
+        if key in PROFILE_LISTS:
+            gap = F.when(F.exists(have, lambda v: v.isNull()), str_array([_gap(key)])).otherwise(_none())
+            given = F.concat(_tokens(have, key), str_array([_answered(key)]), gap)
+        else:
+            given = F.array(F.concat(F.lit(key + "="), have.cast("string")))
+        parts.append(F.when(unanswered(have, key in PROFILE_LISTS), str_array([_silent(key)])).otherwise(given))
+    return F.array_distinct(F.concat(*parts))
+
+
+def reached_floors(floors: DataFrame, averages: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(floor, rank) and (gpa, reach): how many distinct floors lie at or below each, by one sorted table."""
+    both = floors.select(F.col("floor").alias("at"), F.lit(0).alias("kind")).unionByName(
+        averages.select(F.col("gpa").alias("at"), F.lit(1).alias("kind"))).where("at is not null").distinct()
+    placed = numbered(both, [], [F.col("at"), F.col("kind")], "reach", weight=F.lit(1) - F.col("kind"))
+    return (placed.where("kind = 0").select(F.col("at").alias("floor"), F.col("reach").alias("rank")),
+            placed.where("kind = 1").select(F.col("at").alias("gpa"), "reach"))
+
+
+def sheets_of(keyed: DataFrame, sets: DataFrame, reached: DataFrame) -> DataFrame:
+    """(answer, sheet, have, reach): answers reduced to what the requirements can tell apart.
+
+    Tokens that no set names go, met with the named ones as rows, and an average
+    becomes the number of floors that it reaches.  So the number of different sheets
+    is bounded by what is stated, not by the profiles.
+    """
+    answers = keyed.groupBy("answer").agg(F.any_value("tokens").alias("tokens"), F.any_value("gpa").alias("gpa"))
+    named = sets.select(F.explode(F.concat(F.flatten("must"), "never")).alias("token")).distinct()
+    have = answers.select("answer", F.explode("tokens").alias("token")).join(named, "token", "left_semi").groupBy(
+        "answer").agg(F.array_sort(F.collect_set("token")).alias("have"))
+    both = answers.select("answer", "gpa").join(have, "answer", "left").join(reached, "gpa", "left").select(
+        "answer", F.coalesce("have", _none()).alias("have"), "reach")
+    return both.withColumn("sheet", F.to_json(F.struct("have", "reach"), {"ignoreNullFields": "false"}))
+
+
+def with_keys(sets: DataFrame, sheets: DataFrame, floor_key: str) -> DataFrame:
+    """Sets with the tokens they are met by: those of the condition that the fewest sheets fulfil.
+
+    A set with a floor alone is met by intervals of floors, of which exactly one
+    covers it for every average that reaches it; one with ``never`` alone is met by
+    whom it turns away.
+    """
+    found = sheets.select(F.explode("have").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+    each = sets.select("id", F.posexplode("must").alias("nth", "tokens")).select("id", "nth", F.explode("tokens").alias("token"))
+    cost = each.join(found, "token", "left").groupBy("id", "nth").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
+    best = cost.groupBy("id").agg(F.min(F.struct("n", "nth"))["nth"].alias("nth"))
+    steps = F.expr(f"transform(sequence(0, {LADDER}), l -> concat('{floor_key}<', l, ':', shiftright(rank - 1, l)))")
+    silent = F.when(F.col("goal") == UNKNOWN, str_array([_silent(floor_key)])).otherwise(_none())
+    keys = F.when(F.size("must") > 0, F.get("must", F.col("nth"))).when(
+        F.col("rank").isNotNull(), F.concat(steps, silent)).otherwise(F.col("never"))
+    rest = F.filter("must", lambda _, i: ~i.eqNullSafe(F.col("nth")))
+    return sets.join(best, "id", "left").select("goal", "n_records", "never", "rank", (F.size("must") > 0).alias("asks"),
+                                                rest.alias("rest"), keys.alias("keys"))
 
 
 def profile_cross_match(profiles: DataFrame, records: DataFrame) -> DataFrame:
     """Verdict counts over all records for every profile.
 
-    Profile-record pairs are never formed.  Both sides are first reduced to
-    distinct answer sheets and requirement sets; those meet in an equi-join on
-    tokens, which reaches every pair that is not excluded outright; what is not
-    reached is excluded and follows by subtraction from the total.
+    Profile-record pairs are never formed.  Requirement sets become conditions, once
+    for being met outright and once, by the sure fields alone, for not excluding; a set
+    that asks nothing counts for all without a join.  The others meet the distinct
+    answer sheets in an equi-join on the tokens of one condition.  A set that only
+    turns some away counts for all, less those.
     """
-    names = [s[0] for s in C.ELIGIBILITY_FIELDS]
+    floor_key = next(f[2] for f in C.ELIGIBILITY_FIELDS if f[1] == "at_least")
     signatures = cut_lineage(requirement_signatures(records))  # small, and read several times
-    keyed = cut_lineage(answer_signatures(folded_answers(profiles, signatures)).select(
-        "profile_id", "answer", *PROFILE_LISTS, *PROFILE_SCALARS))
-    sheets = keyed.groupBy("answer").agg(*[F.any_value(c).alias(c) for c in PROFILE_LISTS + PROFILE_SCALARS])
-    sheets = with_once(sheets, {"a_tokens": answer_tokens(F.col("answer"))})
-    needs = with_once(signatures, {
-        "r_tokens": requirement_tokens(F.col("needs")),
-        "r_empty": nothing_extracted("needs"),
-        **{f"r_{f}": F.try_element_at(F.col("needs"), F.lit(f)) for f in names}}).drop("needs", "requirement")
+    sets = cut_lineage(condition_sets(signatures).withColumn("id", F.monotonically_increasing_id()))
+    keyed = cut_lineage(answer_signatures(profiles).select(
+        "profile_id", "answer", F.col(floor_key).cast("double").alias("gpa"), answer_tokens().alias("tokens")))
+    ranks, reached = reached_floors(sets.select("floor"), keyed.select("gpa"))
+    # sheets are small beside what they meet: they keep the session's number of partitions
+    wide = int(records.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    of_answer = cut_lineage(sheets_of(keyed, sets, reached).repartition(wide, "sheet"))
+    sheets = of_answer.groupBy("sheet").agg(F.any_value("have").alias("have"), F.any_value("reach").alias("reach"))
+    needs = cut_lineage(with_keys(sets.join(ranks, "floor", "left"), sheets, floor_key))
+    ladder = F.expr(f"transform(filter(sequence(0, {LADDER}), l -> (shiftright(reach, l) & 1) = 1), "
+                    f"l -> concat('{floor_key}<', l, ':', shiftright(reach, l) - 1))")
+    ladder = F.when(F.col("reach").isNull(), str_array([_silent(floor_key)])).otherwise(ladder)
+    # a sheet meets a set once, by the first of its keys that it holds
     met = (
-        sheets.withColumn("token", F.explode("a_tokens"))
-        .join(needs.withColumn("token", F.explode("r_tokens")), "token")
-        .where(F.col("token") == F.array_min(F.array_intersect("a_tokens", "r_tokens"))))
-    judged = met.withColumn("verdict", verdict_of(
-        {f: F.col(f"r_{f}") for f in names}, column_answers(), F.col("r_empty")))
-    count = lambda v: F.sum(F.when(F.col("verdict") == v, F.col("n_records")).otherwise(0)).alias(v)
-    reached = judged.groupBy("answer").agg(count(ELIGIBLE), count(UNKNOWN))
-    total = signatures.agg(F.sum("n_records").alias("n")).scalar()
-    n = lambda v: F.coalesce(F.col(v), F.lit(0))
-    return keyed.select("profile_id", "answer").join(reached, "answer", "left").select(
-        "profile_id", n(ELIGIBLE).alias("n_eligible"), n(UNKNOWN).alias("n_unknown"),
-        (total - n(ELIGIBLE) - n(UNKNOWN)).alias("n_excluded"))
+        sheets.withColumn("token", F.explode(F.concat("have", ladder)))
+        .join(needs.select("*", F.posexplode("keys").alias("place", "token")), "token")
+        .where(~F.arrays_overlap(F.slice("keys", F.lit(1), F.col("place")), "have")))
+    enough = F.col("rank").isNull() | F.coalesce(F.col("reach") >= F.col("rank"), F.col("goal") == UNKNOWN)
+    most = len([f for f in C.ELIGIBILITY_FIELDS if f[1] in ("set_overlap", "must_be")])
+    fulfilled = ~F.arrays_overlap("never", "have") & enough
+    for i in range(most - 1):
+        one = F.get("rest", F.lit(i))
+        fulfilled = fulfilled & (one.isNull() | F.arrays_overlap(one, "have"))
+    turned = ~F.col("asks") & F.col("rank").isNull()
+    n = F.when(turned, -F.col("n_records")).when(fulfilled, F.col("n_records")).otherwise(0)
+    of_goal = lambda goal: F.sum(F.when(F.col("goal") == goal, n).otherwise(0)).alias(goal)
+    counts = met.groupBy("sheet").agg(of_goal(ELIGIBLE), of_goal(UNKNOWN))
+    open_to_all = (F.size("must") == 0) & F.col("floor").isNull()
+    all_of = lambda goal: F.coalesce(sets.agg(F.sum(F.when(
+        open_to_all & (F.col("goal") == goal), F.col("n_records")))).scalar(), F.lit(0))
+    total = F.coalesce(signatures.agg(F.sum("n_records")).scalar(), F.lit(0))
+    each = keyed.select("profile_id", "answer").join(of_answer.select("answer", "sheet"), "answer").join(counts, "sheet", "left")
+    each = each.select("profile_id", (F.coalesce(F.col(ELIGIBLE), F.lit(0)) + all_of(ELIGIBLE)).alias("n_eligible"),
+                       (F.coalesce(F.col(UNKNOWN), F.lit(0)) + all_of(UNKNOWN)).alias("n_possible"), total.alias("n"))
+    return each.select("profile_id", "n_eligible", (F.col("n_possible") - F.col("n_eligible")).alias("n_unknown"),
+                       (F.col("n") - F.col("n_possible")).alias("n_excluded"))
 
 
 # --- checks on extracted eligibility --------------------------------------------

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from canvass.functions.text import slugify
 from canvass.session import cut_lineage
 
-def numbered(df: DataFrame, keys: list, order: list, name: str = "rn") -> DataFrame:
-    """row_number within groups, also when one group holds much of the table.
+def numbered(df: DataFrame, keys: list, order: list, name: str = "rn", weight: Column | None = None) -> DataFrame:
+    """row_number within groups, or the running sum of ``weight``, also when one group holds much of the table.
 
     Rows are range partitioned on key and order, numbered per partition, and shifted
     by the sizes of the partitions before; no task holds a whole group.  Without keys
@@ -18,11 +18,13 @@ def numbered(df: DataFrame, keys: list, order: list, name: str = "rn") -> DataFr
     ranged = df.repartitionByRange(*[F.col(k) for k in keys], *order).withColumn("_pid", F.spark_partition_id())
     ranged = cut_lineage(ranged)
     local = Window.partitionBy("_pid", *keys).orderBy(*order)
-    sizes = ranged.groupBy("_pid", *keys).agg(F.count(F.lit(1)).alias("_n"))
+    sizes = ranged.groupBy("_pid", *keys).agg((F.count(F.lit(1)) if weight is None else F.sum(weight)).alias("_n"))
     # a group has at most one row per partition here
     before = Window.partitionBy(*(keys or [F.lit(0)])).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
-    numbered_ = ranged.withColumn("_rn", F.row_number().over(local))
+    running = F.row_number().over(local) if weight is None else F.sum(weight).over(
+        local.rowsBetween(Window.unboundedPreceding, 0))
+    numbered_ = ranged.withColumn("_rn", running)
     match = [numbered_["_pid"] == offsets["_pid"]] + [numbered_[k].eqNullSafe(offsets[k]) for k in keys]
     joined = numbered_.join(offsets, match)
     return joined.select(*[numbered_[c] for c in df.columns], (F.col("_rn") + F.col("_before")).cast("long").alias(name))

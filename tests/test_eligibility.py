@@ -124,6 +124,41 @@ def test_cross_match_equals_brute_force(spark):
         assert got[p["profile_id"]] == tuple(tally.get(v, 0) for v in ("eligible", "unknown", "excluded"))
 
 
+def test_cross_match_of_every_kind_of_field(spark):
+    """Nulls in lists, bans, floors alone, flags and wildcards, against each pair judged by itself."""
+    rng = random.Random(11)
+    lists = {"citizenship": "cp", "residency": "xyz", "program": "efg", "year": "123", "level": "ug", "identity": "wk"}
+    some = lambda xs, gaps: [rng.choice([*xs, None] if gaps else xs) for _ in range(rng.randint(0, 3))]
+    requirements = ["{}", "{}"]
+    for i in range(60):
+        r = {f: need(some(lists[f], i % 3 == 0), rng.choice([0.5, 0.9])) for f in lists if rng.random() < .2}
+        if rng.random() < .3:
+            r["program_excluded"] = need(some("efg", i % 4 == 0), rng.choice([0.5, 0.9]))
+        if rng.random() < .2:
+            r["program"] = need(["any", "e"], 0.9)
+        if rng.random() < .4:
+            r["gpa_min"] = need(rng.choice([60, 70.5, 80, "high", "75"]), rng.choice([0.5, 0.9]))
+        if rng.random() < .3:
+            r["financial_need"] = need(rng.choice([True, False, 0, ["yes"]]), rng.choice([0.5, 0.9]))
+        requirements.append(json.dumps(r))
+    requirements += [json.dumps({"gpa_min": need(g, c)}) for g in (50, 65, 90) for c in (0.5, 0.9)]
+    requirements += [json.dumps({"program_excluded": need(v, 0.9)}) for v in (["e"], ["e", None], [])]
+    profiles = [{
+        "profile_id": str(i % 50), **{f: rng.choice([None, some(lists[f], i % 5 == 0)]) for f in lists},
+        "institution": None, "gpa": rng.choice([None, 59.0, 65.0, 70.5, 99.0]),
+        "financial_need": rng.choice([None, True, False]), "full_time": None} for i in range(60)]
+    records = spark.createDataFrame([(r,) for r in requirements], "j string").select(parse_eligibility("j").alias("eligibility"))
+    people = spark.createDataFrame(profiles, PROFILE)
+    pairs = people.withColumn("row", F.monotonically_increasing_id()).crossJoin(records)
+    count = lambda v: F.count(F.when(F.col("verdict") == v, 1))
+    want = el.with_verdict(pairs, "eligibility", el.column_answers()).groupBy("row", "profile_id").agg(
+        count("eligible"), count("unknown"), count("excluded")).drop("row")
+    got = el.profile_cross_match(people, records)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    empty = el.profile_cross_match(people, records.limit(0)).collect()
+    assert len(empty) == 60 and all(tuple(r)[1:] == (0, 0, 0) for r in empty)
+
+
 def test_category_union_is_order_free(spark):
     pages = ["efc-scholarships-for-ontario", "efc-scholarships-for-women", "efc-scholarships-for-quebec", "no-such-page"]
     seen = set()
