@@ -1,11 +1,13 @@
-"""Language-model scores from an n-gram trie of Elias-Fano coded levels.
+"""Language-model scores from a trigram trie of Elias-Fano coded levels.
 
-The trie has a level of words and a level of their successors.  Its second level is
-cut into shards by context; the successors of a context that is very frequent are
-dealt out over all shards.  A shard holds, in flat buffers that can be viewed in
-place: its contexts, monotone pointers to their successors, the successors as one
-monotone sequence, and quantised probabilities.  A successor is looked for in its
-context's range only.
+The trie has a level of words, one of their successors, and one of the successors of
+word pairs.  The lower levels are cut into shards by context; the successors of a
+context that is very frequent are dealt out over further shards.  A shard holds, in
+flat buffers that can be viewed in place: its contexts, monotone pointers to their
+successors, the successors as one monotone sequence, and quantised probabilities and
+back-off weights.  A successor is looked for in its context's range only, as the
+pointers give it.  A pair is a context of the last level if training documents hold it
+``CONTEXT_COUNT`` times or more; it is named there by its place in its shard.
 
 Texts stay where they are: blocks of documents send each shard the distinct n-grams
 they hold, with their counts in training documents, and get back what the shard
@@ -22,6 +24,7 @@ from canvass.llm.near_dups import mix, word_hashes
 
 BLOCK_TOKENS = 1_000_000
 SHARD_KEYS = 1_000_000
+CONTEXT_COUNT = 2  # the model's count cut-off: rarer pairs are no contexts of the last level
 PRIOR = 10.0  # a context's own counts weigh count / (count + PRIOR), the words' frequencies the rest
 STEP = 4096  # probabilities are kept as whole parts of a decade, 16 bits
 UNSEEN = 65535
@@ -30,8 +33,8 @@ END = 0  # stands for the end of a text among word numbers
 
 BLOCK = ("block long, docs array<string>, held array<boolean>, lengths array<int>, n_tokens long, n_train long, "
          "n_words long, vocabulary binary, train_counts binary, tokens binary")
-ASKED = "shard int, block long, keys binary, counts binary, totals binary"
-ANSWER = "level int, block long, shard int, codes binary, known long"
+ASKED = "shard long, block long, keys binary, counts binary, totals binary"
+ANSWER = "level int, block long, shard long, codes binary, places binary, known long"
 
 
 # --- Elias-Fano sequences
@@ -82,18 +85,19 @@ class EliasFano:
             word |= self.low[np.minimum(byte + k, len(self.low) - 1)].astype(np.uint64) << np.uint64(8 * k)
         return (word >> shift) & np.uint64((1 << self.low_bits) - 1)
 
-    def _zero(self, k):
-        """Place of the k-th zero (from 0) among the high bits, for all k at once."""
+    def _select(self, k, one: bool):
+        """Place of the k-th zero or one (from 0) among the high bits, for all k at once."""
         import numpy as np
 
-        word = np.clip(np.searchsorted(self.zeros, k, "right") - 1, 0, len(self.zeros) - 2)
-        rest = k - self.zeros[word]
+        before = np.arange(len(self.zeros)) * 64 - self.zeros if one else self.zeros
+        word = np.clip(np.searchsorted(before, k, "right") - 1, 0, len(before) - 2)
+        rest = k - before[word]
         place = word * 64
-        for size in (32, 16, 8, 4, 2, 1):  # halve the word until the zero is found
-            here = self._bits(place, size)
-            zeros = size - np.bitwise_count(here).astype(np.int64)
-            beyond = rest >= zeros
-            rest = np.where(beyond, rest - zeros, rest)
+        for size in (32, 16, 8, 4, 2, 1):  # halve the word until it is found
+            ones = np.bitwise_count(self._bits(place, size)).astype(np.int64)
+            here = ones if one else size - ones
+            beyond = rest >= here
+            rest = np.where(beyond, rest - here, rest)
             place = np.where(beyond, place + size, place)
         return place
 
@@ -109,8 +113,11 @@ class EliasFano:
         return (self.high[np.minimum(place >> 3, last)].astype(np.uint64) >> (place & 7).astype(np.uint64)) & np.uint64(
             (1 << size) - 1)
 
-    def successor(self, x):
-        """Index of the first value that is not below each ``x``, and whether it equals it."""
+    def successor(self, x, within=None):
+        """Index of the first value that is not below each ``x``, and whether it equals it.
+
+        ``within`` gives the ranges (first, end) that are searched.
+        """
         import numpy as np
 
         x = np.asarray(x, np.uint64)
@@ -119,9 +126,11 @@ class EliasFano:
         top = (x >> np.uint64(self.low_bits)).astype(np.int64)
         rest = x & np.uint64((1 << self.low_bits) - 1)
         buckets = int(len(self.high) * 8 - self.n)  # zeros, those of the padding too
-        start = np.where(top > 0, self._zero(np.clip(top - 1, 0, buckets - 1)) - top + 1, 0)
-        stop = self._zero(np.clip(top, 0, buckets - 1)) - top
+        start = np.where(top > 0, self._select(np.clip(top - 1, 0, buckets - 1), False) - top + 1, 0)
+        stop = self._select(np.clip(top, 0, buckets - 1), False) - top
         start, stop = (np.where(top >= buckets, self.n, np.minimum(v, self.n)) for v in (start, stop))
+        if within is not None:
+            start, stop = (np.clip(v, *within) for v in (start, stop))
         low, high = start, stop
         while (open_ := low < high).any():
             mid = (low + high) // 2
@@ -135,48 +144,68 @@ class EliasFano:
         """The values at the places ``i``."""
         import numpy as np
 
-        ones = np.flatnonzero(np.unpackbits(self.high, bitorder="little"))
         i = np.asarray(i, np.int64)
-        return ((ones[i] - i).astype(np.uint64) << np.uint64(self.low_bits)) | self._low(i)
+        if not len(i):
+            return np.zeros(0, np.uint64)
+        return ((self._select(i, True) - i).astype(np.uint64) << np.uint64(self.low_bits)) | self._low(i)
 
 
 class Successors:
-    """One shard's second level, read from a flat buffer (bytes, or a mapped file)."""
+    """One shard of a level, read from a flat buffer (bytes, or a mapped file)."""
 
     def __init__(self, buffer):
         import numpy as np
 
-        self.span, = (int(x) for x in np.frombuffer(buffer, np.int64, 1))
-        self.contexts = EliasFano(buffer, 8)
+        self.span, weighed = (int(x) for x in np.frombuffer(buffer, np.int64, 2))
+        self.contexts = EliasFano(buffer, 16)
         self.pointers = EliasFano(buffer, self.contexts.end)
         self.words = EliasFano(buffer, self.pointers.end)
         self.codes = np.frombuffer(buffer, np.uint16, self.words.n, self.words.end)
+        self.weights = np.frombuffer(buffer, np.uint16, self.words.n if weighed else 0, self.words.end + self.codes.nbytes)
 
     @staticmethod
-    def pack(contexts, words, codes, span: int) -> bytes:
-        """Sorted by context and word; ``span`` is above every word number."""
+    def pack(contexts, words, codes, span: int, weights=None) -> bytes:
+        """Sorted by context and word; ``span`` is above every word number.
+
+        ``weights``: back-off weights of those that are contexts of the next level, else ``UNSEEN``.
+        """
         import numpy as np
 
         own, first = np.unique(contexts, return_index=True)
         rank = np.repeat(np.arange(len(own)), np.diff(np.append(first, len(contexts))))
         pointers = np.append(first, len(contexts))
-        return (np.array([span], np.int64).tobytes() + EliasFano.pack(own) + EliasFano.pack(pointers)
-                + EliasFano.pack(rank.astype(np.uint64) * np.uint64(span) + words.astype(np.uint64)) + codes.tobytes())
+        return (np.array([span, weights is not None], np.int64).tobytes() + EliasFano.pack(own) + EliasFano.pack(pointers)
+                + EliasFano.pack(rank.astype(np.uint64) * np.uint64(span) + words.astype(np.uint64)) + codes.tobytes()
+                + (b"" if weights is None else weights.tobytes()))
 
-    def find(self, contexts, words):
-        """Codes of the n-grams, ``UNSEEN`` where there are none."""
+    def place(self, contexts, words):
+        """Places of the n-grams (sorted by context) in the level, -1 where there are none."""
         import numpy as np
 
-        out = np.full(len(contexts), UNSEEN, np.uint16)
-        which, known = self.contexts.successor(contexts)
-        which = which[known]
-        place, found = self.words.successor(which.astype(np.uint64) * np.uint64(self.span) + words[known].astype(np.uint64))
-        inside = found & (place < self.words.n)
-        got = np.full(len(place), UNSEEN, np.uint16)
-        got[inside] = self.codes[place[inside]]
-        out[known] = got
+        out = np.full(len(contexts), -1, np.int64)
+        each, of = np.unique(contexts, return_inverse=True)
+        which, known = self.contexts.successor(each)
+        which = np.where(known, which, 0)
+        first = self.pointers.values(which).astype(np.int64)
+        end = self.pointers.values(which + known).astype(np.int64)
+        asked = known[of]
+        of = of[asked]
+        at, found = self.words.successor(which[of].astype(np.uint64) * np.uint64(self.span) + words[asked].astype(np.uint64),
+                                         (first[of], end[of]))
+        out[asked] = np.where(found, at, -1)
         return out
 
+    def find(self, contexts, words):
+        """Codes of the n-grams, ``UNSEEN`` where there are none."""
+        return at_place(self.codes, self.place(contexts, words))
+
+
+def at_place(codes, place):
+    import numpy as np
+
+    return np.where(place >= 0, codes[np.maximum(place, 0)], UNSEEN).astype(np.uint16) if len(codes) else np.full(
+        len(place), UNSEEN, np.uint16)
+
 
 def planes(values, kind) -> bytes:
     """Whole numbers byte by byte, first all lowest bytes and so on, and compressed."""
@@ -292,8 +321,8 @@ def answer_words(asked: DataFrame) -> DataFrame:
             mine = which[at:at + len(k)]
             at += len(k)
             codes = planes(np.concatenate([counts[mine], place[mine]]), np.int64)
-            out.append((1, b, key[0], codes, int(known.sum()) if not out else 0))
-        return pd.DataFrame(out, columns=["level", "block", "shard", "codes", "known"])
+            out.append((1, b, key[0], codes, b"", int(known.sum()) if not out else 0))
+        return pd.DataFrame(out, columns=["level", "block", "shard", "codes", "places", "known"])
 
     return asked.groupBy("shard").applyInPandas(run, ANSWER)
 
@@ -357,8 +386,15 @@ def bigram_requests(held: DataFrame, answers: DataFrame, one: dict, two: dict) -
     return held.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(run, ASKED)
 
 
+def quantised(probability):
+    """Codes of probabilities, the lowest one for those below the range."""
+    import numpy as np
+
+    return np.minimum(np.rint(-np.log10(probability) * STEP), UNSEEN - 1).astype(np.uint16)
+
+
 def pack_shard(frame, span: int) -> tuple[bytes, list]:
-    """The trie of a shard, and the keys that each block asked."""
+    """The second level of a shard, and the keys that each block asked."""
     import numpy as np
 
     keys = [sorted_unplanes(x) for x in frame["keys"]]
@@ -366,26 +402,122 @@ def pack_shard(frame, span: int) -> tuple[bytes, list]:
     for k, raw in zip(keys, frame["totals"], strict=True):
         context = k // np.uint64(span)
         totals.append(unplanes(raw, np.int64)[np.cumsum(np.concatenate([[0], context[1:] != context[:-1]])).astype(np.int64)])
-    own, first, which = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
-    seen = np.bincount(which, weights=np.concatenate([unplanes(x, np.uint32) for x in frame["counts"]]).astype(float),
-                       minlength=len(own))
+    own, first, seen = counted(frame, keys)
     total = np.concatenate(totals)[first]
     kept = seen > 0
-    codes = np.rint(-np.log10(seen[kept] / (total[kept] + PRIOR)) * STEP)
-    codes = np.minimum(codes, UNSEEN - 1).astype(np.uint16)
-    return Successors.pack(own[kept] // np.uint64(span), own[kept] % np.uint64(span), codes, span), keys
+    codes = quantised(seen[kept] / (total[kept] + PRIOR))
+    weights = np.where(seen[kept] >= CONTEXT_COUNT, quantised(PRIOR / (seen[kept] + PRIOR)), UNSEEN).astype(np.uint16)
+    return Successors.pack(own[kept] // np.uint64(span), own[kept] % np.uint64(span), codes, span, weights), keys
+
+
+def counted(frame, keys):
+    """Distinct keys of a shard, the first place of each, and their training counts over all blocks."""
+    import numpy as np
+
+    own, first, which = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
+    counts = np.concatenate([unplanes(x, np.uint32) for x in frame["counts"]]).astype(float)
+    return own, first, np.bincount(which, weights=counts, minlength=len(own))
 
 
 def answer_bigrams(asked: DataFrame, span: int) -> DataFrame:
+    """Per pair its code, its back-off weight, and its place among the shard's contexts of the last level."""
     def run(key, frame):
         import numpy as np
         import pandas as pd
 
         packed, keys = pack_shard(frame, span)
         level = Successors(packed)
-        return pd.DataFrame([(2, b, key[0], planes(level.find(k // np.uint64(span), k % np.uint64(span)), np.uint16), 0)
+        among = np.cumsum(level.weights != UNSEEN) - 1
+        out = []
+        for b, k in zip(frame["block"], keys, strict=True):
+            place = level.place(k // np.uint64(span), k % np.uint64(span))
+            codes, weights = at_place(level.codes, place), at_place(level.weights, place)
+            places = sorted_planes(among[place[weights != UNSEEN]].astype(np.uint64))
+            out.append((2, b, key[0], planes(np.concatenate([codes, weights]), np.uint16), places, 0))
+        return pd.DataFrame(out, columns=["level", "block", "shard", "codes", "places", "known"])
+
+    return asked.groupBy("shard").applyInPandas(run, ANSWER)
+
+
+def pairs_of_block(answers, shard):
+    """Codes, back-off weights and places of a block's distinct pairs."""
+    import numpy as np
+
+    codes, weights = np.full(len(shard), UNSEEN, np.uint16), np.full(len(shard), UNSEEN, np.uint16)
+    places = np.full(len(shard), -1, np.int64)
+    for r in answers[answers["level"] == 2].itertuples():
+        mine = np.flatnonzero(shard == r.shard)
+        codes[mine], weights[mine] = np.split(unplanes(r.codes, np.uint16), 2)
+        places[mine[weights[mine] != UNSEEN]] = sorted_unplanes(r.places).astype(np.int64)
+    return codes, weights, places
+
+
+# --- last level
+def trigrams_of_block(block, number, of_token, tokens, weights, places, shard, span: int, hot: int):
+    """Distinct trigrams with a known context: shard, key there, training count, context weight; each token's or -1.
+
+    A context's shard is that of its pair, so keys are relative to it; a context with
+    more than ``hot`` tokens is dealt over as many shards as its count asks for.
+    """
+    import numpy as np
+
+    context = np.concatenate([[-1], of_token[:-1]])
+    inside = np.flatnonzero((of_token >= 0) & (context >= 0))
+    inside = inside[places[context[inside]] >= 0]
+    local = context[inside].astype(np.uint64) * np.uint64(span) + number[tokens[inside]].astype(np.uint64)
+    own, which = np.unique(local, return_inverse=True)
+    held = np.repeat(np.array(block["held"], bool), np.array(block["lengths"], np.int64))[inside]
+    seen = np.bincount(which[~held], minlength=len(own))
+    pair, word = (own // np.uint64(span)).astype(np.int64), own % np.uint64(span)
+    found = PRIOR * 10.0 ** (weights[pair].astype(float) / STEP) - PRIOR
+    parts = np.maximum(1, np.ceil(found / hot)).astype(np.uint64)
+    group = (shard[pair] << 32) | (mix(word + np.uint64(1)) % parts).astype(np.int64)
+    of_all = np.full(len(tokens), -1, np.int64)
+    of_all[inside] = which
+    return group, places[pair].astype(np.uint64) * np.uint64(span) + word, seen, weights[pair], of_all
+
+
+def by_shard(group, keys):
+    """Each shard of a block's trigrams with their places, in the order of their keys."""
+    import numpy as np
+
+    order = np.lexsort((keys, group))
+    each, first = np.unique(group[order], return_index=True)
+    return zip(each.tolist(), np.split(order, first[1:]), strict=True)
+
+
+def trigram_requests(held: DataFrame, answers: DataFrame, one: dict, two: dict) -> DataFrame:
+    def run(key, block, got):
+        import numpy as np
+        import pandas as pd
+
+        b = block.iloc[0]
+        counts, number = words_of_block(b, got, one["shards"])
+        _, _, _, shard, of_token, tokens, _ = bigrams_of_block(b, counts, number, **two)
+        _, weights, places = pairs_of_block(got, shard)
+        group, keys, seen, weight, _ = trigrams_of_block(
+            b, number, of_token, tokens, weights, places, shard, two["span"], two["hot"])
+        out = [(s, b["block"], sorted_planes(keys[mine]), planes(seen[mine], np.uint32), planes(weight[mine], np.uint16))
+               for s, mine in by_shard(group, keys)] if len(keys) else []
+        return pd.DataFrame(out, columns=["shard", "block", "keys", "counts", "totals"])
+
+    return held.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(run, ASKED)
+
+
+def answer_trigrams(asked: DataFrame, span: int) -> DataFrame:
+    def run(key, frame):
+        import numpy as np
+        import pandas as pd
+
+        keys = [sorted_unplanes(x) for x in frame["keys"]]
+        own, first, seen = counted(frame, keys)
+        weight = np.concatenate([unplanes(x, np.uint16) for x in frame["totals"]])[first].astype(float)
+        kept = seen > 0
+        codes = quantised(seen[kept] / PRIOR * 10.0 ** (-weight[kept] / STEP))
+        level = Successors(Successors.pack(own[kept] // np.uint64(span), own[kept] % np.uint64(span), codes, span))
+        return pd.DataFrame([(3, b, key[0], planes(level.find(k // np.uint64(span), k % np.uint64(span)), np.uint16), b"", 0)
                              for b, k in zip(frame["block"], keys, strict=True)],
-                            columns=["level", "block", "shard", "codes", "known"])
+                            columns=["level", "block", "shard", "codes", "places", "known"])
 
     return asked.groupBy("shard").applyInPandas(run, ANSWER)
 
@@ -397,7 +529,15 @@ def model(asked: DataFrame, span: int) -> DataFrame:
 
         return pd.DataFrame([(key[0], pack_shard(frame, span)[0])], columns=["shard", "level"])
 
-    return asked.groupBy("shard").applyInPandas(run, "shard int, level binary")
+    return asked.groupBy("shard").applyInPandas(run, "shard long, level binary")
+
+
+def decoded(codes, places):
+    """Probabilities of the codes at the places, 0 where there is none."""
+    import numpy as np
+
+    code = at_place(codes, places)
+    return np.where(code == UNSEEN, 0.0, 10.0 ** (code.astype(float) / -STEP))
 
 
 def scored(held: DataFrame, answers: DataFrame, one: dict, two: dict, total: int, distinct: int, key_type: str) -> DataFrame:
@@ -407,10 +547,15 @@ def scored(held: DataFrame, answers: DataFrame, one: dict, two: dict, total: int
 
         b = block.iloc[0]
         counts, number = words_of_block(b, got, one["shards"])
-        own, _, _, shard, of_token, tokens, before = bigrams_of_block(b, counts, number, **two)
-        codes = np.full(len(own), UNSEEN, np.uint16)
-        for r in got[got["level"] == 2].itertuples():
-            codes[shard == r.shard] = unplanes(r.codes, np.uint16)
+        _, _, _, shard, of_token, tokens, before = bigrams_of_block(b, counts, number, **two)
+        codes, weights, places = pairs_of_block(got, shard)
+        group, keys, _, _, of_three = trigrams_of_block(
+            b, number, of_token, tokens, weights, places, shard, two["span"], two["hot"])
+        third = np.full(len(keys), UNSEEN, np.uint16)
+        if len(keys):
+            answered = {r.shard: r.codes for r in got[got["level"] == 3].itertuples()}
+            for s, mine in by_shard(group, keys):
+                third[mine] = unplanes(answered[s], np.uint16)
         base = (counts + 0.5) / (total + 0.5 * (distinct + 1))
         alone = base[tokens]
         lengths = np.array(b["lengths"], np.int64)
@@ -418,8 +563,11 @@ def scored(held: DataFrame, answers: DataFrame, one: dict, two: dict, total: int
         context = counts[before].astype(float)
         context[starts] = 0
         rest = PRIOR / (context + PRIOR)  # 1 without a context, or with one that is not in training
-        code = np.where(of_token >= 0, codes[np.maximum(of_token, 0)] if len(codes) else UNSEEN, UNSEEN)
-        both = np.where(code == UNSEEN, 0.0, 10.0 ** (code.astype(float) / -STEP)) + rest * alone
+        both = decoded(codes, of_token) + rest * alone
+        pair = np.concatenate([[-1], of_token[:-1]])  # the pair before a token; none at a text's first two
+        pair[starts] = -1
+        weight = decoded(np.where(places >= 0, weights, UNSEEN), pair)
+        both = np.where(weight > 0, decoded(third, of_three) + weight * both, both)
         return pd.DataFrame({
             "doc": b["docs"], "held_out": b["held"], "n_tokens": lengths,
             "n_known": np.add.reduceat((counts[tokens] > 0).astype(np.int64), starts), "train_tokens": total,
@@ -447,11 +595,13 @@ def score(docs: DataFrame) -> DataFrame:
     """Learn from the training documents and score all of them.
 
     ``score`` is the log10 probability under words smoothed as in the base score,
-    mixed with their successors.  A null text counts as empty: the end alone.  A null
+    mixed with the successors of one word and of two.  A null text counts as empty: the end alone.  A null
     id counts as empty text when folds are drawn.  Without training documents every
     token is unknown.  Repeated rows count each for itself; other columns are left out.
     """
     held, answers, asked, one, two, total, distinct = fit(docs)
-    both = answers.unionByName(stage(answer_bigrams(asked, two["span"]), "successors"))
+    answers = answers.unionByName(stage(answer_bigrams(asked, two["span"]), "successors"))
+    third = answer_trigrams(trigram_requests(held, answers, one, two), two["span"])
+    answers = answers.unionByName(stage(third, "last-level"))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return scored(held, both, one, two, total, distinct, kind)
+    return scored(held, answers, one, two, total, distinct, kind)
