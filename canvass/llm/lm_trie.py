@@ -33,6 +33,7 @@ END = 0  # stands for the end of a text among word numbers
 
 BLOCK = ("block long, docs array<string>, held array<boolean>, lengths array<int>, n_tokens long, n_train long, "
          "n_words long, vocabulary binary, train_counts binary, tokens binary")
+SENT = ["block", "held", "lengths", "tokens"]  # what of a block meets the answers
 ASKED = "shard long, block long, keys binary, counts binary, totals binary"
 ANSWER = "level int, block long, shard long, codes binary, places binary, known long"
 
@@ -297,7 +298,8 @@ def word_requests(held: DataFrame, shards: int) -> DataFrame:
         for f in frames:
             for r in f.itertuples():
                 keys, counts = sorted_unplanes(r.vocabulary), unplanes(r.train_counts, np.uint32)
-                shard = (mix(keys + np.uint64(1)) % np.uint64(shards)).astype(np.int64)
+                # shards are ranges of hashes, so the answers side by side are in the order of the vocabulary
+                shard = np.minimum(keys // np.uint64((2**64 - 1) // shards), np.uint64(shards - 1)).astype(np.int64)
                 yield pd.DataFrame([(s, r.block, sorted_planes(keys[shard == s]), planes(counts[shard == s], np.uint32), b"")
                                     for s in np.unique(shard)], columns=["shard", "block", "keys", "counts", "totals"])
 
@@ -327,18 +329,16 @@ def answer_words(asked: DataFrame) -> DataFrame:
     return asked.groupBy("shard").applyInPandas(run, ANSWER)
 
 
-def words_of_block(block, answers, shards: int):
-    """Hashes, training counts and word numbers (-1: not in training) of a block's vocabulary."""
+def words_of_block(answers, shards: int):
+    """Training counts and word numbers (-1: not in training) of a block's vocabulary."""
     import numpy as np
 
-    vocabulary = sorted_unplanes(block["vocabulary"])
-    shard = (mix(vocabulary + np.uint64(1)) % np.uint64(shards)).astype(np.int64)
-    counts, number = np.zeros(len(vocabulary), np.int64), np.full(len(vocabulary), -1, np.int64)
-    for r in answers[answers["level"] == 1].itertuples():
-        mine = shard == r.shard
-        counts[mine], place = np.split(unplanes(r.codes, np.int64), 2)
-        number[mine] = np.where(place >= 0, place * shards + r.shard, -1)
-    return counts, number
+    counts, numbers = [], []
+    for r in answers[answers["level"] == 1].sort_values("shard").itertuples():
+        count, place = np.split(unplanes(r.codes, np.int64), 2)
+        counts.append(count)
+        numbers.append(np.where(place >= 0, place * shards + r.shard, -1))
+    return np.concatenate(counts), np.concatenate(numbers)
 
 
 def bigrams_of_block(block, counts, number, span: int, shards: int, hot: int):
@@ -372,7 +372,7 @@ def bigram_requests(held: DataFrame, answers: DataFrame, one: dict, two: dict) -
         import pandas as pd
 
         b = block.iloc[0]
-        counts, number = words_of_block(b, got, one["shards"])
+        counts, number = words_of_block(got, one["shards"])
         own, seen, totals, shard, _, _, _ = bigrams_of_block(b, counts, number, **two)
         out = []
         for s in np.unique(shard):
@@ -383,7 +383,7 @@ def bigram_requests(held: DataFrame, answers: DataFrame, one: dict, two: dict) -
                         planes(totals[mine][first], np.int64)))
         return pd.DataFrame(out, columns=["shard", "block", "keys", "counts", "totals"])
 
-    return held.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(run, ASKED)
+    return held.select(*SENT).groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(run, ASKED)
 
 
 def quantised(probability):
@@ -420,7 +420,7 @@ def counted(frame, keys):
 
 
 def answer_bigrams(asked: DataFrame, span: int) -> DataFrame:
-    """Per pair its code, its back-off weight, and its place among the shard's contexts of the last level."""
+    """Per pair its code, and of the contexts of the last level their places among those of the shard."""
     def run(key, frame):
         import numpy as np
         import pandas as pd
@@ -431,24 +431,32 @@ def answer_bigrams(asked: DataFrame, span: int) -> DataFrame:
         out = []
         for b, k in zip(frame["block"], keys, strict=True):
             place = level.place(k // np.uint64(span), k % np.uint64(span))
-            codes, weights = at_place(level.codes, place), at_place(level.weights, place)
-            places = sorted_planes(among[place[weights != UNSEEN]].astype(np.uint64))
-            out.append((2, b, key[0], planes(np.concatenate([codes, weights]), np.uint16), places, 0))
+            contexts = place[at_place(level.weights, place) != UNSEEN]
+            out.append((2, b, key[0], planes(at_place(level.codes, place), np.uint16),
+                        sorted_planes(among[contexts].astype(np.uint64)), 0))
         return pd.DataFrame(out, columns=["level", "block", "shard", "codes", "places", "known"])
 
     return asked.groupBy("shard").applyInPandas(run, ANSWER)
 
 
-def pairs_of_block(answers, shard):
-    """Codes, back-off weights and places of a block's distinct pairs."""
+def pairs_of_block(answers, own, shard, totals):
+    """Codes, back-off weights and places of a block's distinct pairs.
+
+    A pair's count follows from its code and the count of its first word (exactly so
+    for counts that a step of the codes can tell apart), and its weight from that.
+    """
     import numpy as np
 
-    codes, weights = np.full(len(shard), UNSEEN, np.uint16), np.full(len(shard), UNSEEN, np.uint16)
-    places = np.full(len(shard), -1, np.int64)
+    codes, places = np.full(len(own), UNSEEN, np.uint16), np.full(len(own), -1, np.int64)
+    weights = np.full(len(own), UNSEEN, np.uint16)
     for r in answers[answers["level"] == 2].itertuples():
         mine = np.flatnonzero(shard == r.shard)
-        codes[mine], weights[mine] = np.split(unplanes(r.codes, np.uint16), 2)
-        places[mine[weights[mine] != UNSEEN]] = sorted_unplanes(r.places).astype(np.int64)
+        codes[mine] = unplanes(r.codes, np.uint16)
+        known = mine[codes[mine] != UNSEEN]
+        seen = np.rint(10.0 ** (codes[known].astype(float) / -STEP) * (totals[known] + PRIOR))
+        known, seen = known[seen >= CONTEXT_COUNT], seen[seen >= CONTEXT_COUNT]
+        weights[known] = quantised(PRIOR / (seen + PRIOR))
+        places[known] = sorted_unplanes(r.places).astype(np.int64)
     return codes, weights, places
 
 
@@ -492,16 +500,16 @@ def trigram_requests(held: DataFrame, answers: DataFrame, one: dict, two: dict)
         import pandas as pd
 
         b = block.iloc[0]
-        counts, number = words_of_block(b, got, one["shards"])
-        _, _, _, shard, of_token, tokens, _ = bigrams_of_block(b, counts, number, **two)
-        _, weights, places = pairs_of_block(got, shard)
+        counts, number = words_of_block(got, one["shards"])
+        own, _, totals, shard, of_token, tokens, _ = bigrams_of_block(b, counts, number, **two)
+        _, weights, places = pairs_of_block(got, own, shard, totals)
         group, keys, seen, weight, _ = trigrams_of_block(
             b, number, of_token, tokens, weights, places, shard, two["span"], two["hot"])
         out = [(s, b["block"], sorted_planes(keys[mine]), planes(seen[mine], np.uint32), planes(weight[mine], np.uint16))
                for s, mine in by_shard(group, keys)] if len(keys) else []
         return pd.DataFrame(out, columns=["shard", "block", "keys", "counts", "totals"])
 
-    return held.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(run, ASKED)
+    return held.select(*SENT).groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(run, ASKED)
 
 
 def answer_trigrams(asked: DataFrame, span: int) -> DataFrame:
@@ -546,9 +554,9 @@ def scored(held: DataFrame, answers: DataFrame, one: dict, two: dict, total: int
         import pandas as pd
 
         b = block.iloc[0]
-        counts, number = words_of_block(b, got, one["shards"])
-        _, _, _, shard, of_token, tokens, before = bigrams_of_block(b, counts, number, **two)
-        codes, weights, places = pairs_of_block(got, shard)
+        counts, number = words_of_block(got, one["shards"])
+        own, _, totals, shard, of_token, tokens, before = bigrams_of_block(b, counts, number, **two)
+        codes, weights, places = pairs_of_block(got, own, shard, totals)
         group, keys, _, _, of_three = trigrams_of_block(
             b, number, of_token, tokens, weights, places, shard, two["span"], two["hot"])
         third = np.full(len(keys), UNSEEN, np.uint16)
@@ -573,7 +581,7 @@ def scored(held: DataFrame, answers: DataFrame, one: dict, two: dict, total: int
             "n_known": np.add.reduceat((counts[tokens] > 0).astype(np.int64), starts), "train_tokens": total,
             "base_score": np.add.reduceat(np.log10(alone), starts), "score": np.add.reduceat(np.log10(both), starts)})
 
-    out = held.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(
+    out = held.select("docs", *SENT).groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(
         run, "doc string, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
     return out.withColumn("doc_id", F.col("doc").cast(key_type)).drop("doc")
 
@@ -602,6 +610,6 @@ def score(docs: DataFrame) -> DataFrame:
     held, answers, asked, one, two, total, distinct = fit(docs)
     answers = answers.unionByName(stage(answer_bigrams(asked, two["span"]), "successors"))
     third = answer_trigrams(trigram_requests(held, answers, one, two), two["span"])
-    answers = answers.unionByName(stage(third, "last-level"))
+    answers = answers.unionByName(third)
     kind = docs.schema["doc_id"].dataType.simpleString()
     return scored(held, answers, one, two, total, distinct, kind)
